@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoscope.llm import lang_id, simhash, toxicity
+from kairoscope.llm import bpe, lang_id, packing, sharding, simhash, toxicity
 from kairoscope.llm.common import remainder
 
 
@@ -30,5 +31,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, labels), keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity)}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(sharding.keyed(table(spark, sf_dir, "documents")), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer())
+    return packing.pack(cut)
+
+
+def tokenizer() -> tuple[str, str, str]:
+    """The 50k byte-level BPE: its tokenizers file, its ranks and its split pattern."""
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op5_sharding, op7_byte_bpe, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
