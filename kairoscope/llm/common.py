@@ -30,12 +30,18 @@ def scratch_root(spark: SparkSession) -> str:
     return at
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when Python ends."""
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

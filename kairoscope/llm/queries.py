@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoscope.llm import bpe, lang_id, packing, sharding, simhash, toxicity
-from kairoscope.llm.common import remainder
+from kairoscope.llm import bpe, jpeg, lang_id, packing, sharding, simhash, token_scan, toxicity
+from kairoscope.llm.common import remainder, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, labels), keep=["doc_id", "held_out"])
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_columns(table(spark, sf_dir, "documents"), keep=["doc_id"], media=False, thumbs=False)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(sharding.keyed(table(spark, sf_dir, "documents")), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,6 +44,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-streams")
+    token_scan.write_streams(table(spark, sf_dir, "documents"), path, (*tokenizer(), ()))  # no special tokens: their strings are ordinary text
+    return token_scan.token_counts(spark, path)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer())
     return packing.pack(cut)
@@ -50,5 +60,5 @@ def tokenizer() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op5_sharding, op7_byte_bpe, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_media_columns, op5_sharding, op7_byte_bpe, op9_token_counts, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
