@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoscope.llm import bpe, jpeg, lang_id, packing, sharding, simhash, token_scan, toxicity
+from kairoscope.llm import bpe, jpeg, lang_id, licenses, packing, quality, sharding, simhash, token_scan, toxicity
 from kairoscope.llm.common import remainder, scratch_path
 
 
@@ -40,10 +40,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.withColumn("dice", F.round("dice", 6))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=["doc_id"])
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.rules(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_words")})
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-streams")
     token_scan.write_streams(table(spark, sf_dir, "documents"), path, (*tokenizer(), ()))  # no special tokens: their strings are ordinary text
@@ -60,5 +70,77 @@ def tokenizer() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_media_columns, op5_sharding, op7_byte_bpe, op9_token_counts, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_media_columns, op5_sharding, op6_license_scan, op7_byte_bpe, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(name)}, [{', '.join(map(quoted, licenses.bigrams(licenses.normalized(t))))}])" for k, (name, t) in enumerate(licenses.TEMPLATES))
+    t = licenses.THRESHOLD
+    return rf"""
+    WITH t(k, license, b) AS (VALUES {rows}),
+    lines AS (
+      SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS s FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS parts FROM documents)
+      UNION ALL SELECT doc_id, -1, lower(text) FROM documents WHERE contains(text, chr(10))
+    ),
+    w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(s, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM lines),
+    b AS (SELECT doc_id, i, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM w WHERE len(w) > 1),
+    m AS (
+      SELECT doc_id, i, k, license, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t
+      WHERE len(b.b) BETWEEN {t / (2 - t)} * len(t.b) AND len(t.b) / {t / (2 - t)}
+    ),
+    best AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k, i) AS r FROM m WHERE dice >= {t}
+    ),
+    n AS (SELECT doc_id, count(DISTINCT i) AS n FROM best GROUP BY doc_id)
+    SELECT d.doc_id, license, round(dice, 6) AS dice, k::INT AS template, i::INT AS passage, coalesce(n, 0)::INT AS n_passages
+    FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id) LEFT JOIN n USING (doc_id)
+    """
+
+
+def _distance_sql(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of counts."""
+    a, b = f"list_transform({p}, lambda x: x / nullif(list_sum({p}), 0))", f"list_transform({q}, lambda x: x / nullif(list_sum({q}), 0))"
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    return f"sqrt(greatest(0, list_sum(list_transform(list_zip({a}, {b}), lambda z: ({part.format('z[1]')} + {part.format('z[2]')}) / 2))))"
+
+
+_QUALITY_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+each AS (SELECT doc_id, lang, unnest(w) AS x FROM d),
+top AS (
+  SELECT lang, x, n FROM (SELECT lang, x, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) AS r FROM each GROUP BY lang, x) WHERE r <= 16
+),
+hits AS (SELECT e.doc_id, e.lang, e.x, count(*) AS n FROM each e JOIN top USING (lang, x) GROUP BY ALL),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2])) AS s FROM d WHERE len(w) > 2),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM again, range(3) AS r(k) GROUP BY doc_id),
+h AS (
+  SELECT d.doc_id, list(coalesce(hits.n, 0) ORDER BY top.x) AS c FROM d JOIN top USING (lang) LEFT JOIN hits ON hits.doc_id = d.doc_id AND hits.x = top.x GROUP BY d.doc_id
+),
+m AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    length(regexp_replace(text, '[\p{{Ll}}\x20\x09-\x0D]', '', 'g')) AS marks, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS up,
+    length(regexp_replace(text, '[^\p{{N}}]', '', 'g')) AS digit, length(regexp_replace(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[\p{{Ll}}]', '', 'g')) AS letters,
+    list_append(coalesce(h.c, []), len(w) - coalesce(list_sum(h.c), 0))::DOUBLE[] AS common
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN h USING (doc_id)
+),
+c AS (SELECT *, [word_chars - marks, up, digit, n_symbols, marks - letters - digit - n_symbols]::DOUBLE[] AS chars FROM m),
+rc AS (SELECT lang, list(s ORDER BY i)::DOUBLE[] AS r_chars FROM (SELECT lang, i, sum(chars[i]) AS s FROM c, range(1, 6) AS r(i) GROUP BY lang, i) GROUP BY lang),
+rw AS (SELECT lang, list(s ORDER BY i)::DOUBLE[] AS r_common FROM (SELECT lang, i, sum(common[i]) AS s FROM (SELECT lang, common, unnest(range(1, len(common) + 1)) AS i FROM c) GROUP BY lang, i) GROUP BY lang),
+j AS (SELECT c.*, {_distance_sql("chars", "r_chars")} AS js_chars, {_distance_sql("common", "r_common")} AS js_words FROM c JOIN rc USING (lang) JOIN rw USING (lang)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((word_chars >= 100 AND js_chars > 0.3) OR (n_words >= 50 AND js_words > 0.4), false) AS kept,
+  round(js_chars, 6) AS js_chars, round(js_words, 6) AS js_words
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": _license_sql(), "op8_quality_rules": _QUALITY_SQL}
