@@ -162,11 +162,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0, spans: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred, score, share (of letters in the predicted language), n_spans and, if asked, spans.
+    """docs with lang_pred, score, share (of letters in words of the predicted language), n_spans and, if asked, spans.
 
     keep: the columns of docs to return, all if None.
 
-    score: share times the posterior of the predicted language. spans: array of (start, end, lang), in code points.
+    share: words in a script that the language does not use count as not its own, so text in a script never seen has
+    share 0. score: share times the mean of 1 and the posterior of the predicted language. spans: array of (start, end, lang), in code points.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.scripts))
     added = {"lang_pred": "string", "score": "double", "share": "double", "n_spans": "int"} | ({"spans": "array<struct<start:int,end:int,lang:string>>"} if spans else {})
@@ -213,13 +214,15 @@ def identify(texts: list[str | None], model: Model, table: Words, penalty: float
     chance = np.exp(np.clip(total - total.max(axis=1, keepdims=True), -60, 0))
     chance /= chance.sum(axis=1, keepdims=True)
     best = mass.argmax(axis=1)
-    share = mass[np.arange(n), best] / np.maximum(1, mass.sum(axis=1))
+    own = scores[np.arange(len(flat)), label]
+    known = np.bincount(doc * width + label, letters * ((own > -12) & scores.any(axis=1)), n * width).reshape(n, width)
+    share = known[np.arange(n), best] / np.maximum(1, mass.sum(axis=1))
     change = np.flatnonzero((np.diff(label, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
     runs = np.bincount(doc[change], minlength=n)
     for i in np.flatnonzero(np.diff(edges)).tolist():
         out["lang_pred"][i] = model.langs[best[i]]
         out["share"][i] = float(share[i])
-        out["score"][i] = float(min(1.0, share[i] * chance[i, best[i]]))
+        out["score"][i] = float(min(1.0, share[i] * (1 + chance[i, best[i]]) / 2))
         out["n_spans"][i] = int(runs[i])
         if spans:
             places = [m.span() for m in LETTERS.finditer(texts[i].lower())] if len(texts[i].lower()) == len(texts[i]) else _places(texts[i])

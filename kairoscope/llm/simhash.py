@@ -152,11 +152,23 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 3) -> DataFrame:
     """(key, fp, component_id) for each row: component_id is the smallest key reachable by links of at most `radius` bits."""
     prints = materialize(fingerprints(docs.select(key, text), text, [key]), "prints")
+    return prints.join(_named(prints, key, radius), "fp", "left").select(key, "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 3) -> DataFrame:
+    """docs with one row of each component: that of the smallest key, nulls last, and of rows with one key the first stored."""
+    rows = materialize(fingerprints(docs, text).withColumn("_serial", F.monotonically_increasing_id()), "printed")
+    prints = rows.select(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("key"), F.col("_serial").alias("serial")).alias("_row"), "fp")
+    first = _named(prints, "_row", radius).select(F.col("component_id.serial").alias("_serial")).distinct()
+    return rows.join(first, "_serial", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _named(prints: DataFrame, key: str, radius: int) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint."""
     distinct = prints.groupBy("fp").agg(F.min(key).alias("first"))
     roots = components(links(distinct.select("fp"), radius))
     own = distinct.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = own.join(own.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select(key, "fp", "component_id")
+    return own.join(own.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
 
 
 def hexadecimal(fp):
