@@ -24,7 +24,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from kairoscope.llm.common import declared, map_slices, offsets
+from kairoscope.llm.common import declared, map_slices, named, offsets
 
 # Character classes. CONTRACT_2 and CONTRACT_3 are apostrophes that 1 and 2 letters complete to a contraction.
 LETTER, NUMBER, OTHER, SPACE, BLANK, CONTRACT_2, CONTRACT_3, SPACE_LAST, BLANK_LAST, EDGE = range(10)
@@ -356,7 +356,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     """docs (its columns `keep`, all if None) with ids and offsets (byte start of each token). path: a rank file that every worker can read."""
     added = {"ids": "array<int>", "offsets": "array<int>"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    docs = docs.select(*dict.fromkeys([*kept, text]))
+    docs = docs.select(*named(dict.fromkeys([*kept, text])))
 
     def make():
         codec = loaded(path)
@@ -367,29 +367,29 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
         return add
 
-    return map_slices(docs, make, declared(docs.select(*kept), added), text)
+    return map_slices(docs, make, declared(docs.select(*named(kept)), added), text)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """encoded with `decoded`, the bytes of its ids (null ids: none)."""
     kept = [c for c in encoded.columns if c != "decoded"]
 
-    def run(batches):
+    def make():
         codec = loaded(path)
-        for batch in batches:
-            part = pa.Table.from_batches([batch]).select(kept)
-            for low in range(0, len(part), 256):
-                few = part.slice(low, 256)
-                yield from few.append_column("decoded", pa.array([codec.decode(x or []) for x in few.column(ids).to_pylist()], pa.binary())).to_batches()
 
-    return encoded.mapInArrow(run, declared(encoded.select(*kept), {"decoded": "binary"}))
+        def add(part: pa.Table) -> pa.Table:
+            return part.select(kept).append_column("decoded", pa.array([codec.decode(x or []) for x in part.column(ids).to_pylist()], pa.binary()))
+
+        return add
+
+    return map_slices(encoded.select(*named(kept)), make, declared(encoded.select(*named(kept)), {"decoded": "binary"}), None)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256: encodes and decodes without moving the ids out of the worker."""
     added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    docs = docs.select(*dict.fromkeys([*kept, text]))
+    docs = docs.select(*named(dict.fromkeys([*kept, text])))
 
     def make():
         codec = loaded(path)
@@ -403,4 +403,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
 
         return add
 
-    return map_slices(docs, make, declared(docs.select(*kept), added), text)
+    return map_slices(docs, make, declared(docs.select(*named(kept)), added), text)

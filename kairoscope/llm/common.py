@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a Python worker holds as Python objects at a time.
 SLICE_BYTES = 2 << 20
@@ -64,27 +65,40 @@ def _clear() -> None:
             return
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table]], schema: str, text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow with each batch cut so that a call sees about slice_bytes of `text`, at least one row.
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table]], schema: StructType | str, text: str | None = "text", slice_bytes: int = SLICE_BYTES, slice_rows: int = 256) -> DataFrame:
+    """mapInArrow with each batch cut so that a call sees about slice_bytes of `text`, at least one row, or slice_rows
+    rows if text is None.
 
     `make` runs once per task and returns the function of a slice; a slice is a pyarrow Table with df's columns.
+    Between Spark and Python columns go by number, as names may hold dots.
     """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns, names = df.columns, schema.names
+    numbered = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            for a, b in cuts(text_lengths(batch.column(text)), slice_bytes):
-                yield from f(table.slice(a, b - a)).to_batches()
+            table = pa.Table.from_batches([batch]).rename_columns(columns)
+            edges = cuts(text_lengths(batch.column(columns.index(text))), slice_bytes) if text else [(a, min(a + slice_rows, len(table))) for a in range(0, len(table), slice_rows)]
+            for a, b in edges:
+                yield from f(table.slice(a, b - a)).rename_columns(numbered).to_batches()
 
-    return df.mapInArrow(run, schema)
+    out = StructType([StructField(n, f.dataType) for n, f in zip(numbered, schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(columns))]).mapInArrow(run, out).toDF(*names)
 
 
-def declared(df: DataFrame, added: dict[str, str]) -> str:
-    """DDL of df's columns and then the added ones."""
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{k}` {v}" for k, v in added.items()])
+def named(columns) -> list[Column]:
+    """Columns by their exact names, dots and spaces included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def declared(df: DataFrame, added: dict[str, str]) -> StructType:
+    """Schema of df's columns and then the added ones."""
+    more = StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items()))
+    return StructType([*[StructField(f.name, f.dataType) for f in df.schema], *more])
 
 
 def text_lengths(column: pa.Array) -> np.ndarray:

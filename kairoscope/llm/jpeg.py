@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kairoscope.llm.common import declared, map_slices, offsets
+from kairoscope.llm.common import declared, map_slices, named, offsets
 
 BLOCK = 64
 #: Restart marker after so many blocks: segments are decoded side by side.
@@ -310,7 +310,7 @@ def media_columns(docs: DataFrame, text: str = "text", keep: list[str] | None =
     blocks after the other), its hash (in feature) and digests of the payload as read back from the stored bytes."""
     added = ADDED | ({"media": "binary"} if media else {}) | ({"thumbnail": "binary"} if thumbs else {})
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    docs = docs.select(*dict.fromkeys([*kept, text]))
+    docs = docs.select(*named(dict.fromkeys([*kept, text])))
 
     def make():
         def add(part: pa.Table) -> pa.Table:
@@ -322,7 +322,7 @@ def media_columns(docs: DataFrame, text: str = "text", keep: list[str] | None =
 
         return add
 
-    return map_slices(docs, make, declared(docs.select(*kept), added), text)
+    return map_slices(docs, make, declared(docs.select(*named(kept)), added), text)
 
 
 def describe(texts: list[str | None]) -> list[dict]:

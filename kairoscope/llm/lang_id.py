@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import LETTERS, Words, declared, map_slices, ngrams, offsets, sums
+from kairoscope.llm.common import LETTERS, Words, declared, map_slices, named, ngrams, offsets, sums
 
 UND = "und"
 
@@ -55,6 +55,8 @@ class Model:
     def fit(cls, rows: list[tuple[str, str]], script_share: float = 0.01) -> Model:
         """rows: (text, language). Counts are smoothed by 0.5; a script counts from `script_share` of the words."""
         langs = sorted({lang for _, lang in rows})
+        if not langs:
+            return cls([], np.zeros((1 << cls.BITS, 0), np.float32), np.zeros((0, len(SCRIPTS)), bool))
         counts = np.full((1 << cls.BITS, len(langs)), 0.5)
         seen = np.zeros((len(langs), len(SCRIPTS)))
         for k, lang in enumerate(langs):
@@ -172,8 +174,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     broadcast = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.scripts))
     added = {"lang_pred": "string", "score": "double", "share": "double", "n_spans": "int"} | ({"spans": "array<struct<start:int,end:int,lang:string>>"} if spans else {})
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {*added, "spans"}]
-    docs = docs.select(*dict.fromkeys([*kept, text]))
-    schema = declared(docs.select(*kept), added)
+    docs = docs.select(*named(dict.fromkeys([*kept, text])))
+    schema = declared(docs.select(*named(kept)), added)
 
     def make():
         known = Model(*broadcast.value)

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.llm.common import named
+
 # Notices by which works are commonly licensed, each with the identifier of its license.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -40,6 +42,8 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.8
+#: Bounds that are whole numbers may come out a rounding error off; they are widened by more than that.
+ROUNDING = 1e-9
 _APART = r"[^\p{L}\p{N}]+"
 
 
@@ -54,7 +58,7 @@ def bigrams(words: list[str]) -> list[str]:
 
 def signature(pairs: list[str], everywhere: dict[str, int], threshold: float) -> list[str]:
     """Enough pairs that a passage without any of them cannot match: the rarest among the templates, longest words first."""
-    needed = threshold / (2 - threshold) * len(pairs)  # a match shares at least so many
+    needed = threshold / (2 - threshold) * len(pairs) - ROUNDING  # a match shares at least so many
     spare = -int(-needed // 1) - 1  # and so may miss all but these
     ranked = sorted(pairs, key=lambda p: (-max(map(len, p.split())), everywhere[p], p))
     return ranked[: max(1, len(pairs) - max(0, spare))]
@@ -69,6 +73,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     the line, -1 for the whole text), n_passages (how many match)."""
     added = ("license", "dice", "template", "passage", "n_passages")
     plain = [c for c in docs.columns if c not in added]
+    docs = docs.select(F.struct(*named(plain)).alias("row"), F.col(text).alias("text"))  # so that no name clashes
     pairs = [bigrams(normalized(t)) for _, t in templates]
     everywhere: dict[str, int] = {}
     for p in pairs:
@@ -79,17 +84,17 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     anchors = sorted({max(b.split(), key=lambda w: (len(w), w)) for m in marks for b in m})
     anchors = [a for a in anchors if not any(o != a and o in a for o in anchors)]
     factor = threshold / (2 - threshold)
-    low = min(len(p) for p in pairs) * factor
-    high = max(len(p) for p in pairs) / factor
+    low = min(len(p) for p in pairs) * factor - ROUNDING
+    high = max(len(p) for p in pairs) / factor + ROUNDING
     held = lambda t: F.expr("false") if not anchors else _any([F.contains(t, F.lit(a)) for a in anchors])
 
-    lowered = F.lower(F.col(text))
+    lowered = F.lower("text")
     lines = F.split(lowered, "\n", -1)
     # whole texts count as a passage of number -1 unless they are one line
     passages = F.when(held(lowered), F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda p: held(p["s"])))
     whole = F.when(held(lowered) & (F.size(lines) > 1), F.array(F.struct(F.lit(-1).alias("i"), lowered.alias("s"))))
     empty = F.array().cast("array<struct<i:int,s:string>>")
-    first = docs.select(*plain, F.concat(F.coalesce(passages, empty), F.coalesce(whole, empty)).alias("_p"))
+    first = docs.select("row", F.concat(F.coalesce(passages, empty), F.coalesce(whole, empty)).alias("_p"))
     # words; at least one more than bigrams, so their number bounds the set from above
     split = first.withColumn("_p", F.transform("_p", lambda p: F.struct(p["i"].alias("i"), words(p["s"]).alias("w"))))
     split = split.withColumn("_p", F.filter("_p", lambda p: F.size(p["w"]) - 1 >= low))
@@ -101,12 +106,12 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
         size = F.size(p["b"])
         shared = F.size(F.array_intersect(p["b"], F.array(*map(F.lit, pairs[k]))))
         dice = (F.lit(2.0) * shared) / (size + n)
-        return F.when(size.between(n * factor, n / factor), F.struct(dice.alias("dice"), F.lit(-k).alias("k"), (-p["i"]).alias("i")))
+        return F.when(size.between(n * factor - ROUNDING, n / factor + ROUNDING), F.struct(dice.alias("dice"), F.lit(-k).alias("k"), (-p["i"]).alias("i")))
 
     scored = sets.withColumn("_p", F.filter(F.transform("_p", lambda p: F.array_max(F.array(*[against(k, p) for k in range(len(pairs))]))), lambda m: m["dice"] >= threshold))
     best = F.array_max("_p")
     names = F.array(*[F.lit(name) for name, _ in templates])
-    out = scored.withColumn("_b", best).select(*plain, F.get(names, -F.col("_b.k")).alias("license"), F.col("_b.dice").alias("dice"), (-F.col("_b.k")).alias("template"), (-F.col("_b.i")).alias("passage"), F.size("_p").alias("n_passages"))
+    out = scored.withColumn("_b", best).select("row.*", F.get(names, -F.col("_b.k")).alias("license"), F.col("_b.dice").alias("dice"), (-F.col("_b.k")).alias("template"), (-F.col("_b.i")).alias("passage"), F.size("_p").alias("n_passages"))
     return out
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm.bpe import load_ranks, loaded
-from kairoscope.llm.common import declared, map_slices, materialize
+from kairoscope.llm.common import declared, map_slices, materialize, named
 
 CAPACITY = 2048
 
@@ -134,7 +134,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = 20_000, pool
     """cut (any columns, with length) with sequence_id, offset, and part, bins, bound: the certificate of the partition
     that packed the piece last (bins = bound: proven optimal for its pieces)."""
     plain = [c for c in cut.columns if c not in _ADDED]
-    cut = materialize(cut.select(plain), "pieces")
+    cut = materialize(cut.select(*named(plain)), "pieces")
     parts = max(1, -(-cut.count() // part_rows))
     schema = declared(cut, _ADDED)
     dealt = cut.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
@@ -158,11 +158,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = 20_000, pool
         # pools are drawn by hash; a gap partition moves what lies in bins with room and keeps its full bins
         pooled = F.pmod(F.xxhash64(F.lit(k), "origin"), F.lit(pools)) + F.lit((k + 1) << 32)
         moving = state.join(gaps, "part", "left_semi").where("room > 0").withColumnRenamed("part", "origin").withColumn("part", pooled)
-        moved = moving.select(*plain, "part", "origin", "bin").groupBy("part").applyInArrow(again, schema)
+        moved = moving.select(*named(plain), "part", "origin", "bin").groupBy("part").applyInArrow(again, schema)
         marked = state.join(gaps.withColumn("gap", F.lit(True)), "part", "left")
         still = marked.where("gap is null or room = 0").withColumn("bins", F.when(F.col("gap"), F.col("bound")).otherwise(F.col("bins")))
-        state = materialize(still.select(moved.columns).unionByName(moved), "packed")
-    return state.select(*plain, (F.col("part") * (1 << 22) + F.col("bin")).alias("sequence_id"), "offset", "part", "bins", "bound")
+        state = materialize(still.select(*named(moved.columns)).unionByName(moved), "packed")
+    return state.select(*named(plain), (F.col("part") * (1 << 22) + F.col("bin")).alias("sequence_id"), "offset", "part", "bins", "bound")
 
 
 _ADDED = {"part": "bigint", "bin": "bigint", "offset": "bigint", "room": "bigint", "bins": "bigint", "bound": "bigint"}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import materialize
+from kairoscope.llm.common import materialize, named
 
 BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -53,7 +53,7 @@ def measured(docs: DataFrame, common: list[tuple[str, list[int]]], text: str = "
     spark = docs.sparkSession
     lists = spark.createDataFrame([(a, (b + [0] * most)[:most], len(b)) for a, b in common] or [("", [0] * most, 0)], "l_lang string, l_common array<bigint>, l_n int")
     t = F.col("b_text")
-    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    kept = [c.alias(f"k{i}") for i, c in enumerate(named(keep))]
     base = docs.select(*kept, F.coalesce(F.col(lang), F.lit("")).alias("b_lang"), F.coalesce(F.col(text), F.lit("")).alias("b_text"))
     base = base.join(F.broadcast(lists), F.col("b_lang") == F.col("l_lang"), "left")
     names = [f"k{i}" for i in range(len(keep))]
@@ -98,7 +98,7 @@ def distance(p: Column, q: Column) -> Column:
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
     a, b = F.transform(p, lambda x: x / F.nullif(total(p), F.lit(0.0))), F.transform(q, lambda x: x / F.nullif(total(q), F.lit(0.0)))
     terms = F.zip_with(a, b, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), total(terms)))
+    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms))))
 
 
 def rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] = ("doc_id",), least_chars: int = 100, most_chars_js: float = 0.3, least_words: int = 50, most_words_js: float = 0.4) -> DataFrame:
@@ -119,4 +119,4 @@ def rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[st
     both = both.withColumn("js_chars", distance(F.col("chars"), F.col("r_chars"))).withColumn("js_words", distance(F.col("common"), F.col("r_common")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     apart = ((F.col("word_chars") >= least_chars) & (F.col("js_chars") > most_chars_js)) | ((F.col("n_words") >= least_words) & (F.col("js_words") > most_words_js))
-    return both.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(apart, F.lit(False))).alias("kept"), "js_chars", "js_words")
+    return both.select(*named(keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(apart, F.lit(False))).alias("kept"), "js_chars", "js_words")

@@ -87,7 +87,7 @@ def _license_sql() -> str:
     b AS (SELECT doc_id, i, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM w WHERE len(w) > 1),
     m AS (
       SELECT doc_id, i, k, license, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t
-      WHERE len(b.b) BETWEEN {t / (2 - t)} * len(t.b) AND len(t.b) / {t / (2 - t)}
+      WHERE len(b.b) BETWEEN {t / (2 - t)} * len(t.b) - 1e-9 AND len(t.b) / {t / (2 - t)} + 1e-9
     ),
     best AS (
       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k, i) AS r FROM m WHERE dice >= {t}
@@ -102,7 +102,7 @@ def _distance_sql(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of counts."""
     a, b = f"list_transform({p}, lambda x: x / nullif(list_sum({p}), 0))", f"list_transform({q}, lambda x: x / nullif(list_sum({q}), 0))"
     part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((z[1] + z[2]) / 2)) ELSE 0 END"
-    return f"sqrt(greatest(0, list_sum(list_transform(list_zip({a}, {b}), lambda z: ({part.format('z[1]')} + {part.format('z[2]')}) / 2))))"
+    return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(list_zip({a}, {b}), lambda z: ({part.format('z[1]')} + {part.format('z[2]')}) / 2)))) END"
 
 
 _QUALITY_SQL = rf"""

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import materialize
+from kairoscope.llm.common import materialize, named
 
 #: Ranges of the first round: one for every ROWS_EACH records within these bounds; the sample has SAMPLES_EACH keys for each.
 RANGES, MOST_RANGES, ROWS_EACH, SAMPLES_EACH = 128, 8192, 500_000, 32
@@ -34,12 +34,12 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 def shard(records: DataFrame, shards: int = 8, key: str = "doc_id", ranges: int | None = None, overfull: float = 2.0) -> DataFrame:
     """records (key, size, h and more) with shard (0 to shards - 1, sizes near equal) and slot (gapless from 0 in a shard)."""
     plain = [c for c in records.columns if c not in ("shard", "slot")]
-    held = materialize(records.select(plain).withColumn("serial", F.monotonically_increasing_id()), "records")
+    held = materialize(records.select(*named(plain)).withColumn("serial", F.monotonically_increasing_id()), "records")
     total, count = held.agg(F.sum("size"), F.count("*")).first()
     ranges = ranges or min(MOST_RANGES, max(RANGES, count // ROWS_EACH))
     kind = held.schema[key].dataType.simpleString()
     if not total:
-        return held.select(*plain, F.lit(0).cast("int").alias("shard"), F.lit(0).cast("bigint").alias("slot"))
+        return held.select(*named(plain), F.lit(0).cast("int").alias("shard"), F.lit(0).cast("bigint").alias("slot"))
     place = F.struct(F.col("h"), F.col(key).alias("k"), F.col("serial"))
     splitters = quantiles(held, place, ranges)
     first = held.withColumn("range", located(place, splitters, kind))
@@ -61,10 +61,10 @@ def shard(records: DataFrame, shards: int = 8, key: str = "doc_id", ranges: int
     put = first.withColumn("_before", base + F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("_rank", rank + F.count("*").over(inside))
     # a record goes where its middle lies
     put = put.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"cast((_before * 2 + size) * {shards} div {2 * total} as int)")))
-    put = materialize(put.select(*plain, "shard", "_rank"), "shards")
+    put = materialize(put.select(*named(plain), "shard", "_rank"), "shards")
     least = {r["shard"]: r["low"] for r in put.groupBy("shard").agg(F.min("_rank").alias("low")).collect()}
     start = F.array(*[F.lit(least.get(s, 0)).cast("bigint") for s in range(shards)])
-    return put.select(*plain, "shard", (F.col("_rank") - start[F.col("shard")]).alias("slot"))
+    return put.select(*named(plain), "shard", (F.col("_rank") - start[F.col("shard")]).alias("slot"))
 
 
 def quantiles(records: DataFrame, place: Column, ranges: int) -> list[tuple]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import declared, discard, map_slices, materialize, offsets
+from kairoscope.llm.common import declared, discard, map_slices, materialize, named, offsets
 
 BLOCK = 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -37,7 +37,7 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = 3, seed: int = 42) -> DataFrame:
     """docs (its columns `keep`, all if None) with fp, the fingerprint's 64 bits as a long."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != "fp"]
-    docs = docs.select(*dict.fromkeys([*kept, text]))
+    docs = docs.select(*named(dict.fromkeys([*kept, text])))
 
     def make():
         def add(part: pa.Table) -> pa.Table:
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
         return add
 
-    return map_slices(docs, make, declared(docs.select(*kept), {"fp": "bigint"}), text)
+    return map_slices(docs, make, declared(docs.select(*named(kept)), {"fp": "bigint"}), text)
 
 
 def simhash(texts: list[str | None], width: int = 3, seed: int = 42) -> np.ndarray:
@@ -157,10 +157,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 3) -> DataFrame:
     """docs with one row of each component: that of the smallest key, nulls last, and of rows with one key the first stored."""
-    rows = materialize(fingerprints(docs, text).withColumn("_serial", F.monotonically_increasing_id()), "printed")
-    prints = rows.select(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("key"), F.col("_serial").alias("serial")).alias("_row"), "fp")
-    first = _named(prints, "_row", radius).select(F.col("component_id.serial").alias("_serial")).distinct()
-    return rows.join(first, "_serial", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row's own columns ride in one struct, so that none can clash
+    whole = docs.select(F.struct(*named(docs.columns)).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = materialize(fingerprints(whole, keep=["row", "key"]).withColumn("serial", F.monotonically_increasing_id()), "printed")
+    prints = rows.select(F.struct(F.col("key").isNull().alias("no"), "key", "serial").alias("place"), "fp")
+    first = _named(prints, "place", radius).select(F.col("component_id.serial").alias("serial")).distinct()
+    return rows.join(first, "serial", "left_semi").select("row").select("row.*")
 
 
 def _named(prints: DataFrame, key: str, radius: int) -> DataFrame:

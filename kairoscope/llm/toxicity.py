@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import LETTERS, Words, declared, map_slices, ngrams, offsets, sums
+from kairoscope.llm.common import LETTERS, Words, declared, map_slices, named, ngrams, offsets, sums
 
 WINDOW = 192
 
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     broadcast = docs.sparkSession.sparkContext.broadcast((model.gaps, model.bias))
     added = {"score": "double", "predicted": "int"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    docs = docs.select(*dict.fromkeys([*kept, text]))
+    docs = docs.select(*named(dict.fromkeys([*kept, text])))
 
     def make():
         known = Model(*broadcast.value)
@@ -175,4 +175,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
         return rate
 
-    return map_slices(docs, make, declared(docs.select(*kept), added), text)
+    return map_slices(docs, make, declared(docs.select(*named(kept)), added), text)
