@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from kairoscope.operators.graph import fact_key
 
 
+#: Between these sizes a table may be one row group, which one task would read and work on alone.
+SMALL_BYTES = (1 << 20, 24 << 20)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; a small one is dealt out to all cores after reading, larger ones come in as many splits as they have."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if SMALL_BYTES[0] <= size <= SMALL_BYTES[1] else rows
 
 
 def chunks(spark: SparkSession, folder: str, vectors: bool = True) -> DataFrame:
