@@ -54,10 +54,10 @@ def visual_search(chunks: DataFrame, vector: list[float], k: int) -> DataFrame:
 def lexical(chunks: DataFrame, phrase: str) -> DataFrame:
     """(chunk_id, exact, coverage, terms): exact phrase and share of the query's tokens, of chunks with either."""
     asked = T.transcript_tokens(F.lit(phrase))
-    said = T.transcript_tokens(F.col("transcript"))
-    common = F.size(F.array_intersect(asked, said))
-    exact = T.contains_phrase(T.normalize_transcript(F.col("transcript")), T.normalize_transcript(F.lit(phrase)))
-    return chunks.select("chunk_id", F.coalesce(exact, F.lit(False)).alias("exact"), (common / F.greatest(F.size(asked), F.lit(1))).alias("coverage"), F.size(asked).alias("terms")).where("exact or coverage > 0")
+    rows = chunks.select("chunk_id", T.normalize_transcript(F.col("transcript")).alias("_said"))
+    common = F.size(F.array_intersect(asked, F.split("_said", " ")))
+    exact = T.contains_phrase(F.col("_said"), T.normalize_transcript(F.lit(phrase)))
+    return rows.select("chunk_id", F.coalesce(exact, F.lit(False)).alias("exact"), (F.coalesce(common, F.lit(0)) / F.greatest(F.size(asked), F.lit(1))).alias("coverage"), F.size(asked).alias("terms")).where("exact or coverage > 0")
 
 
 def containing(docs: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
