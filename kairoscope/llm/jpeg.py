@@ -25,6 +25,8 @@ from kairoscope.llm.common import declared, map_slices, named, offsets
 BLOCK = 64
 #: Restart marker after so many blocks: segments are decoded side by side.
 RESTART = 1
+#: Blocks that are encoded or decoded at a time within one image, so that a long text takes bounded memory beside its bytes.
+PART_BLOCKS = 1 << 15
 #: Magnitude categories of a byte stored as a coefficient of 0 to 255 are at most 8; 15 leaves room for any baseline file.
 _CATEGORY = np.array([int(v).bit_length() for v in range(256)])
 
@@ -79,11 +81,33 @@ def payload(text: str | None) -> bytes:
     return raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
 
 
-def encode(payloads: list[bytes], restart: int = RESTART) -> list[bytes]:
+def encode(payloads: list[bytes], restart: int = RESTART, part_blocks: int = PART_BLOCKS) -> list[bytes]:
     """A baseline JPEG of each payload, a positive multiple of 64 bytes. A comment segment says how long it is."""
     grids = [dimensions(len(p) // BLOCK) for p in payloads]
-    each = np.array([w * h for w, h in grids], np.int64)
-    raw = np.frombuffer(b"".join(p + b"\0" * (n * BLOCK - len(p)) for p, n in zip(payloads, each.tolist())), np.uint8)
+    step = part_blocks // (8 * restart) * 8 * restart or 8 * restart  # parts begin where restart markers begin anew
+    parts, owners = [], []
+    for i, (p, (w, h)) in enumerate(zip(payloads, grids)):
+        whole = p + b"\0" * (w * h * BLOCK - len(p))
+        for low in range(0, len(whole), step * BLOCK):
+            parts.append(whole[low : low + step * BLOCK])
+            owners.append(i)
+    scans: list[list[bytes]] = [[] for _ in payloads]
+    at = 0
+    while at < len(parts):
+        end, size = at, 0
+        while end < len(parts) and (end == at or size + len(parts[end]) <= step * BLOCK):
+            size += len(parts[end])
+            end += 1
+        for i, scan in zip(owners[at:end], _scans(parts[at:end], restart)):
+            scans[i].append(scan)
+        at = end
+    return [_header(w, h, len(p), restart) + b"\xff\xd7".join(s) + b"\xff\xd9" for (w, h), p, s in zip(grids, payloads, scans)]
+
+
+def _scans(payloads: list[bytes], restart: int) -> list[bytes]:
+    """Entropy-coded blocks of each payload, markers between segments included."""
+    each = np.array([len(p) // BLOCK for p in payloads], np.int64)
+    raw = np.frombuffer(b"".join(payloads), np.uint8)
     blocks = raw.reshape(-1, BLOCK).astype(np.int64)
     n = len(blocks)
     image = np.repeat(np.arange(len(payloads)), each)
@@ -138,7 +162,7 @@ def encode(payloads: list[bytes], restart: int = RESTART) -> list[bytes]:
     out[head - 1] = 0xD0 + (seg_index[inner] - 1) % 8
     ends = np.append(spot[(np.cumsum(octets) - octets)[np.flatnonzero(seg_index == 0)]], len(out))
     scan = out.tobytes()
-    return [_header(w, h, len(p), restart) + scan[a:b] + b"\xff\xd9" for (w, h), p, a, b in zip(grids, payloads, ends.tolist(), ends[1:].tolist())]
+    return [scan[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def _pack_bits(at: np.ndarray, code: np.ndarray, length: np.ndarray, octets: int) -> np.ndarray:
@@ -210,21 +234,45 @@ def parse(media: bytes) -> dict:
             raise ValueError("not a baseline scan")
 
 
-def decode(images: list[bytes]) -> list[tuple[dict, np.ndarray]]:
+def decode(images: list[bytes], part_blocks: int = PART_BLOCKS) -> list[tuple[dict, np.ndarray]]:
     """(what parse() found, coefficients [blocks, 64] in zigzag order) of each image."""
     parsed = [parse(m) for m in images]
-    out: list = [None] * len(images)
+    done: list[list[np.ndarray]] = [[] for _ in images]
     alike: dict = {}
     for i, p in enumerate(parsed):
         alike.setdefault(p["tables"], []).append(i)
     for (dc, ac), at in alike.items():
-        for i, c in zip(at, _scan([parsed[i] for i in at], _lookup(*map(list, dc)), _lookup(*map(list, ac)))):
-            out[i] = (parsed[i], c)
-    return out
+        tables = _lookup(*map(list, dc)), _lookup(*map(list, ac))
+        held: list[tuple[int, dict]] = []
+        size = 0
+        for i in at:
+            for part in _parts(parsed[i], part_blocks):
+                if held and size + part["blocks"] > part_blocks:
+                    for k, c in zip([k for k, _ in held], _scan([p for _, p in held], *tables)):
+                        done[k].append(c)
+                    held, size = [], 0
+                held.append((i, part))
+                size += part["blocks"]
+        for k, c in zip([k for k, _ in held], _scan([p for _, p in held], *tables)):
+            done[k].append(c)
+    return [(p, c[0] if len(c) == 1 else np.concatenate(c)) for p, c in zip(parsed, done)]
+
+
+def _parts(image: dict, most: int) -> list[dict]:
+    """An image's scan cut at restart markers into parts of about `most` blocks; whole if it has none."""
+    blocks, every = -(-image["width"] // 8) * -(-image["height"] // 8), image["restart"]
+    if not every or blocks <= most:
+        return [{"scan": image["scan"], "restart": every, "blocks": blocks}]
+    raw = np.frombuffer(image["scan"], np.uint8)
+    marks = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] >= 0xD0) & (raw[1:] <= 0xD7))
+    step = max(1, most // every)  # segments of a part
+    cuts = marks[step - 1 :: step].tolist()
+    edges = zip([0, *[c + 2 for c in cuts]], [*cuts, len(raw)])
+    return [{"scan": image["scan"][a:b], "restart": every, "blocks": min(step * every, blocks - k * step * every)} for k, (a, b) in enumerate(edges)]
 
 
 def _scan(images: list[dict], dc: np.ndarray, ac: np.ndarray) -> list[np.ndarray]:
-    blocks = np.array([-(-p["width"] // 8) * -(-p["height"] // 8) for p in images], np.int64)
+    blocks = np.array([p["blocks"] for p in images], np.int64)
     raw = np.frombuffer(b"".join(p["scan"] for p in images), np.uint8)
     edges = offsets([len(p["scan"]) for p in images])
     follows = np.append(raw[1:], 0)

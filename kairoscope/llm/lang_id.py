@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from kairoscope.llm.common import LETTERS, Words, declared, map_slices, named, ngrams, offsets, sums
 
 UND = "und"
+#: Languages whose scores may be sent to every worker, a quarter of a MB each.
+MOST_LANGUAGES = 500
 
 # First code points of Unicode script blocks and the script that begins there.
 SCRIPT_STARTS = [
@@ -155,12 +157,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Fit on a bounded sample: about `docs_per_lang` documents of each language, chosen by a hash of the key, and at
     most `bytes_per_lang` bytes of them. Rows without text or language teach nothing."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("lang-sample"), key).alias("h"), F.octet_length(text).alias("n"))
-    counts = [(r["lang"], r["count"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum("n").alias("bytes")).collect()]
+    counts = [(r["lang"], r["count"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum("n").alias("bytes")).limit(MOST_LANGUAGES + 1).collect()]
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: the model that every worker holds would not be small")
     keep = F.lit(False)
     for name, count, size in counts:
         share = min(1.0, docs_per_lang / count, bytes_per_lang / max(1, size))
         keep = keep | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < max(1, int(share * (1 << 30)))) & (F.col("n") <= bytes_per_lang))
-    return Model.fit([(r["text"], r["lang"]) for r in rows.where(keep).orderBy("lang", "h").select("text", "lang").collect()])
+    # one row for a hash: rows that repeat an id cannot swell the sample
+    sample = rows.where(keep).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return Model.fit([(r["text"], r["lang"]) for r in sample.orderBy("lang", "h").collect()])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0, spans: bool = True, keep: list[str] | None = None) -> DataFrame:

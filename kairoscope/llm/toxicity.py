@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.common import LETTERS, Words, declared, map_slices, named, ngrams, offsets, sums
+from kairoscope.llm.common import LETTERS, Words, declared, map_slices, materialize, named, ngrams, offsets, sums
 
 WINDOW = 192
 
@@ -143,14 +143,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     order = F.xxhash64(F.lit("toxic-sample"), key)
     ids = [known.where(F.col("y") == y).orderBy(order, key).limit(n) for y, n in ((1, positives), (0, negatives))]
     texts = docs.select(F.col(key), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows, total, used = [], {0: 0, 1: 0}, {0: 0, 1: 0}
-    sized = texts.join(F.broadcast(ids[0].unionByName(ids[1])), key).where(F.octet_length("text") <= bytes_each // 8)
-    for r in sorted(sized.collect(), key=lambda r: _spread(r[key])):
-        size = len(r["text"])
-        if total[r["y"]] + size <= bytes_each:
-            total[r["y"]] += size
+    sized = texts.join(F.broadcast(ids[0].unionByName(ids[1])), key).withColumn("size", F.octet_length("text")).where(F.col("size") <= bytes_each // 8)
+    sample = materialize(sized.groupBy(key, "y").agg(F.min_by("text", F.struct("size", "text")).alias("text"), F.min("size").alias("size")), "toxic-sample")
+    total, used, chosen = {0: 0, 1: 0}, {0: 0, 1: 0}, []
+    for r in sorted(sample.select(key, "y", "size").collect(), key=lambda r: _spread(r[key])):
+        if total[r["y"]] + r["size"] <= bytes_each:
+            total[r["y"]] += r["size"]
             used[r["y"]] += 1
-            rows.append((r["text"], r["y"]))
+            chosen.append(r[key])
+    texts = {r[key]: (r["text"], r["y"]) for r in sample.where(F.col(key).isin(chosen)).select(key, "text", "y").collect()} if chosen else {}
+    rows = [texts[k] for k in chosen]
     return Model.fit([t for t, _ in rows], [y for _, y in rows], [share[y] / used[y] for _, y in rows] if weigh else None)
 
 

@@ -99,6 +99,16 @@ def test_a_scan_without_restarts_and_with_negative_values():
     assert got[:, 0].tolist() == [-5, -2] and got[0, 1] == -30 and (plain_decode(media) == got).all()
 
 
+def test_long_payloads_in_parts_are_the_same_image():
+    rng = random.Random(8)
+    payloads = [bytes(rng.choice(b"\0abcdefgh\xff") for _ in range(64 * n)) for n in (1, 40, 3, 100, 17)]
+    for restart in (1, 3):
+        whole = jpeg.encode(payloads, restart)
+        assert jpeg.encode(payloads, restart, part_blocks=8) == whole
+        for a, b in zip(jpeg.decode(whole), jpeg.decode(whole, part_blocks=8)):
+            assert (a[1] == b[1]).all()
+
+
 def test_thumbnail_is_the_dc_of_each_block():
     (found, got), = jpeg.decode(jpeg.encode([bytes([0] * 64 + [100] + [9] * 63 + [255] + [0] * 63)]))
     assert jpeg.thumbnail(found, got).tolist() == [[128, 228], [255, 128]]
