@@ -146,6 +146,13 @@ def batches(chunks: DataFrame, size: int = 5) -> DataFrame:
     return chunks.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
 
 
+def build_counts(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: entities, facts, chunks, edges of a build."""
+    ends = edges.select(F.explode(F.array("subject_key", "object_key")).alias("k")).agg(F.countDistinct("k").alias("entities"))
+    rest = facts.agg(F.count("*").alias("facts"), F.countDistinct("chunk_id").alias("chunks"))
+    return ends.crossJoin(rest).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+
+
 def entity_catalog(entities: DataFrame) -> DataFrame:
     return entities.orderBy(F.lower("canonical_name"), "entity_key")
 

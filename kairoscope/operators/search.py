@@ -110,11 +110,11 @@ def hybrid(chunks: DataFrame, visual: list[float], audio: list[float], phrase: s
     return rows.crossJoin(F.broadcast(any_exact)).where("text_match or not _any").drop("_any")  # one row
 
 
-def deduplicated(hits: DataFrame, visual_focused: bool = False, fold_most: int = 2000, group: str | None = None) -> DataFrame:
+def deduplicated(hits: DataFrame, visual_focused: bool = False, group: str | None = None) -> DataFrame:
     """Greedy suppression in rank order (text_match, joint_score, chunk_id): a hit goes if a kept one overlaps it in
     time and is of the same video, or both match the text, or both show one frame (and say the same, unless the
-    query is visual). The walk is sequential by nature, so it runs once per group of hits: in the JVM for groups of
-    up to fold_most rows, and beyond that group by group in Python, on video-free components of time.
+    query is visual). The walk is sequential by nature, so it runs as a fold in the JVM, once for each island of hits
+    that touch in time: islands cannot decide each other, and only an island's rows meet.
     """
     key = F.col(group) if group else F.lit(0)
     fields = ["text_match", "joint_score", "chunk_id", "video_id", "start_timestamp", "end_timestamp", "frame_sha256", "said"]

@@ -338,6 +338,29 @@ def replace_video(spark, folder):
     return at.read().groupBy("video_id").agg(F.count("*").alias("chunks"), F.sum(F.length("transcript")).alias("chars"))
 
 
+@query("SELECT 'c' || doc_id AS chunk_id, to_json({'video_id': source, 'frame_url': '/frames/' || doc_id || '.jpg', 'snippet': substr(lang, 1, 200)})::VARCHAR AS response FROM documents")
+def json_output(spark, folder):
+    rows = tables.chunks(spark, folder, False)
+    return rows.select("chunk_id", F.to_json(F.struct("video_id", frame_url(F.col("frame_path")).alias("frame_url"), snippet(F.col("lang")).alias("snippet"))).alias("response"))
+
+
+@query("SELECT source AS video_id, count(*) AS chunks, sum(CASE WHEN source IN ('src2', 'src6') THEN 1 ELSE length(text) END)::BIGINT AS size FROM documents GROUP BY source")
+def replace_facts(spark, folder):
+    """Two videos' rows replaced by others, the rest kept."""
+    rows = tables.chunks(spark, folder, False).select("video_id", "chunk_id", F.length("transcript").alias("size"))
+    videos = spark.createDataFrame([("src2",), ("src6",)], "video_id string")
+    return store.replaced(rows, rows.withColumn("size", F.lit(1)), videos).groupBy("video_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("size"))
+
+
+@query("SELECT 'c' || doc_id AS chunk_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 1")
+def reuse_facts(spark, folder):
+    """Chunks whose transcript has not changed and that the same model and prompt have read before."""
+    rows = tables.chunks(spark, folder, False).select("chunk_id", "chunk_index", "transcript")
+    stored = rows.withColumn("transcript", F.when(F.col("chunk_index") % 3 == 0, F.concat("transcript", F.lit("?"))).otherwise(F.col("transcript")))
+    runs = rows.select("chunk_id", F.concat(F.lit("m"), F.col("chunk_index") % 2).alias("model_id"), F.lit("p").alias("prompt_hash"))
+    return store.reusable_facts(rows, stored, rows.select("chunk_id"), runs, "m1", "p")
+
+
 # --- facts -----------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +485,16 @@ def orphan_entities(spark, folder):
     return store.orphans(parts, supply(spark, folder)[1]).groupBy("k").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {SUPPLY} SELECT lower(n) AS entity_key, min(n) AS canonical_name FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts) GROUP BY 1")
+def entity_catalog(spark, folder):
+    return graph.entity_catalog(graph.resolved_entities(supply(spark, folder)[0])).select("entity_key", "canonical_name")
+
+
+@query(f"WITH {SUPPLY} SELECT (SELECT count(DISTINCT lower(n)) FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts)) AS entities, (SELECT count(*) FROM facts) AS facts, (SELECT count(DISTINCT chunk_id) FROM facts) AS chunks, (SELECT count(*) FROM edges) AS edges")
+def build_counts(spark, folder):
+    return graph.build_counts(*supply(spark, folder))
+
+
 # --- communities -----------------------------------------------------------------------------------------------------
 
 
@@ -514,6 +547,22 @@ def community_summaries(spark, folder):
     return communities.with_summaries(found, summaries, "m").select("community_id", "level", "summary")
 
 
+@query(f"WITH {_REPORTS} SELECT community_id FROM reports WHERE level = 1")
+def missing_summaries(spark, folder):
+    """What a model has yet to summarise: reports whose content changed since."""
+    found = _reports(spark, folder)
+    made = found.select("community_id", F.when(F.col("level") == 0, F.col("content_hash")).otherwise("old").alias("content_hash"), F.lit("m").alias("model_id"))
+    return communities.missing_summaries(found, made, "m").select("community_id")
+
+
+@query(f"WITH {_REPORTS} SELECT community_id, CASE WHEN level = 0 THEN 'new' ELSE 'old' END AS summary FROM reports")
+def summary_upsert(spark, folder):
+    found = _reports(spark, folder)
+    old = found.select("community_id", "content_hash", F.lit("m").alias("model_id"), F.lit("old").alias("summary"))
+    new = old.join(found.where("level = 0").select("community_id"), "community_id", "left_semi").withColumn("summary", F.lit("new"))
+    return store.upserted(old, new, ["community_id", "content_hash", "model_id"]).select("community_id", "summary")
+
+
 @query(f"WITH {_REPORTS} SELECT community_id, member_count FROM reports WHERE community_id IN (SELECT community_id FROM members WHERE entity_key IN (SELECT subject_key FROM edges WHERE video_id = '1-URGENT' UNION SELECT object_key FROM edges WHERE video_id = '1-URGENT')) AND level = 0")
 def communities_in_scope(spark, folder):
     facts, edges = trade(spark, folder)

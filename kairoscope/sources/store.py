@@ -32,6 +32,11 @@ def without(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return table.join(keys.select(*on).distinct(), on, "left_anti")
 
 
+def replaced(table: DataFrame, new: DataFrame, videos: DataFrame, on: str = "video_id") -> DataFrame:
+    """All rows of the videos out, the new ones in: dependants of a video go with it."""
+    return without(table, videos, [on]).unionByName(new.join(videos.select(on).distinct(), on, "left_semi"))
+
+
 def kept_only(table: DataFrame, keep: DataFrame, on: str = "video_id") -> DataFrame:
     return table.join(keep.select(on).distinct(), on, "left_semi")
 
