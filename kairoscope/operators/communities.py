@@ -12,7 +12,6 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kairoscope.operators.graph import internal_facts

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kairoscope.functions import fuzzy
 from kairoscope.functions import text as T
 from kairoscope.functions.projections import frame_url, snippet
-from kairoscope.functions.vectors import confidence, store_score
+from kairoscope.functions.vectors import store_score
 from kairoscope.operators import answer, communities, evaluate, graph, mentions, search, windows
 from kairoscope.sources import media, store, tables
 from kairoscope.sources.tables import table
