@@ -4,7 +4,7 @@ A passage is a line of a text, or the whole text where it has more lines than on
 letters and digits, lower-cased; its bigrams are the distinct pairs of neighbouring words. Two sets of a and b
 bigrams reach Dice t only if a * t / (2 - t) <= b <= a * (2 - t) / t, so the number of words alone rules out most
 templates. Among the rest, a match needs over t / (2 - t) of the template's bigrams: leaving out that many of the
-commonest leaves a signature, of which a match must contain at least one word pair, hence its words. Both rules are
+commonest leaves a signature, of which a match must contain at least one word pair as a substring. Both rules are
 exact; nothing within the threshold is lost.
 
 Defined results: null or empty text has no passages and no match. A document with several matches reports the best
@@ -57,10 +57,10 @@ def bigrams(words: list[str]) -> list[str]:
 
 
 def signature(pairs: list[str], everywhere: dict[str, int], threshold: float) -> list[str]:
-    """Enough pairs that a passage without any of them cannot match: the rarest among the templates, longest words first."""
+    """Enough pairs that a passage without any of them cannot match: those with most letters, then of most templates."""
     needed = threshold / (2 - threshold) * len(pairs) - ROUNDING  # a match shares at least so many
     spare = -int(-needed // 1) - 1  # and so may miss all but these
-    ranked = sorted(pairs, key=lambda p: (-max(map(len, p.split())), everywhere[p], p))
+    ranked = sorted(pairs, key=lambda p: (-min(len(p), 12), -everywhere[p], -len(p), p))
     return ranked[: max(1, len(pairs) - max(0, spare))]
 
 
@@ -79,22 +79,20 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     for p in pairs:
         for b in p:
             everywhere[b] = everywhere.get(b, 0) + 1
-    marks = [signature(p, everywhere, threshold) for p in pairs]
-    # the longest word of each signature pair: one of these is in any text with a match
-    anchors = sorted({max(b.split(), key=lambda w: (len(w), w)) for m in marks for b in m})
-    anchors = [a for a in anchors if not any(o != a and o in a for o in anchors)]
+    # one of these pairs is in any text with a match; few pairs serve many templates
+    marks = sorted({b for p in pairs for b in signature(p, everywhere, threshold)})
     factor = threshold / (2 - threshold)
     low = min(len(p) for p in pairs) * factor - ROUNDING
     high = max(len(p) for p in pairs) / factor + ROUNDING
-    held = lambda t: F.expr("false") if not anchors else _any([F.contains(t, F.lit(a)) for a in anchors])
-
-    lowered = F.lower("text")
-    lines = F.split(lowered, "\n", -1)
+    # each step in a projection of its own: among the alternatives it would be computed again and again
+    docs = docs.select("row", F.lower("text").alias("low"))
+    docs = docs.select("row", "low", F.regexp_replace("low", _APART, " ").alias("flat"))
+    docs = docs.select("row", F.when(_any([F.contains("flat", F.lit(m)) for m in marks]), F.col("low")).alias("low"))  # null: no match
+    lines = F.transform(F.split("low", "\n", -1), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
     # whole texts count as a passage of number -1 unless they are one line
-    passages = F.when(held(lowered), F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda p: held(p["s"])))
-    whole = F.when(held(lowered) & (F.size(lines) > 1), F.array(F.struct(F.lit(-1).alias("i"), lowered.alias("s"))))
+    whole = F.when(F.contains("low", F.lit("\n")), F.array(F.struct(F.lit(-1).alias("i"), F.col("low").alias("s"))))
     empty = F.array().cast("array<struct<i:int,s:string>>")
-    first = docs.select("row", F.concat(F.coalesce(passages, empty), F.coalesce(whole, empty)).alias("_p"))
+    first = docs.select("row", F.when(F.col("low").isNotNull(), F.concat(lines, F.coalesce(whole, empty))).otherwise(empty).alias("_p"))
     # words; at least one more than bigrams, so their number bounds the set from above
     split = first.withColumn("_p", F.transform("_p", lambda p: F.struct(p["i"].alias("i"), words(p["s"]).alias("w"))))
     split = split.withColumn("_p", F.filter("_p", lambda p: F.size(p["w"]) - 1 >= low))
