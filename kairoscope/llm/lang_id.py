@@ -170,15 +170,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float = 8.0, spans: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred, score, share (of letters in words of the predicted language), n_spans and, if asked, spans.
+    """docs with lang_pred, score, share (of letters in words of the predicted language), known, n_spans and, if asked, spans.
 
     keep: the columns of docs to return, all if None.
 
     share: words in a script that the language does not use count as not its own, so text in a script never seen has
-    share 0. score: share times the mean of 1 and the posterior of the predicted language. spans: array of (start, end, lang), in code points.
+    share 0; known: the same over all languages, so mixed text is fully known. score: share times the mean of 1 and the posterior of the predicted language. spans: array of (start, end, lang), in code points.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.scripts))
-    added = {"lang_pred": "string", "score": "double", "share": "double", "n_spans": "int"} | ({"spans": "array<struct<start:int,end:int,lang:string>>"} if spans else {})
+    added = {"lang_pred": "string", "score": "double", "share": "double", "known": "double", "n_spans": "int"} | ({"spans": "array<struct<start:int,end:int,lang:string>>"} if spans else {})
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {*added, "spans"}]
     docs = docs.select(*named(dict.fromkeys([*kept, text])))
     schema = declared(docs.select(*named(kept)), added)
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     return map_slices(docs, make, schema, text)
 
 
-_ARROW = {"lang_pred": pa.string(), "score": pa.float64(), "share": pa.float64(), "n_spans": pa.int32(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))}
+_ARROW = {"lang_pred": pa.string(), "score": pa.float64(), "share": pa.float64(), "known": pa.float64(), "n_spans": pa.int32(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))}
 
 
 def identify(texts: list[str | None], model: Model, table: Words, penalty: float = 8.0, spans: bool = True) -> dict[str, list]:
@@ -210,7 +210,7 @@ def identify(texts: list[str | None], model: Model, table: Words, penalty: float
     found = [ws if ok and width else [] for ws, ok in zip(found, lettered)]
     edges = offsets([len(ws) for ws in found])
     flat = [w for ws in found for w in ws]
-    out = {"lang_pred": [UND] * n, "score": [0.0] * n, "share": [0.0] * n, "n_spans": [0] * n, "spans": [[] for _ in range(n)]}
+    out = {"lang_pred": [UND] * n, "score": [0.0] * n, "share": [0.0] * n, "known": [0.0] * n, "n_spans": [0] * n, "spans": [[] for _ in range(n)]}
     if not flat:
         return out
     scores = table.look_up(flat)
@@ -223,14 +223,15 @@ def identify(texts: list[str | None], model: Model, table: Words, penalty: float
     chance /= chance.sum(axis=1, keepdims=True)
     best = mass.argmax(axis=1)
     own = scores[np.arange(len(flat)), label]
-    known = np.bincount(doc * width + label, letters * ((own > -12) & scores.any(axis=1)), n * width).reshape(n, width)
-    share = known[np.arange(n), best] / np.maximum(1, mass.sum(axis=1))
+    held = np.bincount(doc * width + label, letters * ((own > -12) & scores.any(axis=1)), n * width).reshape(n, width)
+    share = held[np.arange(n), best] / np.maximum(1, mass.sum(axis=1))
     change = np.flatnonzero((np.diff(label, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
     runs = np.bincount(doc[change], minlength=n)
     for i in np.flatnonzero(np.diff(edges)).tolist():
         out["lang_pred"][i] = model.langs[best[i]]
         out["share"][i] = float(share[i])
         out["score"][i] = float(min(1.0, share[i] * (1 + chance[i, best[i]]) / 2))
+        out["known"][i] = float(held[i].sum() / mass[i].sum())
         out["n_spans"][i] = int(runs[i])
         if spans:
             places = [m.span() for m in LETTERS.finditer(texts[i].lower())] if len(texts[i].lower()) == len(texts[i]) else _places(texts[i])
