@@ -170,8 +170,8 @@ def ngrams(words: list[str], low: int, high: int, bits: int, marks: str = "<>")
     text = "".join(f"{marks[0]}{w}{marks[1]}" for w in words)
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
-    word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
-    left = ends[word] - np.arange(len(points))  # characters from here to the word's end
+    word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(ends, prepend=0))
+    left = (ends[word] - np.arange(len(points))).astype(np.int32)  # characters from here to the word's end
     hashed, owners, buckets = np.zeros(len(points), np.uint64), [], []
     for n in range(1, high + 1):
         if len(points) < n:
@@ -181,7 +181,7 @@ def ngrams(words: list[str], low: int, high: int, bits: int, marks: str = "<>")
             ok = left[: len(hashed)] >= n
             mixed = hashed[ok] * np.uint64(0x9E3779B97F4A7C15)
             owners.append(word[: len(hashed)][ok])
-            buckets.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
+            buckets.append((mixed >> np.uint64(64 - bits)).astype(np.int32))
     if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(owners), np.concatenate(buckets)

@@ -135,7 +135,7 @@ def windows(n: int) -> np.ndarray:
     return np.append(np.arange(count) * WINDOW, n)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", positives: int = 3000, negatives: int = 5000, bytes_each: int = 24 << 20, weigh: bool = True) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", positives: int = 2000, negatives: int = 3000, bytes_each: int = 16 << 20, weigh: bool = True) -> Model:
     """Fit on a bounded sample of labelled rows: at most so many of each label, in the order of a hash of the id, and
     at most bytes_each bytes of their text (ids beyond that are left out whole). Weights restore the labels' shares."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y")).where(F.col("y").isin(0, 1))
