@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kairoscope.functions import text as T
@@ -104,7 +105,7 @@ class Engine:
         rows, vector = self._scope(video_id), self.encode_text(query)
         is_list = rows.sparkSession.createDataFrame([(query,)], "t string").select(T.is_list_question(F.col("t"))).first()[0]
         hits = answer.best_per_chunk(rows, [self.encode_text(q) for q in answer.expanded(query, is_list)], top_k)
-        position = lambda df, order: df.withColumn("position", F.row_number().over(answer.W.orderBy(*order)))  # noqa: E731  over few rows
+        position = lambda df, order: df.withColumn("position", F.row_number().over(W.orderBy(*order)))  # noqa: E731  over few rows
         said = position(hits, [F.desc("sim"), "best_rank", "chunk_id"]).withColumn("frame_url", frame_url(F.col("frame_path")))
         base = ["position", "chunk_id", "video_id", "start_timestamp", "end_timestamp"]
         facts = rows.sparkSession.createDataFrame([], "position int, chunk_id string, video_id string, start_timestamp double, end_timestamp double, subject string, predicate string, object string, evidence string")
