@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 # Marks and letters that normalisation drops or unifies, and the list-question words.
 DIACRITICS = "[ً-ٰٟ]"
 TATWEEL = "ـ"
+ARABIC = r"[\x{600}-\x{6ff}]"
 SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
 WORD = r"[\p{L}\p{N}_]+"
 LIST_QUESTION = "أنواع|نوع|فئات|تصنيفات|أقسام|اذكر|عدّد"
@@ -59,8 +60,9 @@ def normalize_evidence(text: Column) -> Column:
 
 def normalize_transcript(text: Column) -> Column:
     """Search form of transcripts; lower case, not folded."""
-    plain = F.regexp_replace(F.translate(F.lower(text), TATWEEL, ""), DIACRITICS, "")
-    plain = F.translate(plain, "أإآٱىةؤئ", "ااااي" + "هوي")
+    low = F.lower(text)
+    spelt = F.translate(F.regexp_replace(F.translate(low, TATWEEL, ""), DIACRITICS, ""), "أإآٱىةؤئ", "ااااي" + "هوي")
+    plain = F.when(low.rlike(ARABIC), spelt).otherwise(low)  # the spelling rules touch no other text, and cost most
     return collapse(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]", " "))
 
 
