@@ -125,8 +125,9 @@ def viterbi(scores: np.ndarray, edges: np.ndarray, penalty: float) -> np.ndarray
     todo = todo[np.argsort(-sizes[todo], kind="stable")]
     start, length = edges[todo], sizes[todo]
     width = scores.shape[1]
-    back = np.zeros((len(scores), width), np.uint8)
-    same = np.arange(width, dtype=np.uint8)
+    number = np.uint8 if width <= 256 else np.uint16  # MOST_LANGUAGES is over 256
+    back = np.zeros((len(scores), width), number)
+    same = np.arange(width, dtype=number)
     value = scores[start].astype(np.float64)
     final = np.zeros(len(todo), np.int64)
     live = len(todo)

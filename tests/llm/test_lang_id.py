@@ -71,3 +71,9 @@ def test_very_long_text():
     text = "the river " * 30_000 + "дом река " * 30_000
     got = lang_id.identify([text, "x" * 200_000], model, Words(model.score, 4))
     assert [s["lang"] for s in got["spans"][0]] == ["en", "ru"]
+
+
+def test_viterbi_with_over_256_languages():
+    scores = np.zeros((12, lang_id.MOST_LANGUAGES), np.float32)
+    scores[:6, 280] = scores[6:, 499] = 10
+    assert lang_id.viterbi(scores, offsets([12]), 8.0).tolist() == [280] * 6 + [499] * 6
