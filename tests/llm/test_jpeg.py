@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ def plain_decode(media):
     """One bit at a time, one symbol at a time, straight from the format's description."""
     p = jpeg.parse(media)
     codes = []
-    for counts, symbols in p["tables"]:
+    for counts, symbols in p["units"][0][1:]:
         code, k, table = 0, 0, {}
         for length, n in enumerate(counts, 1):
             for _ in range(n):
@@ -114,11 +115,117 @@ def test_thumbnail_is_the_dc_of_each_block():
     assert jpeg.thumbnail(found, got).tolist() == [[128, 228], [255, 128]]
 
 
+class Bits:
+    def __init__(self):
+        self.text = ""
+
+    def put(self, code, size):
+        self.text += format(code, f"0{size}b") if size else ""
+
+    def number(self, table, run, value):
+        size = abs(value).bit_length()
+        self.put(*table[run << 4 | size])
+        self.put(value if value >= 0 else value + (1 << size) - 1, size)
+
+    def done(self):
+        text = self.text + "1" * (-len(self.text) % 8)
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\0")
+
+
+def colour(rng, width, height, sampling, restart=0, interleaved=True):
+    """A baseline file of several components with made-up coefficients, and the DC of the first one's blocks, row by row."""
+    h, v = max(a for a, _ in sampling), max(b for _, b in sampling)
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    dc, ac = jpeg._canonical(*jpeg.DC), jpeg._canonical(*jpeg.AC)
+    planes = [{(x, y): [rng.randrange(-120, 120)] + [rng.choice([0, 0, 0, 3, -7]) for _ in range(63)] for y in range(down * b) for x in range(across * a)} for a, b in sampling]
+    orders = []
+    if interleaved:
+        orders.append((list(range(len(sampling))), [[(c, mx * a + x, my * b + y) for c, (a, b) in enumerate(sampling) for y in range(b) for x in range(a)] for my in range(down) for mx in range(across)]))
+    else:
+        for c, (a, b) in enumerate(sampling):
+            wide, tall = -(-(-(-width * a // h)) // 8), -(-(-(-height * b // v)) // 8)
+            orders.append(([c], [[(c, x, y)] for y in range(tall) for x in range(wide)]))
+    seg = jpeg._segment
+    media = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xDB, b"\0" + b"\x08" * 64) + seg(0xDB, b"\1" + b"\x10" * 64) + b"\xff"
+    media += seg(0xC0, bytes([8, height >> 8, height & 255, width >> 8, width & 255, len(sampling)]) + b"".join(bytes([c + 1, a << 4 | b, min(c, 1)]) for c, (a, b) in enumerate(sampling)))
+    media += seg(0xC4, b"\x00" + bytes(jpeg.DC[0]) + bytes(jpeg.DC[1]) + b"\x10" + bytes(jpeg.AC[0]) + bytes(jpeg.AC[1]))
+    media += seg(0xDD, bytes([0, restart])) if restart else b""
+    for components, units in orders:
+        media += seg(0xDA, bytes([len(components)]) + b"".join(bytes([c + 1, 0]) for c in components) + b"\0\x3f\0")
+        bits, before, number = Bits(), [0] * len(sampling), 0
+        for k, unit in enumerate(units):
+            if restart and k and k % restart == 0:
+                media += bits.done() + bytes([0xFF, 0xD0 + number % 8])
+                bits, before, number = Bits(), [0] * len(sampling), number + 1
+            for c, x, y in unit:
+                block = planes[c][x, y]
+                bits.number(dc, 0, block[0] - before[c])
+                before[c], run = block[0], 0
+                for value in block[1:]:
+                    if value == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits.put(*ac[0xF0])
+                        run -= 16
+                    bits.number(ac, run, value)
+                    run = 0
+                if run:
+                    bits.put(*ac[0])
+        media += bits.done()
+    a, b = sampling[0]
+    wide, tall = -(-(-(-width * a // h)) // 8), -(-(-(-height * b // v)) // 8)
+    return media + b"\xff\xd9", [[planes[0][x, y][0] for x in range(wide)] for y in range(tall)]
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1)], [(1, 1), (2, 1)]])
+@pytest.mark.parametrize("restart", [0, 3])
+def test_colour_images_give_their_luminance(sampling, restart):
+    rng = random.Random(restart)
+    made = [colour(rng, w, h, sampling, restart, interleaved) for w, h in ((8, 8), (33, 50), (100, 17)) for interleaved in (True, False)]
+    for (_, want), (found, got) in zip(made, jpeg.decode([m for m, _ in made], part_blocks=8)):
+        assert got[:, 0].reshape(found["luma"][::-1]).tolist() == want
+        assert jpeg.thumbnail(found, got).shape == (len(want), len(want[0]))
+
+
 def test_malformed_media_is_an_error():
-    (good,) = jpeg.encode([jpeg.payload("hello")])
-    for bad in (b"no", good.replace(b"\xff\xc0", b"\xff\xc2")):
-        with pytest.raises((ValueError, IndexError)):
-            jpeg.decode([bad])
+    (good,) = jpeg.encode([jpeg.payload("hello " * 40)])
+    bad = [b"no", good.replace(b"\xff\xc0", b"\xff\xc2"), good.replace(b"\xff\xd0", b"", 1)]
+    for whole in (good, colour(random.Random(3), 40, 20, [(2, 2), (1, 1), (1, 1)], 2)[0]):
+        bad += [whole[:n] for n in range(len(whole))]
+    for media in bad:
+        with pytest.raises(ValueError):
+            jpeg.decode([media])
+
+
+def test_thumbnails_of_stored_media(spark):
+    good, _ = colour(random.Random(5), 90, 40, [(2, 1), (1, 1), (1, 1)])
+    rows = {r.n: r for r in jpeg.thumbnails(spark.createDataFrame([(1, good), (2, good[:50]), (3, None), (4, b""), (5, good)], "n int, media binary")).collect()}
+    assert (rows[1].width, rows[1].height, len(rows[1].thumbnail), rows[1].error) == (90, 40, 12 * 5, None)
+    assert rows[1].feature == rows[5].feature and all(rows[n].error and rows[n].feature is None for n in (2, 3, 4))
+
+
+def test_the_hash_sees_every_block():
+    rng = np.random.default_rng(0)
+    thumb = rng.integers(100, 140, (64, 63)).astype(np.uint8)
+    for y, x in ((0, 0), (31, 30), (63, 62)):
+        other = thumb.copy()
+        cell = other[y // 8 * 8 : y // 8 * 8 + 8, x // 7 * 7 : x // 7 * 7 + 7]
+        cell[:] = 0
+        assert jpeg.thumbnail_hash(other) != jpeg.thumbnail_hash(np.where(other == 0, 255, other).astype(np.uint8))
+    small = np.array([[1, 2], [3, 1]], np.uint8)
+    assert len(jpeg.thumbnail_hash(small)) == 16
+
+
+@pytest.mark.parametrize("texts", [["ordinary words of a row " * 8] * 10_000, ["one long text " * 150_000], ["漢字仮名" * 16] * 10_000])
+def test_working_memory_is_bounded(texts):
+    jpeg.describe(["warm"])
+    tracemalloc.start()
+    for low in range(0, len(texts), 5000):
+        jpeg.describe(texts[low : low + 5000], False, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
 
 
 def test_media_columns(spark):
