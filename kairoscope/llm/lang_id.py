@@ -4,7 +4,8 @@ Scripts narrow the candidates of a word, hashed character n-grams score it under
 path with a penalty for each switch labels spans. The document's language is the one with most letters.
 
 Defined results: null text, or text without a letter, gives `und` and score 0. Ties go to the language that sorts
-first. Rows are never merged, so repeated rows give repeated results. Other columns are left alone unless they
+first. With one learned language all text in its scripts is of it, with none every text is `und`. Labels
+beyond the MOST_LANGUAGES commonest are not learned. Rows are never merged, so repeated rows give repeated results. Other columns are left alone unless they
 have the name of an output column, which then replaces them. Whole texts are read, however long.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from kairoscope.llm.common import LETTERS, Words, declared, map_slices, named, ngrams, offsets, sums
 
 UND = "und"
-#: Languages whose scores may be sent to every worker, a quarter of a MB each.
+#: Languages that are learned, the commonest first: their scores go to every worker, a quarter of a MB each.
 MOST_LANGUAGES = 500
 
 # First code points of Unicode script blocks and the script that begins there.
@@ -59,32 +60,35 @@ class Model:
         langs = sorted({lang for _, lang in rows})
         if not langs:
             return cls([], np.zeros((1 << cls.BITS, 0), np.float32), np.zeros((0, len(SCRIPTS)), bool))
-        counts = np.full((1 << cls.BITS, len(langs)), 0.5)
+        counts = np.full((1 << cls.BITS, len(langs)), 0.5, np.float32)
         seen = np.zeros((len(langs), len(SCRIPTS)))
-        for k, lang in enumerate(langs):
-            tally: dict[str, int] = {}
-            for text, own in rows:
-                if own == lang:
-                    for w in LETTERS.findall(text.lower()):
-                        tally[w] = tally.get(w, 0) + 1
+        tallies: list[dict[str, int]] = [{} for _ in langs]
+        number = {lang: k for k, lang in enumerate(langs)}
+        for text, lang in rows:
+            tally = tallies[number[lang]]
+            for w in LETTERS.findall(text.lower()):
+                tally[w] = tally.get(w, 0) + 1
+        for k, tally in enumerate(tallies):
             if tally:
                 n = np.fromiter(tally.values(), np.float64, len(tally))
                 owner, bucket = ngrams(list(tally), cls.LOW, cls.HIGH, cls.BITS)
                 counts[:, k] += np.bincount(bucket, n[owner], 1 << cls.BITS)
                 seen[k] = np.bincount(script_of(list(tally)), n, len(SCRIPTS))
-        logs = np.log(counts / counts.sum(axis=0))
+        logs = np.log(np.divide(counts, counts.sum(axis=0, dtype=np.float64), out=counts, casting="same_kind"), out=counts)
         logs -= logs.mean(axis=1, keepdims=True)
-        return cls(langs, np.clip(logs, -6, 6).astype(np.float32), seen > script_share * np.maximum(1, seen.sum(axis=1, keepdims=True)))
+        return cls(langs, np.clip(logs, -6, 6, out=logs), seen > script_share * np.maximum(1, seen.sum(axis=1, keepdims=True)))
 
     def score(self, words: list[str]) -> np.ndarray:
-        """[words, languages]: summed n-gram weights over the number of orders; -12 outside a word's scripts, unless no language has it (0)."""
+        """[words, languages + 1]: summed n-gram weights over the number of orders; -12 outside a word's scripts, unless
+        no language has it (0). The last column is 1 if some language uses the word's script."""
         owner, bucket = ngrams(words, self.LOW, self.HIGH, self.BITS)
         out = np.stack([np.bincount(owner, self.weights[bucket, k], len(words)) for k in range(len(self.langs))], axis=1)
         out = np.clip(out / (self.HIGH - self.LOW + 1), -8, 8)
         allowed = self.scripts[:, script_of(words)].T
         out[~allowed] = -12
-        out[~allowed.any(axis=1)] = 0
-        return out.astype(np.float32)
+        used = allowed.any(axis=1)
+        out[~used] = 0
+        return np.column_stack([out, used]).astype(np.float32)
 
 
 def steady(scores: np.ndarray, edges: np.ndarray, best: np.ndarray, penalty: float) -> np.ndarray:
@@ -156,17 +160,16 @@ def viterbi(scores: np.ndarray, edges: np.ndarray, penalty: float) -> np.ndarray
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, bytes_per_lang: int = 4 << 20) -> Model:
     """Fit on a bounded sample: about `docs_per_lang` documents of each language, chosen by a hash of the key, and at
-    most `bytes_per_lang` bytes of them. Rows without text or language teach nothing."""
+    most `bytes_per_lang` bytes of them. Rows without text or language teach nothing, nor do labels beyond the
+    MOST_LANGUAGES commonest."""
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("lang-sample"), key).alias("h"), F.octet_length(text).alias("n"))
-    counts = [(r["lang"], r["count"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum("n").alias("bytes")).limit(MOST_LANGUAGES + 1).collect()]
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages: the model that every worker holds would not be small")
-    keep = F.lit(False)
-    for name, count, size in counts:
-        share = min(1.0, docs_per_lang / count, bytes_per_lang / max(1, size))
-        keep = keep | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < max(1, int(share * (1 << 30)))) & (F.col("n") <= bytes_per_lang))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("count"), F.sum("n").alias("bytes"))
+    counts = [(r["lang"], r["count"], r["bytes"]) for r in sizes.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    shares = [(name, max(1, int(min(1.0, docs_per_lang / count, bytes_per_lang / max(1, size)) * (1 << 30)))) for name, count, size in counts]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, most long")
+    chosen = rows.where(F.col("n") <= bytes_per_lang).join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("most"))
     # one row for a hash: rows that repeat an id cannot swell the sample
-    sample = rows.where(keep).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
     return Model.fit([(r["text"], r["lang"]) for r in sample.orderBy("lang", "h").collect()])
 
 
@@ -176,7 +179,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     keep: the columns of docs to return, all if None.
 
     share: words in a script that the language does not use count as not its own, so text in a script never seen has
-    share 0; known: the same over all languages, so mixed text is fully known. score: share times the mean of 1 and the posterior of the predicted language. spans: array of (start, end, lang), in code points.
+    share 0; known: the same over all languages, so mixed text is fully known. Both ask which scripts a language uses,
+    not how its words score: of one learned language every word in its scripts is known. score: share times the mean of
+    1 and the posterior of the predicted language. spans: array of (start, end, lang), in code points.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.scripts))
     added = {"lang_pred": "string", "score": "double", "share": "double", "known": "double", "n_spans": "int"} | ({"spans": "array<struct<start:int,end:int,lang:string>>"} if spans else {})
@@ -186,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
 
     def make():
         known = Model(*broadcast.value)
-        table = Words(known.score, max(1, len(known.langs)))
+        table = words_of(known)
 
         def label(part: pa.Table) -> pa.Table:
             out = identify(part.column(text).to_pylist(), known, table, penalty, spans)
@@ -200,6 +205,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     return map_slices(docs, make, schema, text)
 
 
+def words_of(model: Model) -> Words:
+    return Words(model.score, len(model.langs) + 1)
+
+
 _ARROW = {"lang_pred": pa.string(), "score": pa.float64(), "share": pa.float64(), "known": pa.float64(), "n_spans": pa.int32(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))}
 
 
@@ -214,7 +223,8 @@ def identify(texts: list[str | None], model: Model, table: Words, penalty: float
     out = {"lang_pred": [UND] * n, "score": [0.0] * n, "share": [0.0] * n, "known": [0.0] * n, "n_spans": [0] * n, "spans": [[] for _ in range(n)]}
     if not flat:
         return out
-    scores = table.look_up(flat)
+    rows = table.look_up(flat)
+    scores, used = np.ascontiguousarray(rows[:, :width]), rows[:, width] > 0
     letters = np.fromiter(map(len, flat), np.float64, len(flat))
     label = viterbi(scores, edges, penalty)
     doc = np.repeat(np.arange(n), np.diff(edges))
@@ -224,7 +234,7 @@ def identify(texts: list[str | None], model: Model, table: Words, penalty: float
     chance /= chance.sum(axis=1, keepdims=True)
     best = mass.argmax(axis=1)
     own = scores[np.arange(len(flat)), label]
-    held = np.bincount(doc * width + label, letters * ((own > -12) & scores.any(axis=1)), n * width).reshape(n, width)
+    held = np.bincount(doc * width + label, letters * ((own > -12) & used), n * width).reshape(n, width)
     share = held[np.arange(n), best] / np.maximum(1, mass.sum(axis=1))
     change = np.flatnonzero((np.diff(label, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
     runs = np.bincount(doc[change], minlength=n)

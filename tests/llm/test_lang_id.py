@@ -5,6 +5,7 @@ import numpy as np
 
 from kairoscope.llm import lang_id
 from kairoscope.llm.common import Words, offsets
+from kairoscope.llm.lang_id import words_of
 
 WORDS = {"en": "the of and house river water light stone".split(), "de": "der und haus fluss wasser licht stein über".split(), "ru": "дом река вода свет камень и на".split(), "el": "σπίτι ποτάμι νερό φως πέτρα και".split()}
 
@@ -35,7 +36,7 @@ def test_viterbi_finds_the_best_path():
 
 def test_scripts_spans_and_defined_results():
     model = lang_id.Model.fit(corpus())
-    table = Words(model.score, len(model.langs))
+    table = words_of(model)
     text = "the river and the house of stone. река и дом на камень вода. the water and light"
     got = lang_id.identify([text, None, "", "123 !? 4", "漢字", "Haus und Wasser über Stein", "νερό"], model, table)
     assert [s["lang"] for s in got["spans"][0]] == ["en", "ru", "en"]
@@ -48,7 +49,7 @@ def test_scripts_spans_and_defined_results():
 def test_a_bounded_word_table_gives_the_same():
     model = lang_id.Model.fit(corpus())
     texts = [t for t, _ in corpus(5, 9)]
-    wide, narrow = Words(model.score, 4), Words(model.score, 4, most=3)
+    wide, narrow = words_of(model), Words(model.score, 5, most=3)
     for t in texts:
         assert lang_id.identify([t], model, wide) == lang_id.identify([t], model, narrow)
 
@@ -69,7 +70,7 @@ def test_held_out_accuracy_and_tables(spark):
 def test_very_long_text():
     model = lang_id.Model.fit(corpus())
     text = "the river " * 30_000 + "дом река " * 30_000
-    got = lang_id.identify([text, "x" * 200_000], model, Words(model.score, 4))
+    got = lang_id.identify([text, "x" * 200_000], model, words_of(model))
     assert [s["lang"] for s in got["spans"][0]] == ["en", "ru"]
 
 
@@ -77,3 +78,27 @@ def test_viterbi_with_over_256_languages():
     scores = np.zeros((12, lang_id.MOST_LANGUAGES), np.float32)
     scores[:6, 280] = scores[6:, 499] = 10
     assert lang_id.viterbi(scores, offsets([12]), 8.0).tolist() == [280] * 6 + [499] * 6
+
+
+def test_one_language_is_known_and_sure(spark):
+    texts = [t for t, lang in corpus(20, 5) if lang == "en"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(99, "дом река", None), (98, "12", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lang_id.predict(docs, lang_id.train(docs), spans=False).collect()}
+    assert all(got[i].lang_pred == "en" and got[i].known == got[i].share == 1 and got[i].score > 0.99 for i in range(len(texts)))
+    assert got[99].known == got[99].score == 0 and got[98].lang_pred == "und"
+
+
+def test_three_hundred_languages():
+    rng = random.Random(2)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(12)] for k in range(300)}
+    texts = {lang: " ".join(rng.choice(own) for _ in range(60)) for lang, own in words.items()}
+    model = lang_id.Model.fit([(" ".join(own), lang) for lang, own in words.items()])
+    got = lang_id.identify([*texts.values(), f"{texts['l299']} {texts['l257']}"], model, words_of(model))
+    assert got["lang_pred"][:300] == list(texts) and min(got["score"][:300]) > 0.9
+    assert [s["lang"] for s in got["spans"][300]] == ["l299", "l257"]
+
+
+def test_rare_labels_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(corpus(5))] + [(1000, "дом река", "ru"), (1001, "der Fluss", "de")], "doc_id long, text string, lang string")
+    assert lang_id.train(docs).langs == ["de", "ru"]
