@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoscope.llm import bpe, jpeg, lang_id, licenses, packing, quality, sharding, simhash, token_scan, toxicity
@@ -11,8 +11,13 @@ from kairoscope.llm.common import remainder, scratch_path
 from kairoscope.sources.tables import table
 
 
+def held_out(n: int, k: int) -> Column:
+    """Never null: a row without an id is not held out."""
+    return F.coalesce(remainder("doc_id", n) == k, F.lit(False))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(3, 1))
     model = lang_id.train(docs.where(~F.col("held_out")))
     return lang_id.predict(docs, model, spans=False, keep=["doc_id", "held_out"])
 
@@ -23,7 +28,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(5, 0))
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
     return toxicity.predict(docs, toxicity.train(docs, labels), keep=["doc_id", "held_out"])
 

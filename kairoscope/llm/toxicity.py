@@ -7,22 +7,22 @@ largest over windows of WINDOW words (the last window takes the rest, so that no
 passage visible in a long text.
 
 Defined results: null or empty text, or text without letters, has no window and gets the model's score of an empty
-bag (its bias). Rows of labels with a null id or label teach nothing; an id labelled twice counts as toxic if any
+bag (its bias). Rows of labels with a null id or label, or without a text, teach nothing; an id labelled twice counts as toxic if any
 of its labels is. Repeated rows give repeated results; whole texts are read, however long. With labels of one kind
 only, or none, every score is that share (0 without labels).
 """
 
 from __future__ import annotations
 
-
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from kairoscope.llm.common import LETTERS, Words, declared, map_slices, materialize, named, ngrams, offsets, sums
+from kairoscope.llm.common import LETTERS, Words, declared, discard, map_slices, materialize, named, ngrams, offsets, sums
 
 WINDOW = 192
 
@@ -136,24 +136,29 @@ def windows(n: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", positives: int = 2000, negatives: int = 3000, bytes_each: int = 16 << 20, weigh: bool = True) -> Model:
-    """Fit on a bounded sample of labelled rows: at most so many of each label, in the order of a hash of the id, and
-    at most bytes_each bytes of their text (ids beyond that are left out whole). Weights restore the labels' shares."""
+    """Fit on a bounded sample of labelled rows that have a text: at most so many of each label, in the order of a hash
+    of the id, and at most bytes_each bytes of their text (ids beyond that are left out whole, as are texts above an
+    eighth of it, so that a few long ones do not make up the sample). Weights restore the labels' shares. Of several
+    rows with one id the shortest text teaches."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y")).where(F.col("y").isin(0, 1))
+    texts = docs.select(F.col(key), F.col(text).alias("text"), F.octet_length(text).alias("size")).where(F.col(key).isNotNull() & (F.col("size") <= bytes_each // 8))
+    # labels meet sizes, not texts: the join moves two numbers a document
+    known = materialize(known.join(texts.groupBy(key).agg(F.min("size").alias("size")), key), "labelled")
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64(F.lit("toxic-sample"), key)
     ids = [known.where(F.col("y") == y).orderBy(order, key).limit(n) for y, n in ((1, positives), (0, negatives))]
-    texts = docs.select(F.col(key), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    sized = texts.join(F.broadcast(ids[0].unionByName(ids[1])), key).withColumn("size", F.octet_length("text")).where(F.col("size") <= bytes_each // 8)
-    sample = materialize(sized.groupBy(key, "y").agg(F.min_by("text", F.struct("size", "text")).alias("text"), F.min("size").alias("size")), "toxic-sample")
-    total, used, chosen = {0: 0, 1: 0}, {0: 0, 1: 0}, []
-    for r in sorted(sample.select(key, "y", "size").collect(), key=lambda r: _spread(r[key])):
+    total, used, chosen = {0: 0, 1: 0}, {0: 0, 1: 0}, {}
+    for r in sorted(ids[0].unionByName(ids[1]).collect(), key=lambda r: _spread(r[key])):
         if total[r["y"]] + r["size"] <= bytes_each:
             total[r["y"]] += r["size"]
             used[r["y"]] += 1
-            chosen.append(r[key])
-    texts = {r[key]: (r["text"], r["y"]) for r in sample.where(F.col(key).isin(chosen)).select(key, "text", "y").collect()} if chosen else {}
-    rows = [texts[k] for k in chosen]
-    return Model.fit([t for t, _ in rows], [y for _, y in rows], [share[y] / used[y] for _, y in rows] if weigh else None)
+            chosen[r[key]] = r["y"]
+    discard(known)
+    if not chosen:
+        return Model.fit([], [])
+    wanted = docs.sparkSession.createDataFrame([(k,) for k in chosen], StructType([known.schema[key]]))  # at most positives + negatives ids
+    found = {r[key]: r["text"] for r in texts.join(F.broadcast(wanted), key).groupBy(key).agg(F.min_by("text", F.struct("size", "text")).alias("text")).collect()}
+    return Model.fit([found[k] for k in chosen], list(chosen.values()), [share[y] / used[y] for y in chosen.values()] if weigh else None)
 
 
 def _spread(key) -> int:

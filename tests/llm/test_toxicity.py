@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from kairoscope.llm import toxicity
-from kairoscope.llm.common import Words
+from kairoscope.llm.common import LETTERS, Words
 
 PLAIN = [f"{a}{b}{c}" for a in ("ba", "do", "ki", "lu") for b in ("ren", "sto", "mil", "ta") for c in ("da", "ne", "or")]
 BAD = ["idiotic", "moronic", "trashy", "worthless"]
@@ -57,3 +57,40 @@ def test_tables(spark):
     empty = toxicity.predict(docs.limit(0), model)
     assert empty.count() == 0
     assert {r.score < 0.01 for r in toxicity.predict(docs, toxicity.train(docs, labels.limit(0))).collect()} == {True}
+
+
+def plain_score(model, text):
+    """Word by word and n-gram by n-gram, in whole numbers modulo 2^64."""
+    gaps = []
+    for word in LETTERS.findall((text or "").lower()):
+        marked, own = f"<{word}>", []
+        for low in range(len(marked)):
+            h = 0
+            for n, c in enumerate(marked[low : low + model.HIGH], 1):
+                h = (h * 1_000_003 + ord(c) + n) % 2**64
+                if n >= model.LOW:
+                    own.append(float(model.gaps[h * 0x9E3779B97F4A7C15 % 2**64 >> 64 - model.BITS]))
+        gaps.append(sum(own) / max(1, len(own)))
+    count = max(1, len(gaps) // toxicity.WINDOW)
+    best = -np.inf
+    for k in range(count):
+        part = gaps[k * toxicity.WINDOW : (k + 1) * toxicity.WINDOW if k + 1 < count else None]
+        best = max(best, sum(part) / max(1, len(part)) + model.bias)
+    return 1 / (1 + np.exp(-best))
+
+
+def test_scores_match_a_plain_scorer():
+    train = sample(300, 6)
+    model = toxicity.Model.fit([t for _, t, _ in train], [y for _, _, y in train])
+    texts = [None, "", "12 !", "a", "İstanbul Straße été", *[t for _, t, _ in sample(30, 7)], " ".join(t for _, t, _ in sample(12, 8))]
+    got = model.scores(texts, Words(model.word_gaps, 1))
+    assert np.abs(got - [plain_score(model, t) for t in texts]).max() < 1e-5
+
+
+def test_labels_without_a_text_do_not_use_up_the_sample(spark):
+    rows = sample(120, 9)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(10_000 + i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    got = toxicity.train(docs, labels, positives=24, negatives=96)
+    want = toxicity.train(docs, labels.where("doc_id < 10000"), positives=24, negatives=96)
+    assert got.bias == want.bias and (got.gaps == want.gaps).all() and np.abs(got.gaps).max() > 0
