@@ -1,13 +1,18 @@
 import random
 
+import zlib
+
 import pytest
+import xxhash
 
 from kairoscope.llm import sharding
 
 
 def placed(spark, rows, **kw):
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, serial int, range int")
-    return sharding.shard(sharding.keyed(docs), **kw).collect()
+    got = sharding.shard(sharding.keyed(docs, keep=docs.columns), **kw).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text, r.serial, r.range) for r in got))) == sorted(map(repr, ((d, t, n, k) for d, t, _, n, k in rows)))
+    return got
 
 
 def well_formed(rows, got, shards=8):
@@ -42,3 +47,34 @@ def test_nulls_repeats_and_empty_tables(spark):
     well_formed(rows, placed(spark, rows))
     assert placed(spark, []) == []
     assert [r.slot for r in placed(spark, [(1, "a", "s", 1, 1)])] == [0]
+
+
+def test_placement_against_one_sorted_list(spark):
+    """Whatever the splitters: shards are where the middles of the records lie in the order of (hash, id)."""
+    rng = random.Random(4)
+    texts = [None, "", *["w " * rng.randrange(1, 300) for _ in range(60)]]
+    rows = [(i, rng.choice(texts), "s", i, 2) for i in range(700)]
+    signed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(t.encode(), 42) >> 63 else 0)
+    order = sorted(rows, key=lambda r: (r[1] is not None, signed(r[1]) if r[1] is not None else 0, r[0]))
+    total, at, want, slots = sum(len((t or "").encode()) + 1 for _, t, *_ in rows), 0, {}, [0] * 8
+    for d, t, *_ in order:
+        size = len((t or "").encode()) + 1
+        k = min(7, (2 * at + size) * 8 // (2 * total))
+        want[d] = (size, zlib.crc32((t or "").encode()) if t is not None else 0, k, slots[k])
+        slots[k] += 1
+        at += size
+    for ranges in (None, 3):
+        assert {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in placed(spark, rows, ranges=ranges)} == want
+
+
+def test_a_host_of_empty_texts_is_spread_over_ranges(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "if(id < 15000, '', repeat('long text ', 500)) as text")
+    seen = []
+    whole = sharding.located
+    monkeypatch.setattr(sharding, "located", lambda place, splitters, kind: seen.append(splitters) or whole(place, splitters, kind))
+    got = sharding.shard(sharding.keyed(docs), ranges=16).collect()
+    assert len(got) == 20_000
+    empty = xxhash.xxh64_intdigest(b"", 42)
+    empty -= 1 << 64 if empty >> 63 else 0
+    cuts = [-1, *[k for h, k, _ in seen[-1] if h == empty], 15_000]
+    assert max(b - a for a, b in zip(cuts, cuts[1:])) <= 2 * 2 * 20_000 / 16
