@@ -2,34 +2,35 @@
 
 A document's histogram over character classes and its histogram over its language's commonest words (and all other
 words together) are compared with the language's own by Jensen-Shannon distance. References are sums over all
-documents of the language, rows without a language forming one of their own; the commonest words come from a
-mergeable frequent-items sketch over every word and are then counted exactly. Histograms of few characters or words
-are noise, so each comparison has a minimum length below which it passes.
+documents of the language, rows without a language forming one of their own; every word of every document is
+counted (within a task first), and the commonest of each language are taken, ties by the word itself. Character
+classes hold every letter: small ones, capitals, letters without case (as of Chinese or Arabic), combining marks,
+digits, symbols, and what is left, mostly punctuation. Histograms of few characters or words are noise, so each
+comparison has a minimum length below which it passes.
 
 Repeated three-word windows are found in one sort per document: each window's XXH64 with its position in the low
 bits (as many as the document needs), so equal windows are neighbours. The hash keeps at least 64 - bits(n) bits;
 for a document of n words the chance of a false repeat is about n^2 / 2^(65 - bits(n)), 1e-11 at 600 words.
 
 Defined results: null or empty text has no words, all counts 0, and fails the base rules. Every row is returned
-once, repeated rows and null ids too. An empty table gives an empty result.
+once, repeated rows and null ids too. A language without words has no word distance and passes it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kairoscope.llm.common import materialize, named
 
 BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = r"[\x20\x09-\x0D]+"
-#: Languages whose references may be sent to every executor; more would be a broken column and raise an error.
+#: Rows of references that are broadcast; with more languages they are joined by a shuffle.
 MOST_LANGUAGES = 10_000
-#: Items that the sketch of each language tracks.
-TRACKED = 10_000
-#: Words whose exact counts are taken of each language, and how many of them, the commonest, make up its histogram.
-CANDIDATES, COMMON = 24, 16
-CLASSES = ("lower", "upper", "digit", "symbol", "punctuation")
+#: How many words of each language, its commonest, make up its histogram.
+COMMON = 16
+CLASSES = ("lower", "upper", "caseless", "mark", "digit", "symbol", "punctuation")
 
 
 def words(text: Column) -> Column:
@@ -38,30 +39,34 @@ def words(text: Column) -> Column:
     return F.when(bare.isNull() | (bare == ""), F.array().cast("array<string>")).otherwise(F.split(bare, _BLANK))
 
 
-def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = CANDIDATES) -> list[tuple[str, list[int]]]:
-    """(language, hashes of its `most` commonest words in ascending order), "" for rows without a language."""
-    each = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.explode(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))).alias("h"))
-    top = each.groupBy("lang").agg(F.expr(f"approx_top_k(h, {most}, {TRACKED})").alias("top"))
-    rows = top.select("lang", F.array_sort(F.col("top.item")).alias("common")).limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    return [(r["lang"], r["common"]) for r in rows]
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = COMMON) -> DataFrame:
+    """(l_lang, l_common: hashes of its `most` commonest words), "" for rows without a language."""
+    each = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("l_lang"), F.explode(words(F.col(text))).alias("word"))
+    counted = each.groupBy("l_lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("l_lang").orderBy(F.desc("n"), "word"))  # the limit goes before its shuffle
+    top = counted.withColumn("place", place).where(F.col("place") <= most)
+    return top.groupBy("l_lang").agg(F.array_sort(F.collect_list(F.struct("place", F.xxhash64("word").alias("h")))).alias("t")).select("l_lang", F.col("t.h").alias("l_common"))
 
 
-def measured(docs: DataFrame, common: list[tuple[str, list[int]]], text: str = "text", lang: str = "lang", keep: list[str] = ("doc_id",), most: int = CANDIDATES) -> DataFrame:
+def _small(lists: DataFrame) -> DataFrame:
+    """lists, written once, to be broadcast if they have a bounded number of rows."""
+    held = materialize(lists, "references")
+    return F.broadcast(held) if held.count() <= MOST_LANGUAGES else held
+
+
+def measured(docs: DataFrame, common: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] = ("doc_id",), most: int = COMMON) -> DataFrame:
     """The columns `keep`, the base counts, the language, and the two histograms as arrays of counts."""
-    spark = docs.sparkSession
-    lists = spark.createDataFrame([(a, (b + [0] * most)[:most], len(b)) for a, b in common] or [("", [0] * most, 0)], "l_lang string, l_common array<bigint>, l_n int")
+    lists = common.select("l_lang", F.concat("l_common", F.array_repeat(F.lit(0).cast("bigint"), F.lit(most) - F.size("l_common"))).alias("l_common"), F.size("l_common").alias("l_n"))
     t = F.col("b_text")
     kept = [c.alias(f"k{i}") for i, c in enumerate(named(keep))]
     base = docs.select(*kept, F.coalesce(F.col(lang), F.lit("")).alias("b_lang"), F.coalesce(F.col(text), F.lit("")).alias("b_text"))
-    base = base.join(F.broadcast(lists), F.col("b_lang") == F.col("l_lang"), "left")
+    base = base.join(_small(lists), F.col("b_lang") == F.col("l_lang"), "left")
     names = [f"k{i}" for i in range(len(keep))]
     base = base.select(*names, "b_lang", "l_common", "l_n", words(t).alias("w"), F.regexp_replace(t, r"[\p{Ll}\x20\x09-\x0D]+", "").alias("marks"), F.filter(F.split(t, "\n", -1), lambda s: F.btrim(s, F.lit(BLANKS)) != "").alias("lines"))
     long = F.length("marks")
     base = base.select(
         *names, "b_lang", "l_common", "l_n", F.size("w").alias("n_words"), F.length(F.array_join("w", "")).alias("word_chars"), long.alias("m"),
-        _count("marks", r"[^#*$%&|<>]+").alias("n_symbols"), _count("marks", r"[^\p{Lu}]+").alias("upper"), _count("marks", r"[^\p{N}]+").alias("digit"), _count("marks", r"[^\p{L}]+").alias("letters"),
+        _count("marks", r"[^#*$%&|<>]+").alias("n_symbols"), _count("marks", r"[^\p{Lu}]+").alias("upper"), _count("marks", r"[^\p{N}]+").alias("digit"), _count("marks", r"[^\p{L}]+").alias("letters"), _count("marks", r"[^\p{M}]+").alias("combining"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
     )
     n, bits = F.col("n_words"), F.length(F.bin("n_words"))
@@ -75,7 +80,8 @@ def measured(docs: DataFrame, common: list[tuple[str, list[int]]], text: str = "
     c = [F.get("l_common", F.lit(k)) for k in range(most)]
     base = base.withColumn("sorted", F.sort_array(F.concat("h", "l_common", F.transform("l_common", lambda x: x + 1))))
     hist = F.array(*[F.when(F.lit(k) < F.col("l_n"), F.array_position("sorted", c[k] + 1) - F.array_position("sorted", c[k]) - 1).otherwise(0).cast("bigint") for k in range(most)])
-    counts = F.array(*[x.cast("bigint") for x in (F.col("word_chars") - F.col("m"), F.col("upper"), F.col("digit"), F.col("n_symbols"), F.col("m") - F.col("letters") - F.col("digit") - F.col("n_symbols"))])
+    other = F.col("m") - F.col("letters") - F.col("combining") - F.col("digit") - F.col("n_symbols")
+    counts = F.array(*[x.cast("bigint") for x in (F.col("word_chars") - F.col("m"), F.col("upper"), F.col("letters") - F.col("upper"), F.col("combining"), F.col("digit"), F.col("n_symbols"), other)])
     out = base.select(*[F.col(k).alias(c) for k, c in zip(names, keep)], F.col("b_lang").alias("lang_ref"), *[F.col(k).cast("bigint").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines")], covered.alias("n_repeat_words"), counts.alias("chars"), hist.alias("common"))
     return out
 
@@ -103,19 +109,13 @@ def distance(p: Column, q: Column) -> Column:
 
 def rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] = ("doc_id",), least_chars: int = 100, most_chars_js: float = 0.3, least_words: int = 50, most_words_js: float = 0.4) -> DataFrame:
     """The columns `keep` with the base counts, base_failed, js_chars, js_words and kept."""
-    common = common_words(docs, text, lang)
-    held = materialize(measured(docs, common, text, lang, keep), "quality")
+    held = materialize(measured(docs, common_words(docs, text, lang), text, lang, keep), "quality")
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))).cast("bigint") for i in range(n)])
-    rows = held.groupBy("lang_ref").agg(sums("chars", len(CLASSES)).alias("chars"), sums("common", CANDIDATES).alias("common"), F.sum("n_words").alias("n")).collect()
-    sent = []
-    for r in rows:
-        hashes = dict(common).get(r["lang_ref"], [])
-        picked = sorted(range(len(hashes)), key=lambda i: (-r["common"][i], hashes[i]))[:COMMON]
-        own = [r["common"][i] for i in picked]
-        sent.append((r["lang_ref"], r["chars"], picked, [*own, r["n"] - sum(own)]))
-    sent = docs.sparkSession.createDataFrame(sent or [("", [0], [0], [0])], "r_lang string, r_chars array<bigint>, picked array<int>, r_common array<bigint>")
-    both = held.join(F.broadcast(sent), F.col("lang_ref") == F.col("r_lang"), "left").withColumn("own", F.transform("picked", lambda i: F.get("common", i)))
-    both = both.withColumn("common", F.concat("own", F.array(F.col("n_words") - F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x))))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    with_rest = lambda c, n: F.concat(c, F.array(F.col(n) - total(c)))  # noqa: E731  all other words together
+    sent = held.groupBy("lang_ref").agg(sums("chars", len(CLASSES)).alias("r_chars"), sums("common", COMMON).alias("r_common"), F.sum("n_words").alias("r_n"))
+    sent = sent.select(F.col("lang_ref").alias("r_lang"), "r_chars", with_rest("r_common", "r_n").alias("r_common"))
+    both = held.join(_small(sent), F.col("lang_ref") == F.col("r_lang"), "left").withColumn("common", with_rest("common", "n_words"))
     both = both.withColumn("js_chars", distance(F.col("chars"), F.col("r_chars"))).withColumn("js_words", distance(F.col("common"), F.col("r_common")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     apart = ((F.col("word_chars") >= least_chars) & (F.col("js_chars") > most_chars_js)) | ((F.col("n_words") >= least_words) & (F.col("js_words") > most_words_js))

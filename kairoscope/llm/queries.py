@@ -130,12 +130,12 @@ m AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
     length(regexp_replace(text, '[\p{{Ll}}\x20\x09-\x0D]', '', 'g')) AS marks, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS up,
-    length(regexp_replace(text, '[^\p{{N}}]', '', 'g')) AS digit, length(regexp_replace(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[\p{{Ll}}]', '', 'g')) AS letters,
+    length(regexp_replace(text, '[^\p{{N}}]', '', 'g')) AS digit, length(regexp_replace(regexp_replace(text, '[^\p{{L}}]', '', 'g'), '[\p{{Ll}}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{{M}}]', '', 'g')) AS mk,
     list_append(coalesce(h.c, []), len(w) - coalesce(list_sum(h.c), 0))::DOUBLE[] AS common
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN h USING (doc_id)
 ),
-c AS (SELECT *, [word_chars - marks, up, digit, n_symbols, marks - letters - digit - n_symbols]::DOUBLE[] AS chars FROM m),
-rc AS (SELECT lang, list(s ORDER BY i)::DOUBLE[] AS r_chars FROM (SELECT lang, i, sum(chars[i]) AS s FROM c, range(1, 6) AS r(i) GROUP BY lang, i) GROUP BY lang),
+c AS (SELECT *, [word_chars - marks, up, letters - up, mk, digit, n_symbols, marks - letters - mk - digit - n_symbols]::DOUBLE[] AS chars FROM m),
+rc AS (SELECT lang, list(s ORDER BY i)::DOUBLE[] AS r_chars FROM (SELECT lang, i, sum(chars[i]) AS s FROM c, range(1, 8) AS r(i) GROUP BY lang, i) GROUP BY lang),
 rw AS (SELECT lang, list(s ORDER BY i)::DOUBLE[] AS r_common FROM (SELECT lang, i, sum(common[i]) AS s FROM (SELECT lang, common, unnest(range(1, len(common) + 1)) AS i FROM c) GROUP BY lang, i) GROUP BY lang),
 j AS (SELECT c.*, {_distance_sql("chars", "r_chars")} AS js_chars, {_distance_sql("common", "r_common")} AS js_words FROM c JOIN rc USING (lang) JOIN rw USING (lang)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)

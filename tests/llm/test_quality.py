@@ -71,3 +71,28 @@ def test_native_and_empty(spark):
     plan = quality.measured(docs, quality.common_words(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert quality.rules(docs.limit(0)).count() == 0
+
+
+def test_caseless_scripts_and_marks_have_classes(spark):
+    rows = [(1, "漢字 仮名 " * 30, "zh"), (2, "كتاب جديد " * 30, "ar"), (3, "كِتَاب " * 40, "ar"), (4, "a B 1 # . e\u0301 ǅ ª", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.chars for r in quality.measured(docs, quality.common_words(docs)).collect()}
+    assert got[1] == [0, 0, 120, 0, 0, 0, 0] and got[2] == [0, 0, 240, 0, 0, 0, 0] and got[3] == [0, 0, 160, 80, 0, 0, 0]
+    assert got[4] == [2, 1, 2, 1, 1, 1, 1]
+    far = {r.doc_id: r.js_chars for r in quality.rules(docs).collect()}
+    assert far[1] == 0 and min(far[2], far[3]) > 0  # Arabic with and without marks are told apart
+
+
+def test_words_that_tie_go_by_the_word(spark):
+    text = " ".join(f"w{i:02}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "en"), (2, text, "en"), (3, "zz " * 5 + text, "en"), (4, None, "none")], "doc_id long, text string, lang string")
+    (row,) = quality.common_words(docs).collect()
+    want = spark.createDataFrame([(w,) for w in ["zz", *[f"w{i:02}" for i in range(15)]]], "w string").selectExpr("xxhash64(w)").collect()
+    assert row.l_common == [r[0] for r in want]
+
+
+def test_references_of_many_languages_are_joined_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 7} the of " * 20, f"l{i % 5}") for i in range(50)], "doc_id long, text string, lang string")
+    want = sorted(quality.rules(docs).collect())
+    monkeypatch.setattr(quality, "MOST_LANGUAGES", 2)
+    assert sorted(quality.rules(docs).collect()) == want
