@@ -1,18 +1,24 @@
 """License scans with DataFrame functions only: Dice coefficient over word bigrams against license templates.
 
-A passage is a line of a text, or the whole text where it has more lines than one. Its words are its runs of
-letters and digits, lower-cased; its bigrams are the distinct pairs of neighbouring words. Two sets of a and b
-bigrams reach Dice t only if a * t / (2 - t) <= b <= a * (2 - t) / t, so the number of words alone rules out most
-templates. Among the rest, a match needs over t / (2 - t) of the template's bigrams: leaving out that many of the
-commonest leaves a signature, of which a match must contain at least one word pair as a substring. Both rules are
-exact; nothing within the threshold is lost.
-
-Defined results: null or empty text has no passages and no match. A document with several matches reports the best
-(ties: first template, earliest passage) and how many passages match. Every row is returned, repeated rows too.
+A text is normalised to one sequence of words, its runs of letters and digits, lower-cased; line ends, comment signs
+and punctuation do not count, so a notice may be wrapped over lines or stand within one. Its passages for a template of
+n words begin at any word pair that the template has and reach to the template's last pair within n words, or within
+as many as the size bound allows (a longer wording); the set of word pairs of a passage is compared.
+
+Two sets of a and b pairs reach Dice t only if a * t / (2 - t) <= b <= a * (2 - t) / t, so a passage needs more than
+t / (2 - t) of the template's pairs. That prunes three times, losing nothing: leaving out that many of the commonest
+pairs leaves a signature, and a text that holds none of any template's signature (as a substring) is done; of the
+rest, templates of whose pairs the whole text has too few are out; and so are beginnings that have too few of them
+within reach. Full license texts are found by the sentence that grants, which is a template.
+
+Defined results: null or empty text has no match. A document reports its best passage (ties: first template, earliest
+beginning, longest) and all licenses that match. Every row is returned, repeated rows too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +30,15 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -64,16 +74,26 @@ def signature(pairs: list[str], everywhere: dict[str, int], threshold: float) ->
     return ranked[: max(1, len(pairs) - max(0, spare))]
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _APART), lambda w: w != "")
+def needed(pairs: int, threshold: float) -> int:
+    """Pairs that a match shares with a template of so many."""
+    return max(1, -int(-(threshold / (2 - threshold) * pairs - ROUNDING) // 1))
+
+
+def reach(pairs: int, threshold: float) -> int:
+    """Pairs of the longest set that can match a template of so many."""
+    return int((2 - threshold) / threshold * pairs + ROUNDING)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for the row however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with license (null without a match), dice (of the best passage), template (its number), passage (number of
-    the line, -1 for the whole text), n_passages (how many match)."""
-    added = ("license", "dice", "template", "passage", "n_passages")
+    """docs with license (null without a match), dice (of the best passage), template (its number), first_word and
+    n_words (of the passage, in words of the normalised text), licenses (all that match, sorted)."""
+    added = ("license", "dice", "template", "first_word", "n_words", "licenses")
     plain = [c for c in docs.columns if c not in added]
-    docs = docs.select(F.struct(*named(plain)).alias("row"), F.col(text).alias("text"))  # so that no name clashes
     pairs = [bigrams(normalized(t)) for _, t in templates]
     everywhere: dict[str, int] = {}
     for p in pairs:
@@ -81,36 +101,48 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
             everywhere[b] = everywhere.get(b, 0) + 1
     # one of these pairs is in any text with a match; few pairs serve many templates
     marks = sorted({b for p in pairs for b in signature(p, everywhere, threshold)})
-    factor = threshold / (2 - threshold)
-    low = min(len(p) for p in pairs) * factor - ROUNDING
-    high = max(len(p) for p in pairs) / factor + ROUNDING
-    # each step in a projection of its own: among the alternatives it would be computed again and again
-    docs = docs.select("row", F.lower("text").alias("low"))
-    docs = docs.select("row", "low", F.regexp_replace("low", _APART, " ").alias("flat"))
-    docs = docs.select("row", F.when(_any([F.contains("flat", F.lit(m)) for m in marks]), F.col("low")).alias("low"))  # null: no match
-    lines = F.transform(F.split("low", "\n", -1), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    # whole texts count as a passage of number -1 unless they are one line
-    whole = F.when(F.contains("low", F.lit("\n")), F.array(F.struct(F.lit(-1).alias("i"), F.col("low").alias("s"))))
-    empty = F.array().cast("array<struct<i:int,s:string>>")
-    first = docs.select("row", F.when(F.col("low").isNotNull(), F.concat(lines, F.coalesce(whole, empty))).otherwise(empty).alias("_p"))
-    # words; at least one more than bigrams, so their number bounds the set from above
-    split = first.withColumn("_p", F.transform("_p", lambda p: F.struct(p["i"].alias("i"), words(p["s"]).alias("w"))))
-    split = split.withColumn("_p", F.filter("_p", lambda p: F.size(p["w"]) - 1 >= low))
-    sets = split.withColumn("_p", F.transform("_p", lambda p: F.struct(p["i"].alias("i"), F.array_distinct(F.transform(F.slice(p["w"], 1, F.greatest(F.size(p["w"]) - 1, F.lit(0))), lambda w, j: F.concat(w, F.lit(" "), F.get(p["w"], j + 1)))).alias("b"))))
-    sets = sets.withColumn("_p", F.filter("_p", lambda p: F.size(p["b"]).between(low, high)))
-
-    def against(k: int, p: Column) -> Column:
-        n = len(pairs[k])
-        size = F.size(p["b"])
-        shared = F.size(F.array_intersect(p["b"], F.array(*map(F.lit, pairs[k]))))
-        dice = (F.lit(2.0) * shared) / (size + n)
-        return F.when(size.between(n * factor - ROUNDING, n / factor + ROUNDING), F.struct(dice.alias("dice"), F.lit(-k).alias("k"), (-p["i"]).alias("i")))
-
-    scored = sets.withColumn("_p", F.filter(F.transform("_p", lambda p: F.array_max(F.array(*[against(k, p) for k in range(len(pairs))]))), lambda m: m["dice"] >= threshold))
-    best = F.array_max("_p")
+    known = F.array(*[F.struct(F.lit(-k).alias("k"), F.lit(len(normalized(t))).alias("words"), F.lit(len(p)).alias("n"), F.lit(needed(len(p), threshold)).alias("need"), F.lit(reach(len(p), threshold)).alias("most"), F.array(*map(F.lit, p)).alias("pairs")) for k, ((_, t), p) in enumerate(zip(templates, pairs))])
+    # each step in a projection of its own, the row in a struct so that no name clashes
+    docs = docs.select(F.struct(*named(plain)).alias("row"), F.lower(F.col(text)).alias("low"))
+    docs = docs.select("row", F.trim(F.regexp_replace("low", _APART, " ")).alias("flat"))
+    docs = docs.select("row", F.when(_any([F.contains("flat", F.lit(m)) for m in marks]), F.col("flat")).alias("flat"))  # null: no match
+    none = F.array().cast("array<struct<dice:double,k:int,first:int,n:int>>")
+    found = F.when(F.col("flat").isNotNull(), let(_pairs(F.split("flat", " ")), lambda b: F.flatten(F.transform(known, lambda t: _matches(b, t, threshold)))))
+    docs = docs.select("row", F.coalesce(found, none).alias("found"))
+    docs = docs.select("row", "found", F.array_max("found").alias("best"))
     names = F.array(*[F.lit(name) for name, _ in templates])
-    out = scored.withColumn("_b", best).select("row.*", F.get(names, -F.col("_b.k")).alias("license"), F.col("_b.dice").alias("dice"), (-F.col("_b.k")).alias("template"), (-F.col("_b.i")).alias("passage"), F.size("_p").alias("n_passages"))
-    return out
+    # ties: the numbers are negative, so the first template and the earliest beginning are the largest
+    return docs.select(
+        "row.*", F.get(names, -F.col("best.k")).alias("license"), F.col("best.dice").alias("dice"), (-F.col("best.k")).alias("template"), (-F.col("best.first")).alias("first_word"), F.col("best.n").alias("n_words"),
+        F.array_sort(F.array_distinct(F.transform("found", lambda m: F.get(names, -m["k"])))).alias("licenses"),
+    )
+
+
+def _pairs(words: Column) -> Column:
+    """Neighbouring words, in order."""
+    return let(words, lambda w: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+
+
+def _matches(b: Column, t: Column, threshold: float) -> Column:
+    """The matching passages of a text's pairs b with the template t, each (dice, -number, -first word, words)."""
+    none = F.array().cast("array<struct<dice:double,k:int,first:int,n:int>>")
+
+    def placed(shared: Column) -> Column:
+        return let(F.filter(F.transform(b, lambda x, i: F.when(F.array_contains(shared, x), i)), lambda i: i.isNotNull()), beginnings)
+
+    def beginnings(at: Column) -> Column:
+        """at: places of the template's pairs. Those with enough of them within reach begin a passage of each length."""
+        begun = F.filter(F.transform(at, lambda p, i: F.when(F.get(at, i + t["need"] - 1) < p + t["most"], i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(begun, lambda i: let(F.slice(at, i + 1, t["most"]), lambda near: F.array(*[passage(near, reached) for reached in (t["words"] - 1, t["most"])]))))
+
+    def passage(near: Column, reached: Column) -> Column:
+        p = F.get(near, F.lit(0))
+        last = F.array_max(F.filter(near, lambda q: q < p + reached))
+        own = let(F.array_distinct(F.slice(b, p + 1, last - p + 1)), lambda s: (F.lit(2.0) * F.size(F.array_intersect(s, t["pairs"]))) / (F.size(s) + t["n"]))
+        return F.struct(own.alias("dice"), t["k"].alias("k"), (-p).alias("first"), (last - p + 2).alias("n"))
+
+    in_text = let(F.array_intersect(t["pairs"], b), lambda shared: F.when(F.size(shared) >= t["need"], placed(shared)).otherwise(none))
+    return F.filter(in_text, lambda m: m["dice"] >= threshold)
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -44,7 +44,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return found.withColumn("dice", F.round("dice", 6))
+    return found.withColumns({"dice": F.round("dice", 6), "licenses": F.array_join("licenses", ",")})
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,26 +77,27 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_
 
 def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {quoted(name)}, [{', '.join(map(quoted, licenses.bigrams(licenses.normalized(t))))}])" for k, (name, t) in enumerate(licenses.TEMPLATES))
-    t = licenses.THRESHOLD
+    t, rows = licenses.THRESHOLD, []
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        words = licenses.normalized(text)
+        pairs = licenses.bigrams(words)
+        rows.append(f"({k}, {quoted(name)}, {len(words)}, {licenses.reach(len(pairs), t)}, [{', '.join(map(quoted, pairs))}])")
     return rf"""
-    WITH t(k, license, b) AS (VALUES {rows}),
-    lines AS (
-      SELECT doc_id, unnest(range(len(parts))) AS i, unnest(parts) AS s FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS parts FROM documents)
-      UNION ALL SELECT doc_id, -1, lower(text) FROM documents WHERE contains(text, chr(10))
-    ),
-    w AS (SELECT doc_id, i, list_filter(regexp_split_to_array(s, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM lines),
-    b AS (SELECT doc_id, i, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM w WHERE len(w) > 1),
+    WITH t(k, license, words, most, pairs) AS (VALUES {', '.join(rows)}),
+    w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) AS b FROM w WHERE len(w) > 1),
+    placed AS (SELECT doc_id, unnest(b) AS x, unnest(range(len(b))) AS p FROM b),
+    hits AS (SELECT doc_id, k, words, most, p FROM placed JOIN (SELECT k, words, most, unnest(pairs) AS x FROM t) USING (x)),
+    reached AS (SELECT doc_id, k, p, most, unnest([words - 1, most]) AS far FROM hits),
+    runs AS (SELECT r.doc_id, r.k, r.p, max(q.p) AS last FROM reached r JOIN hits q ON q.doc_id = r.doc_id AND q.k = r.k AND q.p >= r.p AND q.p < r.p + r.far GROUP BY r.doc_id, r.k, r.p, r.far),
     m AS (
-      SELECT doc_id, i, k, license, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice FROM b, t
-      WHERE len(b.b) BETWEEN {t / (2 - t)} * len(t.b) - 1e-9 AND len(t.b) / {t / (2 - t)} + 1e-9
-    ),
-    best AS (
-      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k, i) AS r FROM m WHERE dice >= {t}
+      SELECT doc_id, k, license, p, last - p + 2 AS n, 2.0::DOUBLE * len(list_intersect(s, pairs)) / (len(s) + len(pairs)) AS dice
+      FROM (SELECT doc_id, k, license, p, last, pairs, list_distinct(b[p + 1:last + 1]) AS s FROM runs JOIN t USING (k) JOIN b USING (doc_id))
     ),
-    n AS (SELECT doc_id, count(DISTINCT i) AS n FROM best GROUP BY doc_id)
-    SELECT d.doc_id, license, round(dice, 6) AS dice, k::INT AS template, i::INT AS passage, coalesce(n, 0)::INT AS n_passages
-    FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id) LEFT JOIN n USING (doc_id)
+    good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k, p, n DESC) AS r FROM m WHERE dice >= {t}),
+    every AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM good GROUP BY doc_id)
+    SELECT d.doc_id, license, round(dice, 6) AS dice, k::INT AS template, p::INT AS first_word, n::INT AS n_words, coalesce(licenses, '') AS licenses
+    FROM documents d LEFT JOIN (SELECT * FROM good WHERE r = 1) USING (doc_id) LEFT JOIN every USING (doc_id)
     """
 
 
