@@ -44,7 +44,7 @@ class Encoder:
             return np.array(self.file.encode(text, add_special_tokens=False).ids, np.uint32)
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException:  # its regex gives up on very long runs of white space; the scan doesn't
+        except ValueError:  # its regex gives up on very long runs of white space; the scan doesn't
             return np.array(loaded(self.ranks).encode([text])[0], np.uint32)
 
 

@@ -114,9 +114,10 @@ def stitched(found: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return each.select("stream", (F.col("first") + F.col("i")).alias("doc_no"), F.col("d.start").alias("start"), (F.col("d.stop") - F.col("d.start")).alias("n_tokens"))
 
 
-def token_counts(spark, path: str, key: str = "doc_id", separator: int = 50256) -> DataFrame:
-    """(key, stream, doc_no, start, n_tokens) of the documents in streams written to path; start: ids before it in its stream."""
-    stored = spark.read.parquet(path)
+def token_counts(spark, path: str, key: str = "doc_id", separator: int = 50256, kind: str = "bigint") -> DataFrame:
+    """(key, stream, doc_no, start, n_tokens) of the documents in streams written to path; start: ids before it in its
+    stream. kind: type of the key, as an empty folder does not tell."""
+    stored = spark.read.schema(f"stream int, n bigint, ids binary, `{key}` {kind}, kind string").parquet(path)
     counts = stitched(separators(stored.where("kind = 'ids'"), separator))
     names = stored.where("kind = 'names'").select("stream", F.col("n").alias("doc_no"), key)
     return names.join(counts, ["stream", "doc_no"]).select(key, "stream", "doc_no", "start", "n_tokens")

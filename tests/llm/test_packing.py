@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from kairoscope.llm import packing
@@ -65,7 +66,7 @@ def sample():
     rng = random.Random(5)
     words = ["river", "stone's", "light", " ", "\n", "é"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(int(rng.paretovariate(0.9) * 30) % 4000))) for i in range(400)]
-    return rows + [(None, "x"), (None, None), (3, ""), (3, ""), (9, "<|endoftext|> a"), (10, " " * 60_000)]
+    return rows + [(None, "x"), (None, None), (3, ""), (3, ""), (9, "<|endoftext|> a"), (10, " " * 60_000), (11, " " * 1_000_000 + "x")]
 
 
 def test_pieces_and_sequences(spark):
@@ -81,13 +82,29 @@ def test_pieces_and_sequences(spark):
 
 
 def test_gap_partitions_exchange(spark):
-    # thirds and halves in separate partitions leave gaps that pooling closes
     rng = random.Random(2)
-    sizes = [rng.choice([700, 900, 1100, 1300, 30]) for _ in range(300)]
-    cut = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, length bigint")
+    cut = spark.createDataFrame([(i, rng.randrange(350, 720)) for i in range(600)], "doc_id long, length bigint")
     alone = packing.pack(cut, part_rows=20, rounds=0).select("sequence_id").distinct().count()
     pooled = packing.pack(cut, part_rows=20, rounds=3).collect()
-    assert len(pooled) == 300 and len({r.sequence_id for r in pooled}) <= alone
+    used = {}
+    for r in pooled:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.doc_id for r in pooled) == list(range(600)) and len(used) < alone
+    for own in used.values():
+        ends = [0, *(a + n for a, n in sorted(own))]
+        assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_other_errors_are_not_taken_for_a_long_run():
+    encode = packing.Encoder(*tokenizer())
+
+    class Broken:
+        def encode_to_numpy(self, *_, **__):
+            raise KeyboardInterrupt
+
+    encode.fast = Broken()
+    with pytest.raises(KeyboardInterrupt):
+        encode("a")
 
 
 def test_empty_table(spark):

@@ -51,3 +51,4 @@ def test_stitching_over_chunks_and_empty_blocks(spark):
 
 def test_empty_table(spark, tmp_path):
     token_scan.write_streams(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/none", SETTINGS)
+    assert token_scan.token_counts(spark, f"{tmp_path}/none").count() == 0
