@@ -12,9 +12,12 @@ from kairoscope.functions.projections import basename
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Only where it is unset and everything runs on this machine does a
+    temporary one take its place: on a cluster nobody else could read what an executor writes there."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="kairoscope-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
