@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from kairoscope.sources.store import shared_folder
+
 #: Text bytes that a Python worker holds as Python objects at a time.
 SLICE_BYTES = 2 << 20
 
@@ -22,18 +23,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 _made: list[tuple[SparkSession, str]] = []
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="kairoscope-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when Python ends."""
-    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 
