@@ -51,13 +51,11 @@ class Engine:
         """Fused hits after suppression of overlaps, all columns."""
         checked("top_k", top_k, 1, 20)
         rows = self._scope(video_id)
-        asked = rows.sparkSession.createDataFrame([(query,)], "t string").select(search.without_cues(F.col("t"))).first()[0]
-        v_weight, a_weight = search.weights(query)
-        hits = search.hybrid(rows, self.encode_visual(asked), self.encode_text(asked), asked, top_k, v_weight, a_weight)
+        asked = search.understood(rows.sparkSession, query)
+        hits = search.hybrid(rows, self.encode_visual(asked.stripped), self.encode_text(asked.stripped), asked.stripped, top_k, asked.v_weight, asked.a_weight)
         payload = rows.drop("visual", "audio")
-        kept = search.deduplicated(hits.join(payload, "chunk_id"), search.route_of(query)[0] == "visual")
-        top = kept.orderBy(F.desc("text_match"), F.desc("joint_score"), "chunk_id").limit(top_k)
-        return top.select("chunk_id", "text_match", "joint_score").join(payload, "chunk_id").orderBy(F.desc("text_match"), F.desc("joint_score"), "chunk_id")
+        kept = search.deduplicated(hits.join(payload, "chunk_id"), top_k, asked.visual_focused).select("chunk_id", "text_match", "joint_score")
+        return payload.join(F.broadcast(kept), "chunk_id").orderBy(F.desc("text_match"), F.desc("joint_score"), "chunk_id")  # at most top_k rows
 
     def search(self, query: str, top_k: int = 3, video_id: str | None = None) -> DataFrame:
         return self.ranked(query, top_k, video_id).select("start_timestamp", "end_timestamp", F.col("joint_score").alias("confidence_score"))
@@ -73,11 +71,11 @@ class Engine:
 
     def mode_of(self, query: str, video_id: str | None = None) -> str:
         """The mode that auto_preview takes."""
-        intent, explicit = search.route_of(query)
-        if explicit:
-            return intent
+        asked = search.understood(self.chunks.sparkSession, query)
+        if asked.explicit:
+            return asked.intent
         best = search.lexical(self._scope(video_id), query).agg(F.coalesce(F.max("coverage"), F.lit(0.0))).first()[0]
-        return "audio" if best >= search.NEAR_COVERAGE else intent
+        return "audio" if best >= search.NEAR_COVERAGE else asked.intent
 
     def auto_preview(self, query: str, top_k: int = 3, video_id: str | None = None) -> DataFrame:
         call = {"visual": self.visual_preview, "audio": self.audio_preview}.get(self.mode_of(query, video_id), self.preview)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ TATWEEL = "ـ"
 ARABIC = r"[\x{600}-\x{6ff}]"
 SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
 WORD = r"[\p{L}\p{N}_]+"
+CITATION = r"[\[【(]\s*[Ss]\s*(\d+)\s*[\]】)]"
 LIST_QUESTION = "أنواع|نوع|فئات|تصنيفات|أقسام|اذكر|عدّد"
 VISUAL_CUES = (
     "صورة الصورة صوره الصوره صور الصور لقطة اللقطة لقطه اللقطه مشهد المشهد منظر المنظر شكل الشكل يظهر تظهر شاهد مرئي بصري "
@@ -26,17 +29,29 @@ AUDIO_CUES = (
     "نطق التفريغ تفريغ transcript speech audio spoken said says voice quote quoted"
 ).split()
 MIXED_CUES = "مختلط مختلطة معا mixed multimodal".split()
+# The smaller lists by which fused search weighs its two rankings and strips a query.
+FUSION_VISUAL_CUES = "صورة صوره الصورة الصوره صور مشهد المشهد لقطة لقطه اللقطة اللقطه يظهر تظهر شكل رسم".split()
+FUSION_AUDIO_CUES = "قال يقول تقول ذكر يذكر يتحدث تحدث كلام الكلام كلمة العبارة عبارة صوت الصوت سمع منطوق نطق".split()
+# Letters that transcripts spell in several ways, and how search spells them.
+SPELLING = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ة": "ه", "ؤ": "و", "ئ": "ي"}
+
+
+def _each_once(text: pd.Series, change: Callable[[str], str]) -> pd.Series:
+    """change() of each string, called once for each distinct one of a batch; null stays null."""
+    number, distinct = pd.factorize(text)
+    changed = np.array([*map(change, distinct), None], dtype=object)  # nulls have number -1
+    return pd.Series(changed[number], index=text.index)
 
 
 @F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     """NFKC, then Unicode case folding (ß to ss, ligatures apart)."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+    return _each_once(text, lambda s: unicodedata.normalize("NFKC", s).casefold())
 
 
 @F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else s.casefold())
+    return _each_once(text, str.casefold)
 
 
 def collapse(text: Column) -> Column:
@@ -61,7 +76,7 @@ def normalize_evidence(text: Column) -> Column:
 def normalize_transcript(text: Column) -> Column:
     """Search form of transcripts; lower case, not folded."""
     low = F.lower(text)
-    spelt = F.translate(F.regexp_replace(F.translate(low, TATWEEL, ""), DIACRITICS, ""), "أإآٱىةؤئ", "ااااي" + "هوي")
+    spelt = F.translate(F.regexp_replace(F.translate(low, TATWEEL, ""), DIACRITICS, ""), "".join(SPELLING), "".join(SPELLING.values()))
     plain = F.when(low.rlike(ARABIC), spelt).otherwise(low)  # the spelling rules touch no other text, and cost most
     return collapse(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s\p{Z}\x{1c}-\x{1f}\x{85}]", " "))
 
@@ -104,7 +119,7 @@ def is_list_question(text: Column) -> Column:
 
 def citations(answer: Column, allowed: Column) -> Column:
     """Distinct S-numbers cited in any of three bracket styles, in order, of those allowed."""
-    found = F.regexp_extract_all(answer, F.lit(r"(?i)(?:\[|【|\()\s*S\s*(\d+)\s*(?:\]|】|\))"), F.lit(1))
+    found = F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1))
     return F.filter(F.array_distinct(F.transform(found, lambda n: F.concat(F.lit("S"), n))), lambda c: F.array_contains(allowed, c))
 
 

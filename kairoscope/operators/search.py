@@ -1,22 +1,33 @@
 """Vector top-k, unimodal, fused and routed search over chunks.
 
-Queries known to the driver (one vector) use TakeOrdered; tables of queries use a rank per query, with one side
-broadcast after a check of its size.
+Queries known to the driver (one vector) use TakeOrdered; tables of queries go out in blocks of a checked size and
+keep the best of each task before they are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+from collections.abc import Callable, Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from kairoscope.functions import text as T
-from kairoscope.functions.projections import frame_url, overlaps, snippet
-from kairoscope.functions.vectors import clip, confidence, cosine, dot_with, norm
+from kairoscope.functions.projections import frame_url, snippet
+from kairoscope.functions.vectors import clip, confidence, dot_with, norm
 
 RRF_K = 60
 #: Rows of queries that may be broadcast; beyond, they are joined in blocks.
 MOST_QUERIES = 10_000
+#: Vectors that are multiplied with a block of queries at a time, and digits to which similarities count as equal.
+ROWS_AT_ONCE, DIGITS = 512, 12
+#: Hits that suppression looks at at a time.
+BLOCK = 2_000
 EXACT_BONUS, NEAR_BONUS, COVERAGE_BONUS, NEAR_COVERAGE = 2.0, 1.5, 0.5, 0.75
 
 
@@ -30,22 +41,67 @@ def ranked(df: DataFrame, vector: list[float], k: int, column: str = "embedding"
 def ranked_batch(df: DataFrame, queries: DataFrame, k: int, column: str = "embedding", key: str = "chunk_id", query_column: str = "vector") -> DataFrame:
     """(query_id, key, sim, rank) for a table of queries (query_id, vector): rank 1 to k within each query.
 
-    Queries meet all rows in blocks of at most MOST_QUERIES, each broadcast; partial ranking within input tasks keeps
-    only k rows a task and query for the shuffle.
+    Queries meet all rows in blocks of at most MOST_QUERIES, each sent to every task once, which multiplies batches of
+    vectors with it and holds the k best of each query: the shuffle sees k rows a task and query, never the pairs.
+    Vectors of another length than the query's, with a null or of zeros are no candidates. Similarities that agree to
+    DIGITS digits are ties, which go by key.
     """
     count = queries.count()
     blocks = max(1, -(-count // MOST_QUERIES))
-    out = None
+    kinds = df.schema[key], queries.schema["query_id"]
+    schema = StructType([StructField("number", IntegerType()), StructField(key, kinds[0].dataType), StructField("sim", DoubleType())])
+    rows, out = df.select(F.col(key), F.col(column).alias("vector")).where(F.col(key).isNotNull()), None
     for b in range(blocks):
         few = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = df.crossJoin(F.broadcast(few.select("query_id", F.col(query_column).alias("_q")))).select("query_id", key, cosine(F.col(column), F.col("_q")).alias("sim")).where("sim is not null")
-        near = pairs.withColumn("_task", F.spark_partition_id())
-        near = near.withColumn("_r", F.row_number().over(W.partitionBy("query_id", "_task").orderBy(F.desc("sim"), key))).where(F.col("_r") <= k)
-        best = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), key))).where(F.col("rank") <= k).select("query_id", key, "sim", "rank")
+        asked = [(r["query_id"], r[query_column]) for r in few.select("query_id", query_column).collect() if r[query_column] is not None]  # a block at most
+        near = rows.mapInArrow(_nearest([np.asarray(v, np.float64) for _, v in asked], k), schema)
+        names = df.sparkSession.createDataFrame([(i, q) for i, (q, _) in enumerate(asked)], StructType([StructField("number", IntegerType()), kinds[1]]))
+        best = near.withColumn("rank", F.row_number().over(W.partitionBy("number").orderBy(F.desc("sim"), key))).where(F.col("rank") <= k)
+        best = best.join(F.broadcast(names), "number").select("query_id", key, "sim", "rank")
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def _nearest(vectors: list[np.ndarray], k: int) -> Callable:
+    """mapInArrow's function of (key, vector) batches: the k best of each of `vectors` over all batches of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = {len(v) for v in vectors}
+        units = {w: [(i, v / n) for i, v in enumerate(vectors) if len(v) == w and (n := np.sqrt(v @ v)) > 0] for w in width}
+        best_sim, best_key, kind = np.full((len(vectors), k), -np.inf), np.full((len(vectors), k), None, object), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            lists = batch.column(1)
+            size = np.where(np.asarray(lists.is_valid()), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), -1)
+            for w, own in units.items():
+                at = np.flatnonzero(size == w)
+                for low in range(0, len(at) if own else 0, ROWS_AT_ONCE):
+                    rows = at[low : low + ROWS_AT_ONCE]
+                    x = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, w)
+                    length = np.sqrt((x * x).sum(axis=1))
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        x /= length[:, None]
+                    good = np.isfinite(x).all(axis=1)  # neither zeros nor nulls
+                    keys = np.array(batch.column(0).take(pa.array(rows[good])).to_pylist(), object)
+                    if not len(keys):
+                        continue
+                    sims = np.round(x[good] @ np.stack([v for _, v in own]).T, DIGITS)
+                    for j, (i, _) in enumerate(own):
+                        s = sims[:, j]
+                        floor = max(best_sim[i, -1], np.partition(s, -k)[-k] if len(s) > k else -np.inf)
+                        if (take := np.flatnonzero(s >= floor)).size:
+                            pool = [*zip((-s[take]).tolist(), keys[take].tolist()), *((-a, c) for a, c in zip(best_sim[i].tolist(), best_key[i]) if c is not None)]
+                            pool = heapq.nsmallest(k, pool)
+                            best_sim[i, : len(pool)], best_key[i, : len(pool)] = [-a for a, _ in pool], [c for _, c in pool]
+        if kind is not None:
+            number, place = np.nonzero(best_sim > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(best_key[number, place].tolist(), kind), pa.array(best_sim[number, place])], names=["number", "key", "sim"])
+
+    return run
+
+
 def visual_search(chunks: DataFrame, vector: list[float], k: int) -> DataFrame:
     hits = ranked(chunks, vector, k, "visual")
     return hits.select("chunk_id", "video_id", "start_timestamp", "end_timestamp", confidence(F.col("sim")).alias("confidence"), snippet(F.col("transcript")).alias("snippet"), frame_url(F.col("frame_path")).alias("frame_url"))
@@ -61,17 +117,36 @@ def lexical(chunks: DataFrame, phrase: str) -> DataFrame:
 
 
 def containing(docs: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
-    """Pairs of a document and a phrase that it contains; both normalised. Phrases are a stated set of queries: at most
-    MOST_QUERIES are broadcast at a time, and every document is searched for each."""
-    blocks = max(1, -(-phrases.count() // MOST_QUERIES))
-    out = None
+    """Pairs of a document and a phrase that it contains; both normalised, an empty phrase is in none. Phrases are a
+    stated set of queries: at most MOST_QUERIES are sent out at a time, as one automaton that finds them all in a
+    single pass over each document."""
+    asked = phrases.where(F.col(phrase) != "")
+    blocks = max(1, -(-asked.count() // MOST_QUERIES))
+    schema, out = StructType([*docs.schema, StructField("_phrase", StringType())]), None
     for b in range(blocks):
-        few = phrases if blocks == 1 else phrases.where(F.pmod(F.xxhash64(phrase), F.lit(blocks)) == b)
-        met = docs.join(F.broadcast(few), T.contains_phrase(docs[text], few[phrase]))
+        few = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(phrase), F.lit(blocks)) == b)
+        found = docs.mapInArrow(_all_found([r[0] for r in few.select(phrase).distinct().collect()], docs.columns.index(text)), schema)
+        met = found.join(F.broadcast(few), found["_phrase"] == few[phrase]).drop("_phrase")
         out = met if out is None else out.unionByName(met)
     return out
 
 
+def _all_found(phrases: list[str], column: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for p in phrases:
+            machine.add_word(p, p)
+        machine.make_automaton()
+        for batch in batches if phrases else ():
+            found = [sorted({p for _, p in machine.iter(t)}) if t else [] for t in batch.column(column).to_pylist()]
+            rows = batch.take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([p for f in found for p in f], pa.string())], names=[*rows.schema.names, "_phrase"])
+
+    return run
+
+
 def audio_search(chunks: DataFrame, vector: list[float], phrase: str, k: int) -> DataFrame:
     """Transcript vectors and words together: similarity plus a bonus for the phrase or for covered words."""
     hits = ranked(chunks, vector, max(20 * k, 50), "audio").select("chunk_id", "sim")
@@ -89,12 +164,6 @@ def fusion_score(v_rank: Column, a_rank: Column, v_weight: float, a_weight: floa
     return v_weight * part(v_rank) + a_weight * part(a_rank)
 
 
-def weights(query: str) -> tuple[float, float]:
-    """Visual and audio weight by the cue words of a query."""
-    intent = route_of(query)[0]
-    return {"visual": (0.6, 0.4), "audio": (0.4, 0.6)}.get(intent, (0.5, 0.5))
-
-
 def hybrid(chunks: DataFrame, visual: list[float], audio: list[float], phrase: str, k: int, v_weight: float = 0.5, a_weight: float = 0.5) -> DataFrame:
     """Fused ranking before de-duplication: if any chunk has the exact phrase, only such chunks stand."""
     depth = max(20 * k, 50)
@@ -110,60 +179,80 @@ def hybrid(chunks: DataFrame, visual: list[float], audio: list[float], phrase: s
     return rows.crossJoin(F.broadcast(any_exact)).where("text_match or not _any").drop("_any")  # one row
 
 
-def deduplicated(hits: DataFrame, visual_focused: bool = False, group: str | None = None) -> DataFrame:
-    """Greedy suppression in rank order (text_match, joint_score, chunk_id): a hit goes if a kept one overlaps it in
-    time and is of the same video, or both match the text, or both show one frame (and say the same, unless the
-    query is visual). The walk is sequential by nature, so it runs as a fold in the JVM, once for each island of hits
-    that touch in time: islands cannot decide each other, and only an island's rows meet.
+def deduplicated(hits: DataFrame, k: int, visual_focused: bool = False, block: int = BLOCK) -> DataFrame:
+    """The first k hits that greedy suppression in rank order (text_match, joint_score, chunk_id) keeps: a hit goes if
+    a kept one overlaps it in time and is of the same video, or both match the text, or both show one frame (and say
+    the same, unless the query is visual).
+
+    What is kept depends on better ranks only, so blocks of the best `block` rows are taken in rank order until k are
+    kept or no row is left: exact, however many hits there are, and no task or driver holds more than a block.
     """
-    key = F.col(group) if group else F.lit(0)
-    fields = ["text_match", "joint_score", "chunk_id", "video_id", "start_timestamp", "end_timestamp", "frame_sha256", "said"]
-    rows = hits.withColumn("said", T.normalize_transcript(F.col("transcript"))).withColumn("_g", key)
-    # hits that overlap nothing, directly or through others, cannot decide each other: walk islands of time apart
-    w = W.partitionBy("_g").orderBy("start_timestamp", "end_timestamp", "chunk_id")
-    reach = F.max("end_timestamp").over(w.rowsBetween(W.unboundedPreceding, -1))
-    islands = rows.withColumn("_new", F.coalesce((F.col("start_timestamp") >= reach).cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(w))
-    packed = F.struct(F.when(F.col("text_match"), 0).otherwise(1).alias("o"), (-F.col("joint_score")).alias("s"), *fields)
-    groups = islands.groupBy("_g", "_island").agg(F.array_sort(F.collect_list(packed)).alias("hits"))
-
-    def clash(kept: Column, x: Column) -> Column:
-        met = overlaps(kept["start_timestamp"], kept["end_timestamp"], x["start_timestamp"], x["end_timestamp"])
-        frame = (F.coalesce(x["frame_sha256"], F.lit("")) != "") & (kept["frame_sha256"] == x["frame_sha256"])
-        alike = F.lit(True) if visual_focused else kept["said"] == x["said"]
-        return F.coalesce(met & ((kept["video_id"] == x["video_id"]) | (kept["text_match"] & x["text_match"]) | (frame & alike)), F.lit(False))
-
-    folded = F.aggregate("hits", F.slice("hits", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda kept: clash(kept, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    out = groups.select("_g", F.explode(folded).alias("h"))
-    columns = [F.col(f"h.{f}").alias(f) for f in fields if f != "said"]
-    return out.select(*([F.col("_g").alias(group)] if group else []), *columns)
+    order = ["o", "s", "chunk_id"]
+    frame = F.nullif(F.col("frame_sha256"), F.lit(""))
+    said = F.sha2(T.normalize_transcript(F.col("transcript")), 256)  # only whether two are equal counts
+    rows = hits.select(
+        F.when(F.col("text_match"), 0).otherwise(1).alias("o"), (-F.col("joint_score")).alias("s"), "chunk_id", "text_match", "joint_score", "video_id",
+        F.col("start_timestamp").cast("double").alias("start_timestamp"), F.col("end_timestamp").cast("double").alias("end_timestamp"), "frame_sha256", frame.alias("frame"), said.alias("said"),
+    )
+    kept: list = []
+    after = None
+    while len(kept) < k:
+        rest = rows if after is None else rows.where(F.struct(*order) > F.struct(*[F.lit(after[c]).cast(rows.schema[c].dataType).alias(c) for c in order]))
+        part = rest.orderBy(*order).limit(block).collect()
+        for x in part:
+            if len(kept) < k and not any(_clash(y, x, visual_focused) for y in kept):
+                kept.append(x)
+        if len(part) < block:
+            break
+        after = part[-1]
+    out = ["chunk_id", "text_match", "joint_score", "video_id", "start_timestamp", "end_timestamp", "frame_sha256"]
+    return hits.sparkSession.createDataFrame([tuple(r[c] for c in out) for r in kept], rows.select(*out).schema)  # at most k rows
+
+
+def _clash(kept: Row, x: Row, visual_focused: bool) -> bool:
+    if None in (kept.start_timestamp, kept.end_timestamp, x.start_timestamp, x.end_timestamp) or max(kept.start_timestamp, x.start_timestamp) >= min(kept.end_timestamp, x.end_timestamp):
+        return False
+    if (x.video_id is not None and kept.video_id == x.video_id) or (kept.text_match and x.text_match):
+        return True
+    return x.frame is not None and kept.frame == x.frame and (visual_focused or (x.said is not None and kept.said == x.said))
+
+
+@cache
+def _normalized_cues(words: tuple[str, ...]) -> str:
+    one = SparkSession.active().range(1).select(*[T.normalize_transcript(F.lit(w)) for w in words]).first()
+    return " ".join(dict.fromkeys(one))
+
+
+def _cues(words: list[str]) -> Column:
+    """Cue words, normalised as queries are (once, by the same expression), as one constant."""
+    return F.split(F.lit(_normalized_cues(tuple(words))), " ")
 
 
 def route(queries: DataFrame, text: str = "text") -> DataFrame:
-    """queries with intent (visual, audio or combined) by their cue words; cue lists are normalised as queries are."""
+    """queries with intent (visual, audio or combined) by their cue words, and whether a cue word decided it."""
     said = T.transcript_tokens(F.col(text))
-    cues = lambda words: F.array(*[F.lit(w) for w in sorted({_plain(w) for w in words})])
-    visual, audio, mixed = (F.arrays_overlap(said, cues(c)) for c in (T.VISUAL_CUES, T.AUDIO_CUES, T.MIXED_CUES))
+    visual, audio, mixed = (F.arrays_overlap(said, _cues(c)) for c in (T.VISUAL_CUES, T.AUDIO_CUES, T.MIXED_CUES))
     return queries.withColumn("intent", F.when(mixed | (visual & audio), "combined").when(visual, "visual").when(audio, "audio").otherwise("combined")).withColumn("explicit", mixed | visual | audio)
 
 
-def _plain(word: str) -> str:
-    return word.translate(str.maketrans("أإآٱىةؤئ", "ااااي" + "هوي"))
+def weighed(queries: DataFrame, text: str = "text") -> DataFrame:
+    """queries with visual_focused, v_weight and a_weight of fused search, by its own cue words, and the query without them."""
+    said = T.transcript_tokens(F.col(text))
+    visual, audio = (F.arrays_overlap(said, _cues(c)) for c in (T.FUSION_VISUAL_CUES, T.FUSION_AUDIO_CUES))
+    of = lambda seen, heard: F.when(visual & ~audio, seen).when(audio & ~visual, heard).otherwise(0.5)
+    return queries.withColumns({"visual_focused": visual & ~audio, "v_weight": of(0.6, 0.4), "a_weight": of(0.4, 0.6), "stripped": without_cues(F.col(text))})
 
 
-def route_of(query: str) -> tuple[str, bool]:
-    """(intent, whether a cue word decided it) of one query text."""
-    said = {_plain(w) for w in query.lower().split()}
-    visual, audio, mixed = (bool(said & {_plain(w) for w in c}) for c in (T.VISUAL_CUES, T.AUDIO_CUES, T.MIXED_CUES))
-    if mixed or (visual and audio) or not (visual or audio):
-        return "combined", mixed or (visual and audio)
-    return ("visual" if visual else "audio"), True
+def without_cues(text: Column) -> Column:
+    """The query without the cue words of fused search, single spaces between the rest; the query itself if none is left."""
+    cues = _cues(T.FUSION_VISUAL_CUES + T.FUSION_AUDIO_CUES)
+    left = F.array_join(F.filter(F.split(T.collapse(text), " "), lambda w: ~F.array_contains(cues, T.normalize_transcript(w))), " ")
+    return F.when(left == "", text).otherwise(left)
 
 
-def without_cues(text: Column) -> Column:
-    """Query words that are no cue; the query itself if none is left."""
-    cues = F.array(*[F.lit(w) for w in sorted({_plain(w) for w in T.VISUAL_CUES + T.AUDIO_CUES + T.MIXED_CUES})])
-    left = F.array_join(F.filter(F.split(text, " +"), lambda w: ~F.array_contains(cues, T.normalize_transcript(w))), " ")
-    return F.when(F.trim(left) == "", text).otherwise(F.trim(left))
+def understood(spark: SparkSession, query: str) -> Row:
+    """intent, explicit, visual_focused, v_weight, a_weight and stripped of one query, by the same columns as a table's."""
+    return weighed(route(spark.range(1).select(F.lit(query).alias("text")))).first()
 
 
 def auto_route(queries: DataFrame, best_coverage: DataFrame) -> DataFrame:

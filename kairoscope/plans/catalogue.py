@@ -144,12 +144,43 @@ def rrf_fusion(spark, folder):
     return rows.select("chunk_id", "joint_score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, {QUERY},
+v AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS r FROM (SELECT chunk_id, list_cosine_similarity(visual, v) AS s FROM chunks, q WHERE visual IS NOT NULL) QUALIFY r <= 200),
+a AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS r FROM (SELECT chunk_id, list_cosine_similarity(audio, a) AS s FROM chunks, q WHERE audio IS NOT NULL) QUALIFY r <= 200),
+j AS (SELECT chunk_id, round(0.5::DOUBLE * coalesce(61::DOUBLE / (60 + v.r), 0) + 0.5::DOUBLE * coalesce(61::DOUBLE / (60 + a.r), 0), 4) AS joint_score FROM v FULL JOIN a USING (chunk_id)),
+h AS (SELECT row_number() OVER (ORDER BY joint_score DESC, chunk_id) AS i, chunk_id, joint_score, video_id, start_timestamp AS s, end_timestamp AS e, sha256((chunk_index % 7)::VARCHAR) AS f, md5({normal("transcript")}) AS t FROM j JOIN chunks USING (chunk_id)),
+walk AS (
+  SELECT 0::BIGINT AS i, list_filter([{{'c': '', 'v': '', 's': 0.0::DOUBLE, 'e': 0.0::DOUBLE, 'f': '', 't': '', 'j': 0.0::DOUBLE}}], lambda x: false) AS kept
+  UNION ALL
+  SELECT h.i, CASE WHEN len(list_filter(kept, lambda y: greatest(y.s, h.s) < least(y.e, h.e) AND (y.v = h.video_id OR (y.f = h.f AND y.t = h.t)))) > 0 THEN kept
+    ELSE list_append(kept, {{'c': h.chunk_id, 'v': h.video_id, 's': h.s, 'e': h.e, 'f': h.f, 't': h.t, 'j': h.joint_score}}) END
+  FROM walk JOIN h ON h.i = walk.i + 1
+),
+k AS (SELECT unnest(kept[1:100]) AS x FROM walk QUALIFY row_number() OVER (ORDER BY i DESC) = 1)
+SELECT x.c AS chunk_id, false AS text_match, x.j AS joint_score, x.v AS video_id, x.s AS start_timestamp, x.e AS end_timestamp, x.f AS frame_sha256 FROM k""")
 def temporal_dedup(spark, folder):
-    """Fused hits after greedy suppression of what overlaps in time."""
+    """The first hundred fused hits that greedy suppression of what overlaps in time keeps."""
     e, rows = vector(spark, folder), tables.chunks(spark, folder)
     hits = search.hybrid(rows, e[:32], e[32:], "no such phrase anywhere", K)
-    return search.deduplicated(hits.join(rows.drop("visual", "audio"), "chunk_id"))
+    return search.deduplicated(hits.join(rows.drop("visual", "audio"), "chunk_id"), 100)
+
+
+@query(r"""SELECT doc_id, k = 1 AS visual_focused, CASE k WHEN 1 THEN 0.6::DOUBLE WHEN 2 THEN 0.4 ELSE 0.5 END AS v_weight, CASE k WHEN 1 THEN 0.4::DOUBLE WHEN 2 THEN 0.6 ELSE 0.5 END AS a_weight, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS stripped
+FROM (SELECT doc_id, doc_id % 4 AS k, text FROM documents WHERE regexp_matches(text, '\S'))""".replace("\\\\", "\\"))
+def fused_query(spark, folder):
+    """Weights and wording of queries that begin with a cue of the frames, of the speech, of both, or none, marked and
+    punctuated as people type them."""
+    cue = F.get(F.array(F.lit(""), F.lit("الصُّورَة، "), F.lit("«قالَ»: "), F.lit("صـورة! العِبارة؟ ")), (F.col("doc_id") % 4).cast("int"))
+    rows = table(spark, folder, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", F.concat(cue, "text").alias("text"))
+    return search.weighed(rows).select("doc_id", "visual_focused", "v_weight", "a_weight", F.md5("stripped").alias("stripped"))
+
+
+@query("SELECT q AS query, i AS intent, x AS explicit FROM (VALUES ('photo, please', 'visual', true), ('show me the photo?', 'visual', true), ('what was said, exactly?', 'audio', true), ('hello there', 'combined', false), ('الصُّورَة، من فضلك', 'visual', true), ('«قالَ»: ماذا', 'audio', true), ('مَعًا', 'combined', true), ('photo quote', 'combined', true), ('', 'combined', false)) t(q, i, x)")
+def typed_route(spark, folder):
+    """Routes of single queries, as a call takes them."""
+    asked = ["photo, please", "show me the photo?", "what was said, exactly?", "hello there", "الصُّورَة، من فضلك", "«قالَ»: ماذا", "مَعًا", "photo quote", ""]
+    found = [search.understood(spark, q) for q in asked]
+    return spark.createDataFrame([(q, r.intent, r.explicit) for q, r in zip(asked, found)], "query string, intent string, explicit boolean")
 
 
 @query(rf"""WITH t AS (SELECT *, {token_list("text")} AS t FROM (SELECT 'b' || item_id AS query_id, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '_' || turn, text FROM conversations))
@@ -230,7 +261,7 @@ def auto_search(spark, folder):
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, text || ' [S' || (turn + 1) || '] and 【s ' || (conv_id % 5) || '】, (S 2) [S99]' AS answer FROM conversations),
-c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '(?i)(?:\[|【|\()\s*S\s*(\d+)\s*(?:\]|】|\))', 1), lambda n: 'S' || n) AS c FROM a)
+c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '[\[【(]\s*[Ss]\s*(\d+)\s*[\]】)]', 1), lambda n: 'S' || n) AS c FROM a)
 SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_zip(c, range(len(c))), lambda z: list_position(c, z[1]) = z[2] + 1 AND z[1] IN ('S1', 'S2', 'S3', 'S4')), lambda z: z[1]), ',') AS cited FROM c""")
 def citation_parse(spark, folder):
     said = F.concat("text", F.lit(" [S"), F.col("turn") + 1, F.lit("] and 【s "), F.col("conv_id") % 5, F.lit("】, (S 2) [S99]"))

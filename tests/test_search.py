@@ -68,7 +68,7 @@ def plain_dedup(rows, visual):
         clash = lambda k: max(k[4], r[4]) < min(k[5], r[5]) and (k[3] == r[3] or (k[1] and r[1]) or (r[6] and k[6] == r[6] and (visual or k[7] == r[7])))
         if not any(clash(k) for k in kept):
             kept.append(r)
-    return sorted(k[0] for k in kept)
+    return [k[0] for k in kept]
 
 
 @pytest.mark.parametrize("visual", [False, True])
@@ -79,22 +79,66 @@ def test_greedy_suppression(spark, visual):
         start = rng.randrange(0, 300) / 2
         rows.append((f"c{i:03d}", rng.random() < 0.3, rng.randrange(20) / 20, rng.choice("abc"), start, start + rng.choice([0.0, 5.0]), rng.choice(["", "f1", "f2", None]), rng.choice(["x", "y"])))
     schema = "chunk_id string, text_match boolean, joint_score double, video_id string, start_timestamp double, end_timestamp double, frame_sha256 string, transcript string"
-    got = search.deduplicated(spark.createDataFrame(rows, schema), visual)
-    assert sorted(r.chunk_id for r in got.collect()) == plain_dedup(rows, visual)
+    hits = spark.createDataFrame(rows, schema)
+    for k, block in ((1000, 2000), (1000, 7), (12, 5)):
+        got = [r.chunk_id for r in search.deduplicated(hits, k, visual, block).orderBy(F.desc("text_match"), F.desc("joint_score"), "chunk_id").collect()]
+        assert got == plain_dedup(rows, visual)[:k]
     few = [("1", False, 0.9, "v", 0.0, 5.0, "", ""), ("2", False, 0.8, "v", 4.0, 9.0, "", ""), ("3", False, 0.7, "v", 8.0, 13.0, "", ""), ("4", False, 0.85, "w", 4.0, 9.0, "", "")]
-    kept = lambda rows: sorted(r.chunk_id for r in search.deduplicated(spark.createDataFrame(rows, schema)).collect())
+    kept = lambda rows: sorted(r.chunk_id for r in search.deduplicated(spark.createDataFrame(rows, schema), 10).collect())
     assert kept(few) == ["1", "3", "4"]
     assert kept([(a, True, *rest) for a, _, *rest in few]) == ["1", "3"]
 
 
 def test_routing(spark):
-    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["photo", "quote", "photo quote", "hello", "الصورة", "كلمة"])], "query_id long, text string")
-    assert [r.intent for r in search.route(asked).orderBy("query_id").collect()] == ["visual", "audio", "combined", "combined", "visual", "audio"]
-    assert search.route_of("photo") == ("visual", True) and search.route_of("hello") == ("combined", False) and search.weights("quote") == (0.4, 0.6)
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["photo", "quote", "photo quote", "hello", "الصورة", "كلمة", "photo, please", "show me the photo?", "what was said, exactly?", "الصُّورَة؟", ""])], "query_id long, text string")
+    rows = search.weighed(search.route(asked)).orderBy("query_id").collect()
+    assert [r.intent for r in rows] == ["visual", "audio", "combined", "combined", "visual", "audio", "visual", "visual", "audio", "visual", "combined"]
+    for r in rows:  # one query alone is understood as in a table
+        one = search.understood(spark, r.text)
+        assert all(one[c] == r[c] for c in ("intent", "explicit", "visual_focused", "v_weight", "a_weight", "stripped"))
     auto = search.auto_route(asked, spark.createDataFrame([(3, 0.8), (0, 1.0)], "query_id long, coverage double")).orderBy("query_id").collect()
     assert [r.intent for r in auto][:4] == ["visual", "audio", "combined", "audio"]
-    left = asked.select(search.without_cues(F.col("text"))).collect()
-    assert [r[0] for r in left][:4] == ["photo", "quote", "photo quote", "hello"]
+
+
+def test_fused_search_has_cues_of_its_own(spark):
+    seen = lambda q: search.understood(spark, q)
+    assert (seen("photo of a cat").v_weight, seen("photo of a cat").stripped) == (0.5, "photo of a cat")
+    assert (seen("الصُّورة،  of a  cat").v_weight, seen("الصُّورة،  of a  cat").a_weight, seen("الصُّورة،  of a  cat").stripped) == (0.6, 0.4, "of a cat")
+    assert (seen("قالَ: cat").v_weight, seen("قالَ: cat").stripped) == (0.4, "cat")
+    assert (seen("صورة قال").v_weight, seen("صورة قال").stripped) == (0.5, "صورة قال")
+
+
+def test_batched_top_k_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]
+    rows = [(f"c{i:04d}", vec()) for i in range(700)] + [("z", None), ("y", [0.0, 0.0, 0.0]), ("x", [1.0, 2.0]), ("w", [1.0, None, 2.0])]
+    asked = [(i, vec()) for i in range(12)] + [(90, [0.0, 0.0, 0.0]), (91, None)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = []
+    for q, v in asked:
+        if v and any(v):
+            order = sorted((-round(cos(v, e), 9), c) for c, e in rows if e and len(e) == 3 and None not in e and any(e))
+            want += [(q, c, -s, r + 1) for r, (s, c) in enumerate(order[:5])]
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    for most in (10_000, 4):
+        monkeypatch.setattr(search, "MOST_QUERIES", most)
+        got = search.ranked_batch(df, queries, 5).collect()
+        assert sorted((r.query_id, r.chunk_id, round(r.sim, 9), r["rank"]) for r in got) == sorted(want)
+    assert "Cartesian" not in search.ranked_batch(df, queries, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice("ab abc b ca river".split()) for _ in range(rng.randrange(12)))) for i in range(80)] + [(100, None)]
+    phrases = [(0, "ab"), (1, "b ca"), (2, "river river"), (3, ""), (4, None), (5, "ab"), (6, "c ab"), (7, "absent")]
+    docs, asked = spark.createDataFrame(texts, "doc_id long, t string"), spark.createDataFrame(phrases, "item_id long, p string")
+    want = sorted((d, i) for d, t in texts for i, p in phrases if t is not None and p and p in t)
+    for most in (10_000, 2):
+        monkeypatch.setattr(search, "MOST_QUERIES", most)
+        met = search.containing(docs, asked, "t", "p")
+        assert sorted((r.doc_id, r.item_id) for r in met.collect()) == want
+    assert "NestedLoop" not in met._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sources_and_metrics(spark):
