@@ -1,85 +1,37 @@
 """Hierarchical communities of the entity graph, their reports and summaries.
 
 Levels come from repeated rounds of local moving on the modularity of weighted undirected edges, each round on the
-graph of the communities before (Louvain's scheme). Small graphs are solved in one grouped task, deterministically;
-beyond SMALL_EDGES edges every round is a bounded number of distributed label moves, written out between them.
+graph of the communities before. All nodes decide at once: in each move, a half of them, drawn by a hash of name and
+move, go to the neighbouring community of largest gain. A round ends when no node would gain, or PATIENCE moves in a
+row have not raised modularity; the best labelling it saw stands, so modularity never falls. Rounds end when nothing
+merges. The rule is one for every size: graphs of up to SMALL_EDGES edges are solved in one task, larger ones by
+shuffles written out between moves, with the same arithmetic and the same result.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import defaultdict
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kairoscope.operators.graph import internal_facts
-from kairoscope.sources.store import shared_folder
+from kairoscope.sources.store import discard, materialize
 
+#: Edges up to which a graph is solved in one task; the result does not depend on it.
 SMALL_EDGES = 200_000
-
-
-def louvain_levels(edges: list[tuple[str, str, float]], nodes: list[str], most_levels: int = 10) -> list[dict[str, str]]:
-    """Per level, the community (named by its smallest member) of every node. Nodes move in sorted order to the
-    neighbouring community of largest gain, ties to the smallest name, until none gains; so equal input, equal output."""
-    weight: dict[str, dict[str, float]] = {n: {} for n in sorted(nodes)}
-    for a, b, w in edges:
-        weight[a][b] = weight[a].get(b, 0.0) + w
-        weight[b][a] = weight[b].get(a, 0.0) + w
-    total = sum(sum(x.values()) for x in weight.values())
-    inner = dict.fromkeys(weight, 0.0)
-    of = {n: n for n in weight}
-    levels: list[dict[str, str]] = []
-    while total and len(levels) < most_levels:
-        degree = {n: sum(x.values()) + inner[n] for n, x in weight.items()}
-        label = {n: n for n in weight}
-        mass = dict(degree)
-        moved = True
-        while moved:
-            moved = False
-            for n in weight:
-                near: dict[str, float] = defaultdict(float)
-                for m, w in weight[n].items():
-                    near[label[m]] += w
-                home = label[n]
-                mass[home] -= degree[n]
-                gain = {c: near.get(c, 0.0) - degree[n] * mass[c] / total for c in {*near, home}}
-                best = max(sorted(gain), key=lambda c: gain[c])
-                if gain[best] <= gain[home] + 1e-12:
-                    best = home
-                mass[best] += degree[n]
-                if best != home:
-                    label[n], moved = best, True
-        groups: dict[str, list[str]] = defaultdict(list)
-        for n in weight:
-            groups[label[n]].append(n)
-        name = {c: min(g) for c, g in groups.items()}
-        of = {n: name[label[of[n]]] for n in of}
-        if levels and of == levels[-1] or len(groups) == len(weight) and levels:
-            break
-        levels.append(dict(of))
-        if len(groups) == len(weight):
-            break
-        merged: dict[str, dict[str, float]] = {name[c]: {} for c in sorted(groups, key=lambda c: name[c])}
-        kept = dict.fromkeys(merged, 0.0)
-        for n, x in weight.items():
-            a = name[label[n]]
-            kept[a] += inner[n]
-            for m, w in x.items():
-                b = name[label[m]]
-                if a == b:
-                    kept[a] += w
-                else:
-                    merged[a][b] = merged[a].get(b, 0.0) + w
-        weight, inner = merged, kept
-    return levels or [dict(of)]
+#: Moves without a gain of LEAST_GAIN in modularity after which a round ends.
+PATIENCE, LEAST_GAIN = 4, 1e-9
 
 
 def detect(weights: DataFrame, nodes: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """(level, entity_key, community: the smallest member): every entity at every level; isolated ones are alone.
 
-    weights (a, b, weight), a < b; nodes (entity_key). Level 0 is the finest.
+    weights (a, b, weight), a < b; nodes (entity_key). Level 0 is the finest. Weights are whole numbers.
     """
     if weights.limit(small + 1).count() > small:
         return _distributed(weights, nodes)
@@ -87,58 +39,131 @@ def detect(weights: DataFrame, nodes: DataFrame, small: int = SMALL_EDGES) -> Da
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         linked = pdf[pdf.b.notna()]
-        found = louvain_levels(list(linked[["a", "b", "w"]].itertuples(index=False, name=None)), sorted({*pdf.a, *linked.b}))
+        found = solved(list(linked[["a", "b", "w"]].itertuples(index=False, name=None)), sorted({*pdf.a, *linked.b}))
         return pd.DataFrame([(k, n, c) for k, level in enumerate(found) for n, c in level.items()], columns=["level", "entity_key", "community"])
 
     # at most `small` edges meet in one task
     return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, "level int, entity_key string, community string")
 
 
-def _distributed(weights: DataFrame, nodes: DataFrame, moves: int = 8, most_levels: int = 5) -> DataFrame:
-    """The same scheme with all nodes deciding at once: in each move, half of the nodes (by hash) go to the neighbouring
-    label of largest gain. Every move is a few shuffles over edges and is written to the shared folder."""
-    spark = weights.sparkSession
-    folder = f"{shared_folder(spark)}/communities-{uuid.uuid4().hex}"
+class _Round:
+    """What both ways of solving share: which labelling of a round stands, and when the round is over."""
+
+    def __init__(self) -> None:
+        self.best, self.quality, self.idle = None, -np.inf, 0
+
+    def over(self, label, quality: float, wanted: bool) -> bool:
+        """Take note of a labelling; whether no further move is to be made. wanted: whether some node would gain."""
+        if quality > self.quality + LEAST_GAIN:
+            self.best, self.quality, self.idle = label, quality, 0
+        else:
+            self.idle += 1
+        return not wanted or self.idle >= PATIENCE
+
+
+def solved(edges: list[tuple[str, str, float]], nodes: list[str]) -> list[dict[str, str]]:
+    """Per level, the community (named by its smallest member) of every node."""
+    of, levels = {n: n for n in nodes}, []
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    number = {n: i for i, n in enumerate(names)}
+    a, b, w = (np.array([number[e[0]] for e in edges], np.int64), np.array([number[e[1]] for e in edges], np.int64), np.array([e[2] for e in edges], np.float64))
+    n, m, w = np.append(a, b), np.append(b, a), np.append(w, w)
+    loops = np.bincount(n[n == m], w[n == m], len(names)) / 2
+    n, m, w = n[n != m], m[n != m], w[n != m]
+    while names:
+        degree = np.bincount(n, w, len(names)) + loops
+        total = degree.sum() or 1.0
+        ended, label = _Round(), np.arange(len(names))
+        for move, (near, to) in enumerate(_moves(n, m, w, degree, total, lambda: label)):
+            mass = np.bincount(label, degree, len(names))
+            if ended.over(label, (near.sum() + loops.sum()) / total - (mass * mass).sum() / (total * total), bool((to != label).any())):
+                break
+            label = np.array([t if t != h and _turn(names[i], move) else h for i, (t, h) in enumerate(zip(to.tolist(), label.tolist()))])
+        kept, group = np.unique(ended.best, return_inverse=True)
+        first = np.full(len(kept), len(names))
+        np.minimum.at(first, group, np.arange(len(names)))  # names are sorted
+        if levels and len(kept) == len(names):
+            break
+        of = {x: names[first[group[number[c]]]] if c in number else c for x, c in of.items()}
+        levels.append(dict(of))
+        if len(kept) == len(names):
+            break
+        order = np.argsort(first)  # communities in the order of their names
+        place = np.empty(len(kept), np.int64)
+        place[order] = np.arange(len(kept))
+        group = place[group]
+        inner = group[n] == group[m]
+        loops = np.bincount(group, loops, len(kept)) + np.bincount(group[n[inner]], w[inner], len(kept))
+        pairs, at = np.unique(group[n[~inner]] * len(kept) + group[m[~inner]], return_inverse=True)
+        n, m, w = pairs // len(kept), pairs % len(kept), np.bincount(at, w[~inner], len(pairs))
+        names = [names[i] for i in first[order]]
+        number = {x: i for i, x in enumerate(names)}
+    return levels or [dict(of)]
+
+
+def _moves(n: np.ndarray, m: np.ndarray, w: np.ndarray, degree: np.ndarray, total: float, current) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the current labels, again and again: the weight between each node and its community, and the best community for it."""
+    size, every = len(degree), np.arange(len(degree))
+    while True:
+        label = current()
+        mass = np.bincount(label, degree, size)
+        keys, at = np.unique(np.append(n * size + label[m], every * size + label), return_inverse=True)
+        near = np.bincount(at, np.append(w, np.zeros(size)), len(keys))
+        node, c = keys // size, keys % size
+        stay = c == label[node]
+        gain = near - degree[node] * (mass[c] - np.where(stay, degree[node], 0.0)) / total
+        order = np.lexsort((c, stay, gain, node))
+        last = order[np.append(node[order][1:] != node[order][:-1], True)]
+        yield near[stay], c[last]
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+def _turn(name: str, move: int) -> bool:
+    return hashlib.md5(f"{name}:{move}".encode()).hexdigest() < "8"
+
+
+def _distributed(weights: DataFrame, nodes: DataFrame) -> DataFrame:
+    """solved() by shuffles over edges, each move written to the shared folder."""
     both = weights.select(F.col("a").alias("n"), F.col("b").alias("m"), F.col("weight").cast("double").alias("w"))
-    both = written(both.unionByName(both.select(F.col("m").alias("n"), F.col("n").alias("m"), "w")), "both-0")
-    of = written(nodes.select("entity_key", F.col("entity_key").alias("community")).distinct(), "of-0")
-    loops, out = None, None
-    for level in range(most_levels):
-        degree = both.groupBy("n").agg(F.sum("w").alias("d"))
-        if loops is not None:
-            degree = degree.unionByName(loops.select("n", F.col("w").alias("d"))).groupBy("n").agg(F.sum("d").alias("d"))
-        degree = written(degree, f"degree-{level}")
-        total = degree.agg(F.sum("d")).first()[0] or 1.0
-        label = written(degree.select("n", F.col("n").alias("c"), "d"), f"label-{level}-0")
-        for move in range(moves):
+    loops = materialize(both.where("n = m").groupBy("n").agg(F.sum("w").alias("w")), "loops")
+    both = materialize(both.where("n <> m").unionByName(both.where("n <> m").select(F.col("m").alias("n"), F.col("n").alias("m"), "w")), "edges")
+    of = materialize(nodes.select("entity_key", F.col("entity_key").alias("community")).distinct(), "communities")
+    out, level = None, 0
+    while True:
+        degree = both.select("n", "w").unionByName(loops.select("n", "w")).groupBy("n").agg(F.sum("w").alias("d"))
+        label = materialize(degree.select("n", F.col("n").alias("c"), "d"), "label")
+        total, inner = label.agg(F.sum("d")).first()[0] or 1.0, loops.agg(F.sum("w")).first()[0] or 0.0
+        ended, move = _Round(), 0
+        while True:
             mass = label.groupBy("c").agg(F.sum("d").alias("mass"))
-            near = both.where("n <> m").join(label.select(F.col("n").alias("m"), "c"), "m").groupBy("n", "c").agg(F.sum("w").alias("near"))
+            near = both.join(label.select(F.col("n").alias("m"), "c"), "m").groupBy("n", "c").agg(F.sum("w").alias("near"))
             offers = near.unionByName(label.select("n", "c", F.lit(0.0).alias("near"))).groupBy("n", "c").agg(F.sum("near").alias("near"))
             offers = offers.join(label.select("n", F.col("c").alias("home"), "d"), "n").join(mass, "c")
-            gain = F.col("near") - F.col("d") * (F.col("mass") - F.when(F.col("c") == F.col("home"), F.col("d")).otherwise(0.0)) / total
-            best = offers.groupBy("n", "home", "d").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("home")).alias("stay"), F.col("c"))).alias("b"))
-            turn = F.pmod(F.xxhash64("n", F.lit(move)), F.lit(2)) == 0
-            label = written(best.select("n", F.when(turn, F.col("b.c")).otherwise(F.col("home")).alias("c"), "d"), f"label-{level}-{move + 1}")
-        names = label.groupBy("c").agg(F.min("n").alias("name"))
-        new = written(label.select("n", "c").join(names, "c").select(F.col("n").alias("community"), "name"), f"names-{level}")
-        of = written(of.join(new, "community", "left").select("entity_key", F.coalesce("name", "community").alias("community")), f"of-{level + 1}")
+            stay = F.col("c") == F.col("home")
+            gain = F.col("near") - F.col("d") * (F.col("mass") - F.when(stay, F.col("d")).otherwise(0.0)) / total
+            best = offers.groupBy("n", "home", "d").agg(F.max(F.struct(gain.alias("g"), stay.alias("stay"), F.col("c"))).alias("b"), F.max(F.when(stay, F.col("near"))).alias("near"))
+            turn = F.md5(F.concat("n", F.lit(f":{move}")).cast("binary")) < "8"
+            moved = materialize(best.select("n", "home", F.col("b.c").alias("to"), F.when(turn, F.col("b.c")).otherwise(F.col("home")).alias("c"), "d", "near"), "label")
+            near_home, wanted = moved.agg(F.sum("near"), F.coalesce(F.max(F.col("to") != F.col("home")), F.lit(False))).first()
+            square = mass.agg(F.sum(F.col("mass") * F.col("mass"))).first()[0] or 0.0
+            if ended.over(label, ((near_home or 0.0) + inner) / total - square / (total * total), wanted):
+                break
+            label, move = moved, move + 1
+        names = ended.best.groupBy("c").agg(F.min("n").alias("name"))
+        new = materialize(ended.best.select("n", "c").join(names, "c").select(F.col("n").alias("community"), "name"), "names")
+        alone = new.where("community <> name").limit(1).count() == 0
+        if out is not None and alone:
+            return out
+        of = materialize(of.join(new, "community", "left").select("entity_key", F.coalesce("name", "community").alias("community")), "communities")
         found = of.select(F.lit(level).alias("level"), "entity_key", "community")
         out = found if out is None else out.unionByName(found)
-        if new.where("community <> name").limit(1).count() == 0:
-            break
+        if alone:
+            return out
         to = lambda c: new.select(F.col("community").alias(c), F.col("name").alias(f"{c}2"))
-        merged = both.join(to("n"), "n").join(to("m"), "m").groupBy(F.col("n2").alias("n"), F.col("m2").alias("m")).agg(F.sum("w").alias("w"))
-        inside = merged.where("n = m").select("n", "w")
-        if loops is not None:
-            inside = inside.unionByName(loops.join(to("n"), "n").select(F.col("n2").alias("n"), "w"))
-        loops = written(inside.groupBy("n").agg(F.sum("w").alias("w")), f"loops-{level + 1}")
-        both = written(merged.where("n <> m"), f"both-{level + 1}")
-    return out
+        merged = materialize(both.join(to("n"), "n").join(to("m"), "m").groupBy(F.col("n2").alias("n"), F.col("m2").alias("m")).agg(F.sum("w").alias("w")), "edges")
+        inside = merged.where("n = m").select("n", "w").unionByName(loops.join(to("n"), "n").select(F.col("n2").alias("n"), "w"))
+        loops = materialize(inside.groupBy("n").agg(F.sum("w").alias("w")), "loops")
+        discard(both)
+        both, level = merged.where("n <> m"), level + 1
 
 
 def identified(levels: DataFrame) -> DataFrame:
@@ -158,12 +183,16 @@ def parents(members: DataFrame) -> DataFrame:
 def reports(members: DataFrame, named: DataFrame, entities: DataFrame, most_facts: int = 80, most_names: int = 6) -> DataFrame:
     """(community_id, level, member_count, report, content_hash, videos). Title of the first names, then a line for each
     of the first facts inside the community. named: edges with subject and object."""
-    names = members.join(entities.select("entity_key", "canonical_name"), "entity_key").groupBy("community_id", "level").agg(F.count("*").alias("member_count"), F.array_sort(F.collect_list("canonical_name")).alias("names"))
+    named_members = members.join(entities.select("entity_key", "canonical_name"), "entity_key")
+    first = W.partitionBy("community_id", "level").orderBy("canonical_name", "entity_key")  # the limit goes before its shuffle
+    few = named_members.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most_names)
+    few = few.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "canonical_name"))), lambda x: x["canonical_name"]).alias("names"))
+    names = named_members.groupBy("community_id", "level").agg(F.count("*").alias("member_count")).join(few, "community_id")
     line = F.format_string("- %s — %s — %s (%s, %.1f-%.1f)", "subject", "predicate", "object", "video_id", "start_timestamp", "end_timestamp")
     inside = internal_facts(named, members, most_facts).groupBy("community_id").agg(F.array_sort(F.collect_list(F.struct("video_id", "start_timestamp", "edge_key", line.alias("line")))).alias("lines"), F.array_sort(F.collect_set("video_id")).alias("videos"))
     rows = names.join(inside, "community_id", "left")
     lines = F.coalesce(F.transform("lines", lambda x: x["line"]), F.array().cast("array<string>"))
-    title = F.array_join(F.slice("names", 1, most_names), "، ")
+    title = F.array_join("names", "، ")
     rows = rows.withColumn("report", F.array_join(F.concat(F.array(title), lines), "\n"))
     return rows.select("community_id", "level", "member_count", "report", F.sha2("report", 256).alias("content_hash"), F.coalesce("videos", F.array().cast("array<string>")).alias("videos"))
 

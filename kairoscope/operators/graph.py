@@ -25,17 +25,22 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def fact_key(*columns: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", *columns), 256)
+    """SHA-256 of the columns as a JSON list of strings, a blank after each comma."""
+    quoted = [_quoted(c) for c in columns]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]")), 256)
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON writes it; null as null."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def keyed_facts(facts: DataFrame, normalize=T.normalize_entity) -> DataFrame:
-    """facts with subject_key, object_key, predicate_key, without blank ones. Keys are computed on distinct strings,
-    so Python sees each once."""
+    """facts with subject_key, object_key, predicate_key, without blank ones. Python folds the distinct strings of each
+    batch, where the rows lie: nothing is shuffled."""
     facts = blank_free(facts, "subject", "predicate", "object", "evidence")
-    names = facts.select(F.explode(F.array("subject", "predicate", "object")).alias("_name")).distinct().withColumn("_key", normalize(F.col("_name")))
-    for c in ("subject", "predicate", "object"):
-        facts = facts.join(names.withColumnRenamed("_name", c).withColumnRenamed("_key", f"{c}_key"), c)
-    return facts
+    return facts.withColumns({f"{c}_key": normalize(F.col(c)) for c in ("subject", "predicate", "object")})
 
 
 def resolved_entities(facts: DataFrame) -> DataFrame:
@@ -77,8 +82,10 @@ def one_hop(edges: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     return touching(edges, anchors).orderBy("start_timestamp", "edge_key").limit(max(6 * k, 18))
 
 
-def internal_facts(edges: DataFrame, members: DataFrame, most: int | None = None) -> DataFrame:
-    """(community_id, edge): edges with both ends in one community; the first `most` by video and time, if given."""
+def internal_facts(edges: DataFrame, members: DataFrame, most: int | None = None, video_id: str | None = None) -> DataFrame:
+    """(community_id, edge): edges with both ends in one community, of one video if given; the first `most` by video and
+    time, if given."""
+    edges = edges if not video_id else edges.where(F.col("video_id") == video_id)
     s = members.select("community_id", F.col("entity_key").alias("subject_key"))
     o = members.select("community_id", F.col("entity_key").alias("object_key"))
     inside = edges.join(s, "subject_key").join(o, ["community_id", "object_key"])
@@ -119,13 +126,14 @@ def migrated(chunks: DataFrame, facts: DataFrame) -> DataFrame:
 
 def validated(candidates: DataFrame, chunks: DataFrame, normalize=T.normalize_evidence) -> DataFrame:
     """Candidates whose quote stands in their chunk and states subject, predicate and object in order (or predicate
-    first), and does not also state the reverse. Unknown chunks and blank fields drop out."""
+    first), and does not also state the reverse. Unknown chunks and blank fields drop out. Each chunk is normalised
+    once, before it meets its candidates."""
     rows = blank_free(candidates, "subject", "predicate", "object", "evidence")
     rows = rows.withColumns({c: F.trim(c) for c in ("subject", "predicate", "object", "evidence")})
-    rows = rows.join(chunks.select("chunk_id", F.col("transcript").alias("_source")), "chunk_id").where("_source <> ''")
     s, p, o, e = (normalize(F.col(c)) for c in ("subject", "predicate", "object", "evidence"))
-    rows = rows.withColumns({"_s": s, "_p": p, "_o": o, "_e": e, "_source": normalize(F.col("_source"))})
-    rows = rows.where("_s <> '' and _p <> '' and _o <> '' and _e <> ''").where(F.contains("_source", "_e"))
+    rows = rows.withColumns({"_s": s, "_p": p, "_o": o, "_e": e}).where("_s <> '' and _p <> '' and _o <> '' and _e <> ''")
+    said = chunks.where("transcript <> ''").select("chunk_id", normalize(F.col("transcript")).alias("_source"))
+    rows = rows.join(said, "chunk_id").where(F.contains("_source", "_e"))
     stems = {c: F.transform(F.split(c, " "), T.light_stem) for c in ("_s", "_p", "_o", "_e")}
     forward = T.in_order(F.col("_e"), F.col("_s"), F.col("_p"), F.col("_o")) | T.in_order(F.col("_e"), F.col("_p"), F.col("_s"), F.col("_o"))
     reverse = T.tokens_in_order(stems["_e"], stems["_o"], stems["_p"], stems["_s"])
@@ -146,11 +154,14 @@ def batches(chunks: DataFrame, size: int = 5) -> DataFrame:
     return chunks.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size))
 
 
-def build_counts(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: entities, facts, chunks, edges of a build."""
+def build_counts(facts: DataFrame, edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One row: entities, facts, chunks, edges of a build, and its levels and communities if members are given."""
     ends = edges.select(F.explode(F.array("subject_key", "object_key")).alias("k")).agg(F.countDistinct("k").alias("entities"))
     rest = facts.agg(F.count("*").alias("facts"), F.countDistinct("chunk_id").alias("chunks"))
-    return ends.crossJoin(rest).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    counted = ends.crossJoin(rest).crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    if members is None:
+        return counted
+    return counted.crossJoin(members.agg(F.countDistinct("level").alias("levels"), F.countDistinct("community_id").alias("communities")))
 
 
 def entity_catalog(entities: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kairoscope.functions.projections import basename
 
@@ -23,6 +26,46 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the scratch tables that df reads directly; call it once nothing else needs them."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if any(path.endswith(p.rpartition("/")[2]) for _, p in _made):
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may have ended first
+            return
+
+
 def upserted(table: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """table with rows of `new` in place of those with the same key; of several new rows the last in order stays."""
     if order:
@@ -102,7 +145,9 @@ class ChunkStore:
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        found = self.spark.read.parquet(self.path)
+        schema = StructType([StructField(f.name, StringType() if f.name == "video_id" else f.dataType) for f in found.schema])  # "007" is no number
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def replace(self, chunks: DataFrame) -> None:
         """Write chunks; partitions of their videos are replaced, each as a whole."""
@@ -111,6 +156,20 @@ class ChunkStore:
     def delete(self, video_id: str) -> int:
         """Remove a video's partition; how many chunks it had."""
         n = self.read().where(F.col("video_id") == video_id).count()
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/video_id={video_id}")
-        fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(fs_path, True)
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(video_id)  # as the writer names folders
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = jvm_path(jvm_path(self.path), f"video_id={escaped}")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
         return n
+
+
+# Fixed value: the namespace of URLs, in which ids of points are made.
+NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def point_id(name: Column) -> Column:
+    """The name-based UUID (version 5) of a chunk's id: the key under which stores upsert its point."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(name, "UTF-8")))
+    # the thirteenth digit is the version, the top two bits of the seventeenth the variant
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))

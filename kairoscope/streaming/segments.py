@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from kairoscope.sources.store import upserted
+from kairoscope.sources.store import discard, materialize, remove, upserted
 
 
 def sliding_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", length: str = "5 minutes", stride: str = "4 minutes", late: str = "10 minutes") -> DataFrame:
@@ -28,25 +29,57 @@ def first_seen(events: DataFrame, key: str = "event_id", ts: str = "ts", late: s
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def upsert_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps path, as numbered versions of a keyed table, up to date. A repeated batch
-    writes its version again, so a restart leaves the same table."""
+def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps a keyed table under path up to date. Of several rows of a key in a batch, the
+    last by `order` stays.
+
+    The table lies in buckets by a hash of the key, each in numbered versions (path/v=<batch>/bucket=<n>). A batch
+    rewrites only the buckets that it touches; of each it then keeps the version before, which a repeated batch starts
+    from, and deletes older ones. So a restart leaves the same table, and space stays within two versions.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = latest(spark, path, number)
-        rows = batch.dropDuplicates(keys)
-        (rows if before is None else upserted(before, rows, keys)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        rows = materialize(batch.withColumn("bucket", bucket), "batch")
+        touched = {r[0] for r in rows.select("bucket").distinct().collect()}  # at most `buckets`
+        if not touched:
+            return
+        before = _read(spark, path, {b: v for b, v in _newest(spark, path, number).items() if b in touched}, batch.schema)
+        after = upserted(before, rows.select(*before.columns), keys, [F.desc(c) for c in order])
+        after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        discard(rows)
+        previous = _newest(spark, path, number)
+        for v, b in _versions(spark, path):
+            if b in touched and v < previous.get(b, v):
+                remove(spark, f"{path}/v={v}/bucket={b}")
 
     return apply
 
 
-def latest(spark, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest version (older than batch `below`, if given); None if there is none."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
-    found = [n for n in found if below is None or n < below]
-    return spark.read.parquet(f"{path}/v={max(found)}") if found else None
+def latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that upsert_into() keeps under path; empty if there is none yet."""
+    return _read(spark, path, _newest(spark, path), schema)
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(version, bucket) of every folder under path."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm_path(jvm_path(path), "v=*/bucket=*"))
+    return [tuple(int(part.rpartition("=")[2]) for part in str(s.getPath()).split("/")[-2:]) for s in found or []]
+
+
+def _newest(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket, older than batch `below` if that is given."""
+    out: dict[int, int] = {}
+    for v, b in _versions(spark, path):
+        if below is None or v < below:
+            out[b] = max(v, out.get(b, v))
+    return out
+
+
+def _read(spark: SparkSession, path: str, versions: dict[int, int], schema: StructType) -> DataFrame:
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/v={v}/bucket={b}" for b, v in sorted(versions.items())])
