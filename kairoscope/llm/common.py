@@ -2,60 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from kairoscope.sources.store import shared_folder
+from kairoscope.sources.store import discard, materialize, scratch_path  # noqa: F401  for all operators here
 
 #: Text bytes that a Python worker holds as Python objects at a time.
 SLICE_BYTES = 2 << 20
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when Python ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the scratch tables that df reads directly; call it once nothing else needs them."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if any(path.endswith(p.rpartition("/")[2]) for _, p in _made):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _made:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may have ended first
-            return
-
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.Table], pa.Table]], schema: StructType | str, text: str | None = "text", slice_bytes: int = SLICE_BYTES, slice_rows: int = 256) -> DataFrame:
     """mapInArrow with each batch cut so that a call sees about slice_bytes of `text`, at least one row, or slice_rows
