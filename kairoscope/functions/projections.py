@@ -23,3 +23,11 @@ def audible(transcript: Column, vector: Column) -> Column:
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return F.greatest(a_start, b_start) < F.least(a_end, b_end)
+
+
+def response(confidence: Column, text_match: Column) -> Column:
+    """A result with all fields that the service sends, of a chunk's columns."""
+    return F.struct(
+        "start_timestamp", "end_timestamp", confidence.alias("confidence_score"), "video_id", frame_url(F.col("frame_path")).alias("frame_url"),
+        snippet(F.col("transcript")).alias("transcript_snippet"), text_match.alias("text_match"),
+    )

@@ -58,10 +58,11 @@ def described(reports: DataFrame) -> DataFrame:
     return reports.withColumn("description", F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("report")))
 
 
-def global_context(named: DataFrame, members: DataFrame, selected: DataFrame, vector: list[float], terms: Column, k: int, embed) -> DataFrame:
-    """Facts inside the selected communities: so many of each by time, each edge once (best community first), ranked, capped."""
+def global_context(named: DataFrame, members: DataFrame, selected: DataFrame, vector: list[float], terms: Column, k: int, embed, video_id: str | None = None) -> DataFrame:
+    """Facts inside the selected communities, of one video if given: so many of each by time, each edge once (best
+    community first), ranked, capped."""
     chosen = members.join(F.broadcast(selected.select("community_id", F.col("score").alias("_c"))), "community_id")  # at most k communities
-    gathered = internal_facts(named, chosen.select("community_id", "entity_key"), max(20, 12 * k)).join(F.broadcast(selected.select("community_id", F.col("score").alias("_c"))), "community_id")
+    gathered = internal_facts(named, chosen.select("community_id", "entity_key"), max(20, 12 * k), video_id).join(F.broadcast(selected.select("community_id", F.col("score").alias("_c"))), "community_id")
     once = gathered.withColumn("_n", F.row_number().over(W.partitionBy("edge_key").orderBy(F.desc("_c"), "community_id"))).where("_n = 1").drop("_n", "_c")
     return reranked(embed(once), vector, terms).orderBy(F.desc("score"), "edge_key").limit(max(8 * k, 24))
 

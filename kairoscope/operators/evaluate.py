@@ -19,6 +19,6 @@ def temporal_iou(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", F.coalesce(shared / F.nullif(both, F.lit(0.0)), F.lit(0.0)))
 
 
-def benchmark_stats(runs: DataFrame) -> DataFrame:
-    """runs (query_id, latency_ms, confidence) to average, least and largest latency and average confidence."""
-    return runs.agg(F.count("*").alias("runs"), F.avg("latency_ms").alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.avg("confidence").alias("avg_confidence"))
+def benchmark_stats(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """runs (latency_ms, confidence) to average, least and largest latency and average confidence, of each `by` if given."""
+    return runs.groupBy(*(by or [])).agg(F.count("*").alias("runs"), F.avg("latency_ms").alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.avg("confidence").alias("avg_confidence"))

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kairoscope.functions import fuzzy
+from kairoscope.functions import fuzzy, projections
 from kairoscope.functions import text as T
 from kairoscope.functions.projections import frame_url, snippet
-from kairoscope.functions.vectors import store_score
+from kairoscope.functions.vectors import dot, normalized, store_score
 from kairoscope.operators import answer, communities, evaluate, graph, mentions, search, windows
 from kairoscope.sources import media, store, tables
 from kairoscope.sources.tables import table
@@ -55,7 +55,7 @@ FACTS = """facts AS (
     {s} AS subject, l_returnflag AS predicate, {o} AS object, {s} || ' ' || l_returnflag || ' ' || {o} AS evidence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey {more}),
 edges AS (
-  SELECT DISTINCT sha256(concat_ws(chr(31), chunk_id, lower(subject), lower(predicate), lower(object), evidence)) AS edge_key, video_id, chunk_id, start_timestamp, end_timestamp,
+  SELECT DISTINCT sha256('["' || concat_ws('", "', chunk_id, lower(subject), lower(predicate), lower(object), evidence) || '"]') AS edge_key, video_id, chunk_id, start_timestamp, end_timestamp,
     lower(subject) AS subject_key, predicate, lower(predicate) AS predicate_key, lower(object) AS object_key, evidence, subject, object FROM facts)"""
 SUPPLY = FACTS.format(s="s_name", o="'part#' || l_partkey", more="")
 TRADE = FACTS.format(s="c.n_name", o="s.n_name", more="JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey JOIN nation s ON s_nationkey = s.n_nationkey")
@@ -269,6 +269,40 @@ def citation_parse(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(cited, ",").alias("cited"))
 
 
+@query(r"SELECT doc_id, md5(array_to_string(list_sort(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+'))), ' ')) AS words FROM documents")
+def query_words(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(T.query_words(F.col("text"))), " ")).alias("words"))
+
+
+@query(f"SELECT doc_id, regexp_matches(coalesce(c, '') || text, '{T.LIST_QUESTION}') AS is_list FROM documents LEFT JOIN (VALUES (0, 'اذكر '), (1, 'ما أنواع '), (2, 'عدّد '), (3, 'لماذا ')) t(k, c) ON k = doc_id % 5")
+def list_questions(spark, folder):
+    cue = F.coalesce(F.get(F.array(*map(F.lit, ("اذكر ", "ما أنواع ", "عدّد ", "لماذا "))), (F.col("doc_id") % 5).cast("int")), F.lit(""))
+    return table(spark, folder, "documents").select("doc_id", T.is_list_question(F.concat(cue, "text")).alias("is_list"))
+
+
+@query("""SELECT doc_id, CASE k WHEN 0 THEN 2 WHEN 1 THEN 0 END::INT AS n, CASE WHEN k = 0 THEN md5(text) END AS evidence FROM (SELECT doc_id, doc_id % 4 AS k, text FROM documents WHERE text IS NOT NULL)""")
+def candidate_decoding(spark, folder):
+    """Lists of candidates as models and caches write them: two candidates, none, an object, no JSON."""
+    rows = table(spark, folder, "documents").where("text is not null")
+    both = F.to_json(F.array(F.struct(F.col("source").alias("subject"), F.col("text").alias("evidence")), F.struct(F.lit("s").alias("subject"), F.lit(None).cast("string").alias("evidence"))))
+    kind = F.col("doc_id") % 4
+    decoded = graph.decoded_candidates(F.when(kind == 0, both).when(kind == 1, "[]").when(kind == 2, "{}").otherwise("none"))
+    return rows.select("doc_id", F.when(decoded.isNotNull(), F.size(decoded)).alias("n"), F.md5(F.get(decoded, F.lit(0))["evidence"]).alias("evidence"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 5) AS length, round(u[1], 5) AS first, round(u[64], 5) AS last FROM (SELECT vec_id, list_transform(e, lambda x: (x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::FLOAT::DOUBLE) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))")
+def vector_normalize(spark, folder):
+    unit = table(spark, folder, "embeddings").select("vec_id", normalized(F.col("embedding")).alias("u"))
+    at = lambda i: F.round(F.get("u", F.lit(i)).cast("double"), 5)
+    return unit.select("vec_id", F.round(dot(F.col("u"), F.col("u")), 5).alias("length"), at(0).alias("first"), at(63).alias("last"))
+
+
+@query("""SELECT chunk_id, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1))::INT, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS point_id
+FROM (SELECT 'c' || doc_id AS chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('c' || doc_id)) AS h FROM documents)""")
+def point_ids(spark, folder):
+    return tables.chunks(spark, folder, False).select("chunk_id", store.point_id(F.col("chunk_id")).alias("point_id"))
+
+
 # --- time ------------------------------------------------------------------------------------------------------------
 
 SEGMENTS = "segments AS (SELECT conv_id::VARCHAR AS video_id, turn::INT AS seg_idx, 3.0::DOUBLE * turn AS s, 3.0::DOUBLE * turn + 4 AS e, text FROM conversations), videos AS (SELECT video_id, max(e) AS duration FROM segments GROUP BY video_id)"
@@ -280,6 +314,13 @@ def chunk_windows(spark, folder):
     return windows.chunk_windows(tables.videos(spark, folder))
 
 
+@query(f"""WITH {SEGMENTS}, {WINDOWS} SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY s) - 1)::INT AS chunk_index, round(s, 2) AS start, round(e, 2) AS "end", round((s + e) / 2, 2) AS mid FROM windows WHERE e - s >= 2""")
+def readable_windows(spark, folder):
+    """Windows of two seconds and more have a frame that can be read; their numbers close up."""
+    found = windows.chunk_windows(tables.videos(spark, folder))
+    return windows.readable_windows(found, found.where(F.col("end") - F.col("start") >= 2)).select("video_id", "chunk_index", "start", "end", "mid")
+
+
 _JOINED = f"""WITH {SEGMENTS}, {WINDOWS}, said AS (SELECT w.video_id, w.chunk_index, string_agg(g.text, ' ' ORDER BY g.seg_idx, g.text) AS t FROM windows w JOIN segments g ON g.video_id = w.video_id AND g.e > w.s AND g.s < w.e GROUP BY ALL)"""
 
 
@@ -369,10 +410,12 @@ def replace_video(spark, folder):
     return at.read().groupBy("video_id").agg(F.count("*").alias("chunks"), F.sum(F.length("transcript")).alias("chars"))
 
 
-@query("SELECT 'c' || doc_id AS chunk_id, to_json({'video_id': source, 'frame_url': '/frames/' || doc_id || '.jpg', 'snippet': substr(lang, 1, 200)})::VARCHAR AS response FROM documents")
+@query("""SELECT 'c' || doc_id AS chunk_id, to_json({'start_timestamp': doc_id / 5.0::DOUBLE, 'end_timestamp': doc_id / 5.0::DOUBLE + 5, 'confidence_score': 0.5::DOUBLE, 'video_id': source, 'frame_url': '/frames/' || doc_id || '.jpg',
+'transcript_snippet': substr(text, 1, 200), 'text_match': false})::VARCHAR AS response FROM documents WHERE text IS NOT NULL""")
 def json_output(spark, folder):
-    rows = tables.chunks(spark, folder, False)
-    return rows.select("chunk_id", F.to_json(F.struct("video_id", frame_url(F.col("frame_path")).alias("frame_url"), snippet(F.col("lang")).alias("snippet"))).alias("response"))
+    """Results as the service sends them, with quotes, line ends and letters of any script in the snippet."""
+    rows = tables.chunks(spark, folder, False).where("transcript is not null")
+    return rows.select("chunk_id", F.to_json(projections.response(F.lit(0.5), F.lit(False))).alias("response"))
 
 
 @query("SELECT source AS video_id, count(*) AS chunks, sum(CASE WHEN source IN ('src2', 'src6') THEN 1 ELSE length(text) END)::BIGINT AS size FROM documents GROUP BY source")
@@ -396,13 +439,17 @@ def reuse_facts(spark, folder):
 
 
 def supply(spark, folder):
-    facts = graph.keyed_facts(tables.supply_facts(spark, folder))
-    return facts, graph.fact_edges(facts)
+    return _built(tables.supply_facts(spark, folder))
 
 
 def trade(spark, folder):
-    facts = graph.keyed_facts(tables.trade_facts(spark, folder))
-    return facts, graph.fact_edges(facts)
+    return _built(tables.trade_facts(spark, folder))
+
+
+def _built(facts):
+    """Facts and edges, each written once, as a query may use them several times."""
+    facts = store.materialize(graph.keyed_facts(facts), "facts")
+    return facts, store.materialize(graph.fact_edges(facts), "edges")
 
 
 @query(f"WITH {SUPPLY} SELECT edge_key, video_id, chunk_id, start_timestamp, subject_key, predicate_key, object_key FROM edges")
@@ -410,9 +457,9 @@ def fact_edges(spark, folder):
     return supply(spark, folder)[1].select("edge_key", "video_id", "chunk_id", "start_timestamp", "subject_key", "predicate_key", "object_key")
 
 
-@query(f"WITH {SUPPLY} SELECT lower(n) AS entity_key, min(n) AS canonical_name, count(DISTINCT n) AS aliases, count(*) AS n_facts FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts) GROUP BY 1")
+@query(f"WITH {SUPPLY} SELECT lower(n) AS entity_key, min(n) AS canonical_name, string_agg(DISTINCT n, ',' ORDER BY n) AS aliases, count(*) AS n_facts FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts) GROUP BY 1")
 def entity_resolution(spark, folder):
-    return graph.resolved_entities(supply(spark, folder)[0]).withColumn("aliases", F.size("aliases").cast("bigint"))
+    return graph.resolved_entities(supply(spark, folder)[0]).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query(f"WITH {TRADE} SELECT least(subject_key, object_key) AS a, greatest(subject_key, object_key) AS b, count(*) AS weight FROM edges WHERE subject_key <> object_key GROUP BY 1, 2")
@@ -493,10 +540,11 @@ def candidate_validation(spark, folder):
     return graph.validated(made.select("chunk_id", "subject", "predicate", "object", "evidence"), sources)
 
 
-@query(f"WITH {SUPPLY}, n AS (SELECT chunk_id, count(*) AS n FROM (SELECT DISTINCT chunk_id, subject, predicate, object FROM facts) GROUP BY 1) SELECT 'o' || o_orderkey AS chunk_id, coalesce(n, 0)::INT AS n_candidates FROM orders LEFT JOIN n ON chunk_id = 'o' || o_orderkey")
+@query(f"""WITH {SUPPLY}, n AS (SELECT chunk_id, string_agg(concat_ws('|', subject, predicate, object, evidence), ';' ORDER BY subject, predicate, object, evidence) AS c FROM (SELECT DISTINCT chunk_id, subject, predicate, object, evidence FROM facts) GROUP BY 1)
+SELECT 'o' || o_orderkey AS chunk_id, coalesce(c, '') AS candidates FROM orders LEFT JOIN n ON chunk_id = 'o' || o_orderkey""")
 def candidate_routing(spark, folder):
     rows = graph.routed_candidates(tables.order_chunks(spark, folder), tables.supply_facts(spark, folder).select(*graph.FACT).distinct())
-    return rows.select("chunk_id", F.size("candidates").alias("n_candidates"))
+    return rows.select("chunk_id", F.array_join(F.transform("candidates", lambda c: F.concat_ws("|", c["subject"], c["predicate"], c["object"], c["evidence"])), ";").alias("candidates"))
 
 
 @query("SELECT 'c' || doc_id AS chunk_id, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id / 5.0, 'c' || doc_id) - 1) / 5)::BIGINT AS batch FROM documents")
@@ -504,16 +552,21 @@ def extraction_batches(spark, folder):
     return graph.batches(tables.chunks(spark, folder, False)).select("chunk_id", "batch")
 
 
-@query(f"WITH {SUPPLY}, n AS (SELECT chunk_id, count(*) AS n, min(subject) AS s FROM facts GROUP BY 1) SELECT 'o' || o_orderkey AS chunk_id, coalesce(n, 0)::INT AS n_facts FROM orders LEFT JOIN n ON chunk_id = 'o' || o_orderkey")
+@query(f"""WITH {SUPPLY}, n AS (SELECT chunk_id, string_agg(concat_ws('|', subject, predicate, object, evidence), ';' ORDER BY start_timestamp, subject, predicate, object, evidence) AS f FROM facts GROUP BY 1)
+SELECT 'o' || o_orderkey AS chunk_id, coalesce(f, '') AS facts FROM orders LEFT JOIN n ON chunk_id = 'o' || o_orderkey""")
 def migration_scan(spark, folder):
     rows = graph.migrated(tables.order_chunks(spark, folder), tables.supply_facts(spark, folder))
-    return rows.select("chunk_id", F.size("facts").alias("n_facts"))
+    return rows.select("chunk_id", F.array_join(F.transform("facts", lambda f: F.concat_ws("|", f["subject"], f["predicate"], f["object"], f["evidence"])), ";").alias("facts"))
 
 
-@query(f"WITH {SUPPLY} SELECT lower(p_name) AS k, count(*) AS n FROM part WHERE 'part#' || p_partkey NOT IN (SELECT object FROM facts) GROUP BY 1")
+@query(f"""WITH {SUPPLY} SELECT kind, count(*) AS n FROM (SELECT lower(s_name) AS k, 'supplier' AS kind FROM supplier UNION ALL SELECT lower(c_name), c_mktsegment FROM customer UNION ALL SELECT 'part#' || p_partkey, 'part' FROM part)
+WHERE k NOT IN (SELECT subject_key FROM edges UNION SELECT object_key FROM edges) GROUP BY 1""")
 def orphan_entities(spark, folder):
-    parts = table(spark, folder, "part").select(F.concat(F.lit("part#"), "p_partkey").alias("entity_key"), F.lower("p_name").alias("k"))
-    return store.orphans(parts, supply(spark, folder)[1]).groupBy("k").agg(F.count("*").alias("n"))
+    """Suppliers, customers and parts as entities: those that no fact names, all customers among them."""
+    listed = table(spark, folder, "supplier").select(F.lower("s_name").alias("entity_key"), F.lit("supplier").alias("kind"))
+    listed = listed.unionByName(table(spark, folder, "customer").select(F.lower("c_name").alias("entity_key"), F.col("c_mktsegment").alias("kind")))
+    listed = listed.unionByName(table(spark, folder, "part").select(F.concat(F.lit("part#"), "p_partkey").alias("entity_key"), F.lit("part").alias("kind")))
+    return store.orphans(listed, supply(spark, folder)[1]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SUPPLY} SELECT lower(n) AS entity_key, min(n) AS canonical_name FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts) GROUP BY 1")
@@ -521,9 +574,9 @@ def entity_catalog(spark, folder):
     return graph.entity_catalog(graph.resolved_entities(supply(spark, folder)[0])).select("entity_key", "canonical_name")
 
 
-@query(f"WITH {SUPPLY} SELECT (SELECT count(DISTINCT lower(n)) FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts)) AS entities, (SELECT count(*) FROM facts) AS facts, (SELECT count(DISTINCT chunk_id) FROM facts) AS chunks, (SELECT count(*) FROM edges) AS edges")
+@query(f"WITH {TRADE}, {MEMBERS} SELECT (SELECT count(DISTINCT lower(n)) FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts)) AS entities, (SELECT count(*) FROM facts) AS facts, (SELECT count(DISTINCT chunk_id) FROM facts) AS chunks, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT level) FROM members) AS levels, (SELECT count(DISTINCT community_id) FROM members) AS communities")
 def build_counts(spark, folder):
-    return graph.build_counts(*supply(spark, folder))
+    return graph.build_counts(*trade(spark, folder), _members(spark, folder))
 
 
 # --- communities -----------------------------------------------------------------------------------------------------
@@ -533,12 +586,32 @@ def _members(spark, folder):
     return communities.identified(tables.regions(spark, folder))
 
 
+def _detected(spark, folder):
+    """Levels over all suppliers and parts that a line item joins, and the weights between them."""
+    weights = store.materialize(graph.edge_weights(supply(spark, folder)[1]), "weights")
+    nodes = weights.select(F.explode(F.array("a", "b")).alias("entity_key")).distinct()
+    return store.materialize(communities.detect(weights, nodes), "levels"), weights
+
+
 @query()
 def louvain_levels(spark, folder):
-    """Levels of communities among nations that trade, and the modularity of each is in tests."""
-    weights = graph.edge_weights(trade(spark, folder)[1])
-    nodes = table(spark, folder, "nation").select(F.lower("n_name").alias("entity_key"))
-    return communities.identified(communities.detect(weights, nodes))
+    return communities.identified(_detected(spark, folder)[0])
+
+
+@query(f"""WITH {SUPPLY}, n AS (SELECT count(DISTINCT e) AS n FROM (SELECT subject_key AS e FROM edges UNION ALL SELECT object_key FROM edges))
+SELECT n AS entities, true AS every_level_has_all, true AS levels_nest, true AS never_worse_than_before FROM n""")
+def louvain_invariants(spark, folder):
+    """What must hold of any levels: all entities at each, communities whole in the next, modularity never falling from
+    that of singletons on."""
+    levels, weights = _detected(spark, folder)
+    sizes = levels.groupBy("level").agg(F.count("*").alias("n"), F.countDistinct("entity_key").alias("d"))
+    above = levels.select((F.col("level") - 1).alias("level"), "entity_key", F.col("community").alias("above"))
+    torn = levels.join(above, ["level", "entity_key"]).groupBy("level", "community").agg(F.countDistinct("above").alias("n")).where("n > 1").count()
+    entities = levels.agg(F.countDistinct("entity_key")).first()[0]
+    quality = [communities.modularity(weights, levels.where(F.col("level") == 0).withColumn("community", F.col("entity_key"))).first()[0]]
+    quality += [communities.modularity(weights, levels.where(F.col("level") == k)).first()[0] for k in range(sizes.count())]
+    whole = sizes.where((F.col("n") != entities) | (F.col("d") != entities)).count() == 0
+    return spark.createDataFrame([(entities, whole, torn == 0, all(a <= b + 1e-9 for a, b in zip(quality, quality[1:])))], "entities bigint, every_level_has_all boolean, levels_nest boolean, never_worse_than_before boolean")
 
 
 @query(f"WITH {MEMBERS} SELECT m.community_id, p.community_id AS parent_id FROM (SELECT community_id, level, min(entity_key) AS e FROM members GROUP BY 1, 2) m LEFT JOIN members p ON p.level = m.level + 1 AND p.entity_key = m.e")
@@ -613,6 +686,20 @@ def global_context(spark, folder):
     return found.select("edge_key", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_REPORTS}, {QUERY}, scoped AS (SELECT community_id, report FROM reports WHERE community_id IN (SELECT community_id FROM members WHERE entity_key IN (SELECT subject_key FROM edges WHERE video_id = '1-URGENT' UNION SELECT object_key FROM edges WHERE video_id = '1-URGENT'))),
+cvec AS (SELECT community_id, list_cosine_similarity(embedding::DOUBLE[], e) AS score FROM scoped JOIN embeddings ON vec_id = ('0x' || substr(md5(report), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings), q ORDER BY score DESC, community_id LIMIT 2),
+own AS (SELECT m.community_id, e.*, row_number() OVER (PARTITION BY m.community_id ORDER BY start_timestamp, edge_key) AS n FROM edges e JOIN members m ON m.entity_key = subject_key JOIN members o ON o.entity_key = object_key AND o.community_id = m.community_id WHERE video_id = '1-URGENT'),
+once AS (SELECT own.* FROM own JOIN cvec c USING (community_id) WHERE n <= 24 QUALIFY row_number() OVER (PARTITION BY edge_key ORDER BY c.score DESC, community_id) = 1)
+SELECT edge_key, {_RERANK.replace("TERMS", "['china', 'n', 'a']").replace("FROM_", "once")} ORDER BY score DESC, edge_key LIMIT 24""")
+def global_context_of_a_video(spark, folder):
+    facts, edges = trade(spark, folder)
+    named = graph.named_edges(edges, graph.resolved_entities(facts))
+    in_scope = communities.in_scope(_reports(spark, folder), _members(spark, folder), edges, "1-URGENT")
+    chosen = answer.ranked_communities(tables.looked_up(in_scope, "report", table(spark, folder, "embeddings")), vector(spark, folder), 2)
+    found = answer.global_context(named, _members(spark, folder), chosen, vector(spark, folder), F.array(*map(F.lit, ("china", "n", "a"))), 2, _embed(spark, folder), "1-URGENT")
+    return found.select("edge_key", F.round("score", 6).alias("score"))
+
+
 # --- mentions --------------------------------------------------------------------------------------------------------
 
 
@@ -692,10 +779,10 @@ def eval_metrics(spark, folder):
     return evaluate.retrieval_metrics(judged, 3).withColumns({c: F.round(c, 6) for c in ("recall_at_k", "mrr")})
 
 
-@query("SELECT event_type, count(*) AS runs, round(avg(value), 6) AS avg_ms, min(value) AS min_ms, max(value) AS max_ms FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS runs, round(avg(value), 6) AS avg_ms, min(value) AS min_ms, max(value) AS max_ms, round(avg(value / (value + user_id)), 6) AS avg_confidence FROM events GROUP BY 1")
 def benchmark_stats(spark, folder):
-    runs = table(spark, folder, "events").select("event_type", F.col("value").alias("latency_ms"))
-    return runs.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.avg("latency_ms"), 6).alias("avg_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"))
+    runs = table(spark, folder, "events").select("event_type", F.col("value").alias("latency_ms"), (F.col("value") / (F.col("value") + F.col("user_id"))).alias("confidence"))
+    return evaluate.benchmark_stats(runs, ["event_type"]).withColumns({c: F.round(c, 6) for c in ("avg_ms", "avg_confidence")})
 
 
 @query(f"WITH {SEGMENTS}, {WINDOWS} SELECT w.video_id, w.chunk_index, g.seg_idx, round(greatest(0, least(w.e, g.e) - greatest(w.s, g.s)) / (greatest(w.e, g.e) - least(w.s, g.s)), 6) AS iou FROM windows w JOIN segments g ON g.video_id = w.video_id AND g.e > w.s AND g.s < w.e")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoscope.functions.projections import basename
+from kairoscope.operators.graph import batches
 
 # File extensions taken as video.
 EXTENSIONS = ["mp4", "avi", "mov", "mkv", "webm"]
@@ -68,17 +69,20 @@ def transcribed(videos: DataFrame, model: Callable[[], Callable[[str], list[tupl
 
 
 def extracted(chunks: DataFrame, model: Callable[[], Callable[[list[tuple[str, str]]], list[dict]]], size: int = 5) -> DataFrame:
-    """chunks (chunk_id, transcript) to raw candidates, in batches of `size` chunks a call."""
+    """chunks (video_id, chunk_id, start_timestamp, transcript) to raw candidates; a call gets `size` chunks of one
+    video that follow each other in time."""
     fields = ["chunk_id", "subject", "predicate", "object", "evidence"]
+    item = F.struct("start_timestamp", "chunk_id", "transcript")
+    asked = batches(chunks.select("video_id", "chunk_id", "start_timestamp", "transcript"), size).groupBy("video_id", "batch").agg(F.array_sort(F.collect_list(item)).alias("items"))  # at most `size`
+    asked = asked.select(F.col("items.chunk_id").alias("ids"), F.col("items.transcript").alias("texts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = model()
-        for pdf in batches:
-            rows = list(zip(pdf.chunk_id, pdf.transcript))
-            found = [c for i in range(0, len(rows), size) for c in ask(rows[i : i + size])]
+        for pdf in parts:
+            found = [c for ids, texts in zip(pdf.ids, pdf.texts) for c in ask(list(zip(ids, texts)))]
             yield pd.DataFrame([[c.get(f) for f in fields] for c in found], columns=fields)
 
-    return chunks.select("chunk_id", "transcript").mapInPandas(run, ", ".join(f"{f} string" for f in fields))
+    return asked.mapInPandas(run, ", ".join(f"{f} string" for f in fields))
 
 
 def summarized(reports: DataFrame, model: Callable[[], Callable[[str], str]], most: int = 14_000) -> DataFrame:

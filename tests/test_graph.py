@@ -182,8 +182,9 @@ def test_uploads_and_models(spark, tmp_path):
     df = spark.createDataFrame([("c1", "ab"), ("c2", None)], "chunk_id string, transcript string")
     vec = media.embedded(df, "transcript", "v", lambda: lambda texts: [[float(len(t)), 0.0] for t in texts]).collect()
     assert [r.v for r in vec] == [[2.0, 0.0], [0.0, 0.0]]
-    made = media.extracted(df.where("transcript is not null"), lambda: lambda rows: [{"chunk_id": c, "subject": t} for c, t in rows]).collect()
-    assert [(r.chunk_id, r.subject, r.object) for r in made] == [("c1", "ab", None)]
+    chunks = spark.createDataFrame([(v, f"{v}{i}", float(i), f"t{i}") for v in "ab" for i in range(7)], "video_id string, chunk_id string, start_timestamp double, transcript string")
+    calls = media.extracted(chunks, lambda: lambda rows: [{"chunk_id": rows[0][0], "subject": ",".join(c for c, _ in rows), "evidence": rows[-1][1]}], 3).collect()
+    assert sorted((r.chunk_id, r.subject, r.evidence, r.object) for r in calls) == sorted((f"{v}{i}", ",".join(f"{v}{j}" for j in range(i, min(7, i + 3))), f"t{min(6, i + 2)}", None) for v in "ab" for i in (0, 3, 6))
 
 
 def test_streams(spark, tmp_path):
