@@ -1,7 +1,9 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from kairoscope import api
+from kairoscope import __main__, api
 from kairoscope.operators.graph import FACT, fact_key
 
 CHUNK = "chunk_id string, chunk_index int, video_id string, start_timestamp double, end_timestamp double, transcript string, frame_path string, frame_sha256 string, source_filename string, video_path string, visual array<float>, audio array<float>"
@@ -22,13 +24,47 @@ def test_search_modes(engine):
     assert {r.video_id for r in engine.preview("anything", 5, "a").collect()} == {"a"}
     assert engine.visual_preview("x", 2).first().chunk_id == "c0"
     assert engine.audio_preview("topic4 and more", 1).first().chunk_id == "c4"
-    assert (engine.mode_of("photo"), engine.mode_of("said"), engine.mode_of("topic3 and more"), engine.mode_of("unheard")) == ("visual", "audio", "audio", "combined")
+    assert [engine.mode_of(q) for q in ("photo, please", "said", "topic3 and more", "unheard")] == [("visual", True), ("audio", True), ("audio", False), ("combined", False)]
     assert engine.auto_preview("photo", 2).count() == 2
     for bad in (0, 21):
         with pytest.raises(ValueError):
             engine.search("x", bad)
 
 
+def test_responses(engine):
+    got = engine.respond("about topic7", 5)
+    assert [r["text_match"] for r in got["results"]] == [True] and got["total_chunks_searched"] == 10 and got["query_time_ms"] > 0
+    assert set(got["results"][0]) == {"start_timestamp", "end_timestamp", "confidence_score", "video_id", "frame_url", "transcript_snippet", "text_match"}
+    auto = engine.respond("topic3 and more", 2, mode="auto")
+    assert (auto["detected_intent"], auto["score_type"], auto["intent_reason"]) == ("audio", "audio_similarity", api.REASONS["audio", False])
+    assert engine.respond("photo?", 2, mode="auto")["score_type"] == "visual_similarity"
+    with pytest.raises(ValueError):
+        engine.respond("x", mode="other")
+
+
+def encoder(text):
+    return [float(len(text)), 1.0]
+
+
+def test_commands(spark, tmp_path, capsys):
+    spark.createDataFrame([("v1", "a.mp4", 25.0, 300), ("v2", "b.mp4", 0.0, 10)], "video_id string, source_filename string, fps double, total_frames long").write.parquet(f"{tmp_path}/videos")
+    spark.createDataFrame([("v1", 0, 0.0, 3.0, "hello there"), ("v1", 1, 5.0, 9.0, "the river of stone")], "video_id string, seg_idx int, start double, end double, text string").write.parquet(f"{tmp_path}/segments")
+    spark.createDataFrame([("v1", "v1_chunk_0001", 4.0, 9.0, "river", "of", "stone", "the river of stone")], "video_id string, chunk_id string, start_timestamp double, end_timestamp double, subject string, predicate string, object string, evidence string").write.parquet(f"{tmp_path}/facts")
+    models = [f"--{m}={__name__}:encoder" for m in ("visual", "audio")]
+
+    def run(*given):
+        __main__.main([*given])
+        return json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    assert run("ingest", f"--videos={tmp_path}/videos", f"--segments={tmp_path}/segments", f"--store={tmp_path}/store", *models) == {"videos": 1, "chunks": 3}
+    assert run("index", f"--facts={tmp_path}/facts", f"--graph={tmp_path}/graph") == {"entities": 2, "facts": 1, "chunks": 1, "edges": 1, "levels": 1, "communities": 1}
+    assert spark.read.parquet(f"{tmp_path}/graph/reports").first().member_count == 2
+    assert run("migrate", f"--store={tmp_path}/store", f"--facts={tmp_path}/facts", f"--out={tmp_path}/out") == {"chunks": 3, "facts": 1}
+    got = run("ask", f"--store={tmp_path}/store", "--query=river of", *models)
+    assert got["total_chunks_searched"] == 3 and all(r["text_match"] for r in got["results"])
+    assert run("benchmark", f"--store={tmp_path}/store", "--query=river", "--query=hello", *models)["runs"] == 2
+
+
 def test_graph_calls(engine):
     assert [r.chunk_id for r in engine.graph_preview("who is Ada", 5).collect()] == ["c0"]
     assert engine.list_entities().first().canonical_name == "Ada"
@@ -44,11 +80,20 @@ def test_answers(engine):
     assert len(got) == 3 and {r.citation_id for r in got} == {"S1", "S2", "S3"}
     whole = engine.sources("Ada", "global", 10, embed=embed, report_vectors=reports).collect()
     assert any(r.facts for r in whole)
-    quoted = engine.graph_answer("Ada", top_k=3)
-    assert quoted["citations"] == ["S1", "S2", "S3"] and quoted["answer"].startswith(api.UNCITED)
+    quoted = engine.graph_answer("Ada", top_k=3, embed=embed, entity_vectors=vectors)
+    assert [c["citation_id"] for c in quoted["citations"]] == ["S1", "S2", "S3"] and quoted["answer"].startswith(api.UNCITED)
+    assert len(quoted["matched_entities"]) == 5 and quoted["community_ids"] == [] and quoted["score_type"] == api.SCORE_TYPE
     made = engine.graph_answer("Ada", lambda q, s: "It is so [s 2].", top_k=3)
-    assert (made["answer"], made["citations"]) == ("It is so [s 2].", ["S2"])
-    assert engine.graph_answer("Ada", video_id="none")["sources"] == []
+    assert (made["query"], made["mode"], made["answer"]) == ("Ada", "local", "It is so [s 2].")
+    (cited,) = made["citations"]
+    assert cited["citation_id"] == "S2" and set(cited) == {"citation_id", "chunk_id", "video_id", "start_timestamp", "end_timestamp", "frame_url", "evidence"}
+    nothing = engine.graph_answer("Ada", video_id="none")
+    assert nothing["sources"] == nothing["citations"] == [] and nothing["answer"] == api.NO_EVIDENCE
+    # a video limits facts, communities and transcripts of global answers
+    scoped = engine.graph_answer("Ada", mode="global", top_k=10, video_id="b", embed=embed, report_vectors=reports)
+    assert {c["video_id"] for c in scoped["sources"]} == {"b"} and len(scoped["community_ids"]) >= 1
+    members = {r.entity_key for r in engine.members.where(F.col("community_id").isin(scoped["community_ids"])).collect()}
+    assert members == {"bob", "papers"}
     for bad in ({"mode": "other"}, {"top_k": 11}):
         with pytest.raises(ValueError):
             engine.sources("x", **bad)
