@@ -179,6 +179,12 @@ class Engine:
 
     # listings
 
+    def about(self) -> dict:
+        """What a service says of itself: calls, vector sizes, which tables it has."""
+        sizes = self.chunks.select(F.max(F.size("visual")), F.max(F.size("audio"))).first()
+        tables = [t for t in ("edges", "entities", "members", "reports") if getattr(self, t) is not None]
+        return {"modes": [*self._calls(), "auto"], "visual_dimensions": sizes[0], "audio_dimensions": sizes[1], "graph_tables": tables, "ready": True}
+
     def videos(self) -> DataFrame:
         return store.video_listing(self.chunks)
 

@@ -16,11 +16,11 @@ def entities(mentions: DataFrame) -> DataFrame:
 
 
 def co_mentions(mentions: DataFrame) -> DataFrame:
-    """(chunk_id, source, target), source < target: distinct pairs of entities of a chunk, from its sorted set of
-    entities; a chunk holds few, whatever the corpus."""
+    """(chunk_id, source, target), source < target: distinct pairs of entities of a chunk. A chunk's sorted set of names
+    lies in one row; its pairs are made name by name, so that no row holds more of them than there are names."""
     sets = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") > 1)
-    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice(F.col("names"), i + 2, F.size("names")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return sets.select("chunk_id", F.inline(pairs))
+    each = sets.select("chunk_id", "names", F.posexplode("names").alias("place", "source"))
+    return each.select("chunk_id", "source", F.explode(F.slice("names", F.col("place") + 2, F.size("names"))).alias("target"))
 
 
 def co_mention_weights(mentions: DataFrame) -> DataFrame:

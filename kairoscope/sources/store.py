@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from kairoscope.functions.projections import basename
+from kairoscope.functions.text import casefold
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -116,7 +117,7 @@ def video_listing(chunks: DataFrame) -> DataFrame:
     """(video_id, filename, chunks) by the last chunk of each video, in order of name and id."""
     name = display_name(F.col("source_filename"), F.col("video_path"), F.col("video_id"))
     listed = chunks.groupBy("video_id").agg(F.max_by(name, "chunk_index").alias("filename"), F.count("*").alias("chunks"))
-    return listed.orderBy(F.lower("filename"), "video_id")
+    return listed.orderBy(casefold(F.col("filename")), "video_id")
 
 
 def counts(chunks: DataFrame) -> DataFrame:

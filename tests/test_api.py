@@ -42,6 +42,10 @@ def test_responses(engine):
         engine.respond("x", mode="other")
 
 
+def test_about(engine):
+    assert engine.about() == {"modes": ["visual", "audio", "combined", "auto"], "visual_dimensions": 2, "audio_dimensions": 2, "graph_tables": ["edges", "entities", "members", "reports"], "ready": True}
+
+
 def encoder(text):
     return [float(len(text)), 1.0]
 
