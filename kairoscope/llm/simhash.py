@@ -8,7 +8,8 @@ two have the same key. No pair within the radius is missed, whatever the data.
 Work is on distinct fingerprints (copies share one) and links are kept as a forest: within a table's bucket a
 breadth-first search joins each member once, so a bucket of b members gives at most b - 1 links and not b^2 / 2.
 Buckets above BLOCK members are dealt into blocks, and every pair of blocks is searched in its own task, so no
-bucket meets in one task and none is cut. Components come from alternating large-star and small-star rounds.
+bucket meets in one task and none is cut; a bucket of b distinct fingerprints is copied b / BLOCK times for that.
+Components come from alternating large-star and small-star rounds.
 
 Defined results: null or empty text, or text without words, has fingerprint zero and is linked like any other.
 A null id keeps its fingerprint and is never a component's name unless all ids of the component are null. Repeated
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from kairoscope.llm.common import declared, discard, map_slices, materialize, named, offsets
 
 BLOCK = 4096
+#: Rows of one key from which they are joined where they lie, and how many such keys may be broadcast.
+HUB, MOST_HUBS = 100_000, 500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -126,26 +129,40 @@ def forest(fps: np.ndarray, radius: int):
             yield children, np.full(len(children), root)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def hubs_apart(rows: DataFrame, own: DataFrame, key: str, total: int, hub: int | None = None) -> DataFrame:
+    """rows joined with own, which has one row a key and the number of its rows in n. Keys of over HUB rows, and of so
+    many that at most MOST_HUBS can be, are broadcast, so that the rows of one meet in no task; the others are shuffled."""
+    least = max(HUB if hub is None else hub, total // MOST_HUBS)
+    heavy = own.where(F.col("n") > least).drop("n")
+    rest = own.where(F.col("n") <= least).drop("n")
+    far = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key)
+    return far.unionByName(rows.join(F.broadcast(heavy), key))
+
+
+def components(edges: DataFrame, rounds: int = 40, hub: int | None = None) -> DataFrame:
     """edges (a, b), a > b: (a, root) for every node that is not itself the smallest of its component.
 
     Alternating stars: each round moves a node's larger neighbours to its smallest one, then its smaller ones.
-    Rounds are few (about the logarithm of the longest path); each is written to the shared folder.
+    Rounds are few (about the logarithm of the longest path); each is written to the shared folder. After `rounds` of
+    them without an end (a path of some 2^40 nodes) an error is raised.
     """
     state = materialize(edges, "edges")
+    size = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    before = size(state)
     for _ in range(rounds):
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = hubs_apart(both.where("v > u"), low, "u", 2 * before["n"], hub).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         after = materialize(small, "edges")
-        before, now = (x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for x in (state, after))
+        now = size(after)
         discard(state)
         state = after
         if before == now:
             return state.withColumnRenamed("b", "root")
+        before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

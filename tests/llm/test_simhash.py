@@ -98,6 +98,18 @@ def test_blocks_of_a_large_bucket_lose_no_link(spark):
     assert len({(roots.get(f, f), w) for f, w in zip(fps, want)}) == len(set(want)) == len({roots.get(f, f) for f in fps})
 
 
+def test_components_with_and_without_hubs(spark):
+    """Stars, paths and cliques; with keys of over 3 rows taken as hubs nothing changes."""
+    edges = [(i, 0) for i in range(1, 60)] + [(101 + i, 100 + i) for i in range(40)] + [(a, b) for a in range(200, 212) for b in range(200, a)] + [(300, 59), (400, 130), (400, 205)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for hub in (None, 3):
+        assert {r.a: r.root for r in simhash.components(df, hub=hub).collect()} == {x: r for x, r in label.items() if x != r}
+
+
 def test_empty_table_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
