@@ -44,16 +44,30 @@ def _each_once(text: pd.Series, change: Callable[[str], str]) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """NFKC, then Unicode case folding (ß to ss, ligatures apart)."""
+def _folded(text: pd.Series) -> pd.Series:
     return _each_once(text, lambda s: unicodedata.normalize("NFKC", s).casefold())
 
 
 @F.pandas_udf(StringType())
-def casefold(text: pd.Series) -> pd.Series:
+def _casefolded(text: pd.Series) -> pd.Series:
     return _each_once(text, str.casefold)
 
 
+def _unless_ascii(text: Column, change: Callable[[Column], Column]) -> Column:
+    """change(text), where ASCII text is only lower-cased and not sent to Python."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.coalesce(F.when(plain, F.lower(text)), change(F.when(~plain, text)))
+
+
+def fold(text: Column) -> Column:
+    """NFKC, then Unicode case folding (ß to ss, ligatures apart)."""
+    return _unless_ascii(text, _folded)
+
+
+def casefold(text: Column) -> Column:
+    return _unless_ascii(text, _casefolded)
+
+
 def collapse(text: Column) -> Column:
     """White space runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACES, " "))
@@ -70,7 +84,7 @@ def normalize_entity(text: Column) -> Column:
 
 def normalize_evidence(text: Column) -> Column:
     """As normalize_entity, but only the words, joined by single spaces."""
-    return F.array_join(tokens(_letters(fold(text))), " ")
+    return F.trim(F.regexp_replace(_letters(fold(text)), r"[^\p{L}\p{N}_]+", " "))
 
 
 def normalize_transcript(text: Column) -> Column:

@@ -31,9 +31,9 @@ def fact_key(*columns: Column) -> Column:
 
 
 def _quoted(text: Column) -> Column:
-    """A string as JSON writes it; null as null."""
+    """A string as JSON writes it; few need more than quotes around them."""
     listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), F.substring(listed, F.lit(2), F.length(listed) - 2)).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def keyed_facts(facts: DataFrame, normalize=T.normalize_entity) -> DataFrame:
@@ -52,9 +52,9 @@ def resolved_entities(facts: DataFrame) -> DataFrame:
 
 def fact_edges(facts: DataFrame) -> DataFrame:
     """keyed facts to edges, one per (chunk, subject, predicate, object, evidence) by keys, the first fact's wording."""
-    once = first_of(facts, ["chunk_id", "subject_key", "predicate_key", "object_key", "evidence"], ["video_id", "start_timestamp", "fact_key"])
     key = fact_key(F.col("chunk_id"), F.col("subject_key"), F.col("predicate_key"), F.col("object_key"), F.col("evidence"))
-    return once.select(key.alias("edge_key"), "video_id", "chunk_id", "start_timestamp", "end_timestamp", "subject_key", "predicate", "predicate_key", "object_key", "evidence")
+    once = first_of(facts.withColumn("edge_key", key), ["edge_key"], ["video_id", "start_timestamp", "fact_key"])
+    return once.select("edge_key", "video_id", "chunk_id", "start_timestamp", "end_timestamp", "subject_key", "predicate", "predicate_key", "object_key", "evidence")
 
 
 def named_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:

@@ -438,38 +438,39 @@ def reuse_facts(spark, folder):
 # --- facts -----------------------------------------------------------------------------------------------------------
 
 
-def supply(spark, folder):
-    return _built(tables.supply_facts(spark, folder))
+def supply(spark, folder, once=False):
+    return _built(tables.supply_facts(spark, folder), once)
 
 
-def trade(spark, folder):
-    return _built(tables.trade_facts(spark, folder))
+def trade(spark, folder, once=False):
+    return _built(tables.trade_facts(spark, folder), once)
 
 
-def _built(facts):
-    """Facts and edges, each written once, as a query may use them several times."""
-    facts = store.materialize(graph.keyed_facts(facts), "facts")
-    return facts, store.materialize(graph.fact_edges(facts), "edges")
+def _built(facts, once):
+    """Facts and edges; each written, unless a query uses them but once."""
+    keep = (lambda df, name: df) if once else store.materialize
+    facts = keep(graph.keyed_facts(facts), "facts")
+    return facts, keep(graph.fact_edges(facts), "edges")
 
 
 @query(f"WITH {SUPPLY} SELECT edge_key, video_id, chunk_id, start_timestamp, subject_key, predicate_key, object_key FROM edges")
 def fact_edges(spark, folder):
-    return supply(spark, folder)[1].select("edge_key", "video_id", "chunk_id", "start_timestamp", "subject_key", "predicate_key", "object_key")
+    return supply(spark, folder, True)[1].select("edge_key", "video_id", "chunk_id", "start_timestamp", "subject_key", "predicate_key", "object_key")
 
 
 @query(f"WITH {SUPPLY} SELECT lower(n) AS entity_key, min(n) AS canonical_name, string_agg(DISTINCT n, ',' ORDER BY n) AS aliases, count(*) AS n_facts FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts) GROUP BY 1")
 def entity_resolution(spark, folder):
-    return graph.resolved_entities(supply(spark, folder)[0]).withColumn("aliases", F.array_join("aliases", ","))
+    return graph.resolved_entities(supply(spark, folder, True)[0]).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query(f"WITH {TRADE} SELECT least(subject_key, object_key) AS a, greatest(subject_key, object_key) AS b, count(*) AS weight FROM edges WHERE subject_key <> object_key GROUP BY 1, 2")
 def edge_weights(spark, folder):
-    return graph.edge_weights(trade(spark, folder)[1])
+    return graph.edge_weights(trade(spark, folder, True)[1])
 
 
 @query(f"WITH {SUPPLY} SELECT entity_key, count(DISTINCT chunk_id) AS chunks FROM (SELECT subject_key AS entity_key, chunk_id FROM edges UNION ALL SELECT object_key, chunk_id FROM edges) GROUP BY 1")
 def concept_counts(spark, folder):
-    return graph.concept_counts(supply(spark, folder)[1])
+    return graph.concept_counts(supply(spark, folder, True)[1])
 
 
 @query(f"""WITH {SUPPLY}, c AS (SELECT o_orderpriority AS video_id, count(*) AS chunks FROM orders GROUP BY 1), f AS (SELECT video_id, count(*) AS facts FROM edges GROUP BY 1),
@@ -524,7 +525,7 @@ def local_context(spark, folder):
 @query(f"""WITH {SUPPLY}, h AS (SELECT *, list_intersect(list_distinct(regexp_extract_all(concat_ws(' ', subject_key, predicate_key, object_key, lower(evidence)), '[\\p{{L}}\\p{{N}}_]+')), ['000000001', '17', 'n']) AS m FROM edges)
 SELECT video_id, chunk_id, count(*) AS facts, len(list_distinct(flatten(list(m))))::INT AS score FROM h WHERE len(m) > 0 GROUP BY video_id, chunk_id, start_timestamp ORDER BY score DESC, start_timestamp, chunk_id LIMIT 20""")
 def fact_search(spark, folder):
-    hits = graph.fact_search(supply(spark, folder)[1], F.array(*map(F.lit, ("000000001", "17", "n"))), 20)
+    hits = graph.fact_search(supply(spark, folder, True)[1], F.array(*map(F.lit, ("000000001", "17", "n"))), 20)
     return hits.select("video_id", "chunk_id", "facts", "score")
 
 
@@ -532,7 +533,7 @@ def fact_search(spark, folder):
 SELECT chunk_id, subject, predicate, object, quote AS evidence FROM c WHERE start_timestamp::BIGINT % 5 IN (0, 2)""")
 def candidate_validation(spark, folder):
     """Candidates in five shapes: as stated, reversed, verb first, invented, blank; only the first and third stand."""
-    facts = tables.supply_facts(spark, folder).distinct()
+    facts = store.materialize(tables.supply_facts(spark, folder).drop("fact_key").distinct(), "candidates")
     kind = F.col("start_timestamp").cast("bigint") % 5
     quote = F.when(kind == 0, F.concat_ws(" ", "subject", "predicate", "object")).when(kind == 1, F.concat_ws(" ", "object", "predicate", "subject")).when(kind == 2, F.concat_ws(" ", "predicate", "subject", "object")).when(kind == 3, "made up").otherwise(" ")
     made = facts.withColumn("evidence", quote)
@@ -566,12 +567,12 @@ def orphan_entities(spark, folder):
     listed = table(spark, folder, "supplier").select(F.lower("s_name").alias("entity_key"), F.lit("supplier").alias("kind"))
     listed = listed.unionByName(table(spark, folder, "customer").select(F.lower("c_name").alias("entity_key"), F.col("c_mktsegment").alias("kind")))
     listed = listed.unionByName(table(spark, folder, "part").select(F.concat(F.lit("part#"), "p_partkey").alias("entity_key"), F.lit("part").alias("kind")))
-    return store.orphans(listed, supply(spark, folder)[1]).groupBy("kind").agg(F.count("*").alias("n"))
+    return store.orphans(listed, supply(spark, folder, True)[1]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SUPPLY} SELECT lower(n) AS entity_key, min(n) AS canonical_name FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts) GROUP BY 1")
 def entity_catalog(spark, folder):
-    return graph.entity_catalog(graph.resolved_entities(supply(spark, folder)[0])).select("entity_key", "canonical_name")
+    return graph.entity_catalog(graph.resolved_entities(supply(spark, folder, True)[0])).select("entity_key", "canonical_name")
 
 
 @query(f"WITH {TRADE}, {MEMBERS} SELECT (SELECT count(DISTINCT lower(n)) FROM (SELECT subject AS n FROM facts UNION ALL SELECT object FROM facts)) AS entities, (SELECT count(*) FROM facts) AS facts, (SELECT count(DISTINCT chunk_id) FROM facts) AS chunks, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT level) FROM members) AS levels, (SELECT count(DISTINCT community_id) FROM members) AS communities")

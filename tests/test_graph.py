@@ -252,4 +252,4 @@ def test_facts_are_keyed_and_validated_without_extra_work(spark):
     assert "Exchange" not in plan
     sources = spark.createDataFrame([(f"c{i}", "A p B") for i in range(9)], "chunk_id string, transcript string")
     plan = graph.validated(df, sources)._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("Join") < plan.index("fold(")  # printed from the top: folding is below the join
+    assert plan.index("Join") < plan.index("_folded(")  # printed from the top: folding is below the join
