@@ -129,12 +129,14 @@ def forest(fps: np.ndarray, radius: int):
             yield children, np.full(len(children), root)
 
 
-def hubs_apart(rows: DataFrame, own: DataFrame, key: str, total: int, hub: int | None = None) -> DataFrame:
-    """rows joined with own, which has one row a key and the number of its rows in n. Keys of over HUB rows, and of so
-    many that at most MOST_HUBS can be, are broadcast, so that the rows of one meet in no task; the others are shuffled."""
+def met(rows: DataFrame, own: DataFrame, key: str, most: int, total: int, hub: int | None = None) -> DataFrame:
+    """rows joined with own, which has one row a key and the number of its rows in n; `most` is the largest n, `total` the
+    number of rows. Keys of over HUB rows, and of so many that at most MOST_HUBS can be, are broadcast, so that the rows
+    of one meet in no task; the others are shuffled."""
     least = max(HUB if hub is None else hub, total // MOST_HUBS)
-    heavy = own.where(F.col("n") > least).drop("n")
-    rest = own.where(F.col("n") <= least).drop("n")
+    if most <= least:
+        return rows.join(own.drop("n"), key)
+    heavy, rest = own.where(F.col("n") > least).drop("n"), own.where(F.col("n") <= least).drop("n")
     far = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key)
     return far.unionByName(rows.join(F.broadcast(heavy), key))
 
@@ -147,12 +149,13 @@ def components(edges: DataFrame, rounds: int = 40, hub: int | None = None) -> Da
     them without an end (a path of some 2^40 nodes) an error is raised.
     """
     state = materialize(edges, "edges")
-    size = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    each = lambda x: x.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    size = lambda x: each(x).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("h").alias("h"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
     before = size(state)
     for _ in range(rounds):
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = hubs_apart(both.where("v > u"), low, "u", 2 * before["n"], hub).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("bigint")).alias("n"))
+        large = met(both.where("v > u"), low, "u", before["most"], before["n"], hub).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
