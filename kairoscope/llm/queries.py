@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoscope.llm import bpe, jpeg, lang_id, licenses, packing, quality, sharding, simhash, token_scan, toxicity
+from kairoscope.llm import bpe, jpeg, lang_id, licenses, max_entropy, packing, periodic, quality, sharding, simhash, token_scan, toxicity
 from kairoscope.llm.common import remainder, scratch_path
 from kairoscope.sources.tables import table
 
@@ -67,12 +67,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(7, 2).alias("held_out"))
+    return max_entropy.score(docs, max_entropy.train(docs.where(~F.col("held_out"))), keep=["doc_id", "held_out"])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic.find_runs(docs, keep=["doc_id"]).select("doc_id", *[c.alias(n) for n, c in periodic.digest(F.col("runs"), F.col("collapsed")).items()])
+
+
 def tokenizer() -> tuple[str, str, str]:
     """The 50k byte-level BPE: its tokenizers file, its ranks and its split pattern."""
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_media_columns, op5_sharding, op6_license_scan, op7_byte_bpe, op8_quality_rules, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_toxicity, op4_media_columns, op5_sharding, op6_license_scan, op7_byte_bpe, op8_quality_rules, op9_token_counts, op10_best_fit_packing, op11_lm_scoring, op12_periodic_runs)}
 
 
 def _license_sql() -> str:

@@ -1,9 +1,11 @@
 """The registered queries on a folder of awkward rows: every column of a contract against a plain version."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,11 +14,12 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from kairoscope.llm import lang_id, packing, toxicity
+from kairoscope.llm import lang_id, max_entropy, packing, toxicity
 from kairoscope.llm.bpe import load_ranks
 from kairoscope.llm.queries import tokenizer
 
 from .test_licenses import plain as plain_license
+from .test_periodic import plain as plain_runs
 from .test_quality import counts
 from .test_simhash import linked
 from .test_simhash import plain as fingerprint
@@ -198,6 +201,42 @@ def test_op10(ask):
     assert len(bins) <= packing.lower_bound(np.array(sizes)) + 1
 
 
+def test_op11(ask):
+    df = ask("op11_lm_scoring")
+    types(df, doc_id="bigint", held_out="boolean", n_tokens="bigint", n_known="bigint", train_tokens="bigint", base_score="double", score="double")
+    words = [[w.decode() for w in max_entropy.tokens(t)] for _, t, _ in ROWS]
+    assert words == [[*(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))), ""] for _, t, _ in ROWS]
+    held = [crc(d, 7, 2) for d, _, _ in ROWS]
+    c = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    n = sum(c.values())
+    base = [sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in ws) for ws in words]
+    got = df.collect()
+    same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got], [(d, h, len(ws), sum(c[w] > 0 for w in ws), n, round(b, 5)) for (d, _, _), h, ws, b in zip(ROWS, held, words, base)])
+    assert all(r.score < 0 for r in got)
+    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_op12(ask):
+    df = ask("op12_periodic_runs")
+    types(df, doc_id="bigint", **dict.fromkeys(("n_runs", "start", "length", "period", "exponent_milli"), "bigint"), runs_sha256="string", collapsed_sha256="string")
+    want, changed = [], 0
+    for d, t, _ in ROWS:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        if d is not None and words and (h := zlib.crc32(str(d).encode())) % 10 == 0:
+            g, n = h // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words, changed = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)], changed + 1
+        found = plain_runs(words) if len(words) < 9000 else [(0, len(words), 2)]
+        gone = {i for s, n, q in found for i in range(s + q, s + n)}
+        s, n, q = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None, None, None)
+        lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+        left = " ".join(w for i, w in enumerate(words) if i not in gone)
+        want.append((d, len(found), s, n, q, 1000 * n // q if n else None, *[hashlib.sha256(x.encode()).hexdigest() for x in (lines, left)]))
+    assert changed > 10
+    same([tuple(r) for r in df.collect()], want)
+
+
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)])
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
