@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kairoscope.functions import text as T
 from kairoscope.functions.projections import frame_url, snippet
 from kairoscope.operators import answer, communities, graph, search, windows
+from kairoscope.operators.token_index import TokenIndex
 from kairoscope.sources import store
 from kairoscope.sources.store import materialize
 
@@ -52,6 +53,7 @@ class Engine:
     members: DataFrame | None = None
     reports: DataFrame | None = None
     status: dict[str, str] = field(default_factory=dict)
+    index: TokenIndex | None = None  # of the chunks' transcripts; without one, lexical search reads them all
 
     def _scope(self, video_id: str | None) -> DataFrame:
         return self.chunks if not video_id else self.chunks.where(F.col("video_id") == video_id)
@@ -78,14 +80,14 @@ class Engine:
         return search.visual_search(self._scope(video_id), self.encode_visual(query), checked("top_k", top_k, 1, 20))
 
     def audio_preview(self, query: str, top_k: int = 3, video_id: str | None = None) -> DataFrame:
-        return search.audio_search(self._scope(video_id), self.encode_text(query), query, checked("top_k", top_k, 1, 20))
+        return search.audio_search(self._scope(video_id), self.encode_text(query), query, checked("top_k", top_k, 1, 20), self.index)
 
     def mode_of(self, query: str, video_id: str | None = None) -> tuple[str, bool]:
         """The mode that auto_preview takes, and whether the query's own words say so."""
         asked = search.understood(self.chunks.sparkSession, query)
         if asked.explicit:
             return asked.intent, True
-        best = search.lexical(self._scope(video_id), query).agg(F.coalesce(F.max("coverage"), F.lit(0.0))).first()[0]
+        best = search.lexical(self._scope(video_id), query, self.index).agg(F.coalesce(F.max("coverage"), F.lit(0.0))).first()[0]
         return ("audio" if best >= search.NEAR_COVERAGE else asked.intent), False
 
     def auto_preview(self, query: str, top_k: int = 3, video_id: str | None = None) -> DataFrame:
@@ -108,7 +110,9 @@ class Engine:
         score = F.col("confidence_score") if "confidence_score" in found.columns else F.col("confidence")
         matched = F.col("text_match") if "text_match" in found.columns else F.lit(False)
         order = [F.desc(c) for c in ("text_match", "rank_score", "confidence_score", "confidence") if c in found.columns]
-        rows = found.orderBy(*order, "chunk_id").select("start_timestamp", "end_timestamp", score.alias("confidence_score"), "video_id", "frame_url", F.col("snippet").alias("transcript_snippet"), matched.alias("text_match"))
+        own = lambda c, kind: F.col(c) if c in found.columns else F.lit(None).cast(kind)
+        more_fields = own("visual_similarity", "double").alias("visual_similarity"), own("audio_similarity", "double").alias("audio_similarity"), matched.alias("text_match"), F.coalesce(own("coverage", "double"), F.lit(0.0)).alias("text_coverage")
+        rows = found.orderBy(*order, "chunk_id").select("start_timestamp", "end_timestamp", score.alias("confidence_score"), "video_id", "frame_url", F.col("snippet").alias("transcript_snippet"), *more_fields)
         results = [r.asDict() for r in rows.collect()]  # at most top_k
         return {"results": results, "query_time_ms": round((time.perf_counter() - began) * 1000, 2), "total_chunks_searched": self.chunks.count(), **more}
 

@@ -21,13 +21,12 @@ def audible(transcript: Column, vector: Column) -> Column:
     return F.when(F.length(F.trim(transcript)) > 3, vector)
 
 
-def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    return F.greatest(a_start, b_start) < F.least(a_end, b_end)
-
-
-def response(confidence: Column, text_match: Column) -> Column:
-    """A result with all fields that the service sends, of a chunk's columns."""
+def response(confidence: Column, text_match: Column, visual: Column | None = None, audio: Column | None = None, coverage: Column | None = None) -> Column:
+    """A result with all fields that the service sends, of a chunk's columns. Similarities are null in modes that have
+    none; the share of the query's words is 0 there."""
+    none = F.lit(None).cast("double")
     return F.struct(
         "start_timestamp", "end_timestamp", confidence.alias("confidence_score"), "video_id", frame_url(F.col("frame_path")).alias("frame_url"),
-        snippet(F.col("transcript")).alias("transcript_snippet"), text_match.alias("text_match"),
+        snippet(F.col("transcript")).alias("transcript_snippet"), visual.alias("visual_similarity") if visual is not None else none.alias("visual_similarity"),
+        audio.alias("audio_similarity") if audio is not None else none.alias("audio_similarity"), text_match.alias("text_match"), (F.lit(0.0) if coverage is None else F.coalesce(coverage, F.lit(0.0))).alias("text_coverage"),
     )

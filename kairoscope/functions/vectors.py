@@ -38,10 +38,6 @@ def normalized(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float"))).otherwise(a)
 
 
-def zeros(n: int) -> Column:
-    return F.array_repeat(F.lit(0.0).cast("float"), n)
-
-
 def clip(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

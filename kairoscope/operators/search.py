@@ -17,9 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from kairoscope.functions import fuzzy
 from kairoscope.functions import text as T
 from kairoscope.functions.projections import frame_url, snippet
 from kairoscope.functions.vectors import clip, confidence, dot_with, norm
+from kairoscope.operators.token_index import TokenIndex
 
 RRF_K = 60
 #: Rows of queries that may be broadcast; beyond, they are joined in blocks.
@@ -104,16 +106,24 @@ def _nearest(vectors: list[np.ndarray], k: int) -> Callable:
 
 def visual_search(chunks: DataFrame, vector: list[float], k: int) -> DataFrame:
     hits = ranked(chunks, vector, k, "visual")
-    return hits.select("chunk_id", "video_id", "start_timestamp", "end_timestamp", confidence(F.col("sim")).alias("confidence"), snippet(F.col("transcript")).alias("snippet"), frame_url(F.col("frame_path")).alias("frame_url"))
+    return hits.select("chunk_id", "video_id", "start_timestamp", "end_timestamp", confidence(F.col("sim")).alias("confidence"), F.col("sim").alias("visual_similarity"), snippet(F.col("transcript")).alias("snippet"), frame_url(F.col("frame_path")).alias("frame_url"))
 
 
-def lexical(chunks: DataFrame, phrase: str) -> DataFrame:
-    """(chunk_id, exact, coverage, terms): exact phrase and share of the query's tokens, of chunks with either."""
+def lexical(chunks: DataFrame, phrase: str, index: TokenIndex | None = None) -> DataFrame:
+    """(chunk_id, exact, coverage, terms): exact phrase and share of the query's tokens that are there or nearly there,
+    of chunks with either. With a token index only transcripts that may hold the phrase are read."""
+    spark = chunks.sparkSession
     asked = T.transcript_tokens(F.lit(phrase))
-    rows = chunks.select("chunk_id", T.normalize_transcript(F.col("transcript")).alias("_said"))
-    common = F.size(F.array_intersect(asked, F.split("_said", " ")))
-    exact = T.contains_phrase(F.col("_said"), T.normalize_transcript(F.lit(phrase)))
-    return rows.select("chunk_id", F.coalesce(exact, F.lit(False)).alias("exact"), (F.coalesce(common, F.lit(0)) / F.greatest(F.size(asked), F.lit(1))).alias("coverage"), F.size(asked).alias("terms")).where("exact or coverage > 0")
+    if index:
+        covered = index.coverage(phrase).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+        rows = chunks.select("chunk_id", "transcript").join(index.candidates(phrase), "chunk_id", "left_semi")
+    else:
+        query = spark.range(1).select(F.col("id").alias("_q"), F.lit(phrase).alias("_asked"))
+        covered = fuzzy.coverage(chunks, query, "chunk_id", "transcript", "_q", "_asked").select("chunk_id", "coverage")
+        rows = chunks.select("chunk_id", "transcript")
+    exact = rows.where(T.contains_phrase(T.normalize_transcript(F.col("transcript")), T.normalize_transcript(F.lit(phrase)))).select("chunk_id", F.lit(True).alias("exact"))
+    both = covered.join(exact, "chunk_id", "full_outer")
+    return both.select("chunk_id", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.size(asked).alias("terms"))
 
 
 def containing(docs: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
@@ -147,15 +157,15 @@ def _all_found(phrases: list[str], column: int) -> Callable:
     return run
 
 
-def audio_search(chunks: DataFrame, vector: list[float], phrase: str, k: int) -> DataFrame:
+def audio_search(chunks: DataFrame, vector: list[float], phrase: str, k: int, index: TokenIndex | None = None) -> DataFrame:
     """Transcript vectors and words together: similarity plus a bonus for the phrase or for covered words."""
     hits = ranked(chunks, vector, max(20 * k, 50), "audio").select("chunk_id", "sim")
-    both = hits.join(lexical(chunks, phrase), "chunk_id", "full_outer")
+    both = hits.join(lexical(chunks, phrase, index), "chunk_id", "full_outer")
     bonus = F.when(F.col("exact"), EXACT_BONUS).when((F.col("terms") >= 2) & (F.col("coverage") >= NEAR_COVERAGE), NEAR_BONUS).otherwise(F.coalesce(COVERAGE_BONUS * F.col("coverage"), F.lit(0.0)))
     top = both.withColumn("rank_score", F.coalesce("sim", F.lit(0.0)) + bonus).orderBy(F.desc("rank_score"), "chunk_id").limit(k)
     rows = chunks.select("chunk_id", "video_id", "start_timestamp", "end_timestamp", "transcript", "frame_path")
     joined = rows.join(F.broadcast(top), "chunk_id")  # at most k rows
-    return joined.select("chunk_id", "video_id", "start_timestamp", "end_timestamp", confidence(F.col("sim")).alias("confidence"), F.coalesce("exact", F.lit(False)).alias("text_match"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "rank_score", snippet(F.col("transcript")).alias("snippet"), frame_url(F.col("frame_path")).alias("frame_url"))
+    return joined.select("chunk_id", "video_id", "start_timestamp", "end_timestamp", confidence(F.col("sim")).alias("confidence"), F.col("sim").alias("audio_similarity"), F.coalesce("exact", F.lit(False)).alias("text_match"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "rank_score", snippet(F.col("transcript")).alias("snippet"), frame_url(F.col("frame_path")).alias("frame_url"))
 
 
 def fusion_score(v_rank: Column, a_rank: Column, v_weight: float, a_weight: float) -> Column:
@@ -170,7 +180,8 @@ def hybrid(chunks: DataFrame, visual: list[float], audio: list[float], phrase: s
     order = lambda n: F.row_number().over(W.orderBy(F.desc("sim"), "chunk_id")).alias(n)  # noqa: E731  over at most `depth` rows
     v = ranked(chunks, visual, depth, "visual").select("chunk_id", order("v_rank"))
     a = ranked(chunks, audio, depth, "audio").select("chunk_id", order("a_rank"))
-    exact = lexical(chunks, phrase).where("exact").select("chunk_id", F.lit(True).alias("text_match"))
+    said = T.contains_phrase(T.normalize_transcript(F.col("transcript")), T.normalize_transcript(F.lit(phrase)))
+    exact = chunks.where(said).select("chunk_id", F.lit(True).alias("text_match"))
     rows = v.join(a, "chunk_id", "full_outer").join(exact, "chunk_id", "full_outer").withColumn("text_match", F.coalesce("text_match", F.lit(False)))
     rows = rows.withColumn("a_rank", F.when(F.col("text_match"), F.lit(1)).otherwise(F.col("a_rank")))
     joint = fusion_score(F.col("v_rank"), F.col("a_rank"), v_weight, a_weight)

@@ -34,7 +34,11 @@ def test_search_modes(engine):
 def test_responses(engine):
     got = engine.respond("about topic7", 5)
     assert [r["text_match"] for r in got["results"]] == [True] and got["total_chunks_searched"] == 10 and got["query_time_ms"] > 0
-    assert set(got["results"][0]) == {"start_timestamp", "end_timestamp", "confidence_score", "video_id", "frame_url", "transcript_snippet", "text_match"}
+    assert set(got["results"][0]) == {"start_timestamp", "end_timestamp", "confidence_score", "video_id", "frame_url", "transcript_snippet", "text_match", "visual_similarity", "audio_similarity", "text_coverage"}
+    assert [(r["visual_similarity"], r["audio_similarity"], r["text_coverage"]) for r in got["results"]] == [(None, None, 0.0)]
+    heard, seen = (engine.respond("topic4 and more", 1, mode=m)["results"][0] for m in ("audio", "visual"))
+    assert heard["text_coverage"] == 1.0 and heard["audio_similarity"] == pytest.approx(4 / 17**0.5) and heard["visual_similarity"] is None
+    assert seen["visual_similarity"] == 1.0 and seen["audio_similarity"] is None and seen["text_coverage"] == 0.0
     auto = engine.respond("topic3 and more", 2, mode="auto")
     assert (auto["detected_intent"], auto["score_type"], auto["intent_reason"]) == ("audio", "audio_similarity", api.REASONS["audio", False])
     assert engine.respond("photo?", 2, mode="auto")["score_type"] == "visual_similarity"
