@@ -25,18 +25,13 @@ from pyspark.sql import functions as F
 from jobs.common import log, settings, started
 from kairoscope.operators import windows
 from kairoscope.session import session
+from kairoscope.streaming import segments as streaming
 
 CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
 SEGMENTS = "video_id string, seg_idx int, start double, `end` double, text string, bucket int, batch bigint"
 CHUNKS = "video_id string, chunk_id string, chunk_index int, start_timestamp double, end_timestamp double, transcript string, has_audio boolean, bucket int"
 
 
-def _pattern(path: str) -> str:
-    """The path as a pattern that matches just it: a stream reads a folder by its name, but one file only by a pattern."""
-    path = path.rstrip("/")
-    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
-
-
 def segments(conversations: DataFrame, buckets: int) -> DataFrame:
     """Turns as speech of four seconds, three seconds apart, with the bucket of their video."""
     start = 3.0 * F.col("turn")
@@ -66,12 +61,8 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
         done["segments"] += sum(read.values())
         log.info("batch %d: read %d segments from %s, made the chunks of %d buckets anew in %s", number, sum(read.values()), source, len(read), out)
 
-    stream = spark.readStream.schema(CONVERSATIONS).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(_pattern(source))
-    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
+    stream = spark.readStream.schema(CONVERSATIONS).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(streaming.pattern(source))
+    streaming.take(stream, take, checkpoint)
     log.info("read %d segments in %d batches, wrote %d chunks", done["segments"], done["batches"], done["chunks"])
     return done
 

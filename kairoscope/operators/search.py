@@ -22,6 +22,8 @@ from kairoscope.functions import text as T
 from kairoscope.functions.projections import frame_url, snippet
 from kairoscope.functions.vectors import clip, confidence, dot_with, norm
 from kairoscope.operators.token_index import TokenIndex
+from kairoscope.operators.windows import WINDOW
+from kairoscope.sources.store import discard, materialize
 
 RRF_K = 60
 #: Rows of queries that may be broadcast; beyond, they are joined in blocks.
@@ -190,13 +192,13 @@ def hybrid(chunks: DataFrame, visual: list[float], audio: list[float], phrase: s
     return rows.crossJoin(F.broadcast(any_exact)).where("text_match or not _any").drop("_any")  # one row
 
 
-def deduplicated(hits: DataFrame, k: int, visual_focused: bool = False, block: int = BLOCK) -> DataFrame:
-    """The first k hits that greedy suppression in rank order (text_match, joint_score, chunk_id) keeps: a hit goes if
-    a kept one overlaps it in time and is of the same video, or both match the text, or both show one frame (and say
-    the same, unless the query is visual).
+def deduplicated(hits: DataFrame, k: int | None, visual_focused: bool = False, block: int = BLOCK) -> DataFrame:
+    """The first k hits (all if None) that greedy suppression in rank order (text_match, joint_score, chunk_id) keeps: a
+    hit goes if a kept one overlaps it in time and is of the same video, or both match the text, or both show one frame
+    (and say the same, unless the query is visual).
 
-    What is kept depends on better ranks only, so blocks of the best `block` rows are taken in rank order until k are
-    kept or no row is left: exact, however many hits there are, and no task or driver holds more than a block.
+    What is kept depends on better ranks only. The best `block` hits come to the driver, where they nearly always decide
+    the first few; if they don't, all hits are suppressed in rounds, see suppressed().
     """
     order = ["o", "s", "chunk_id"]
     frame = F.nullif(F.col("frame_sha256"), F.lit(""))
@@ -205,19 +207,54 @@ def deduplicated(hits: DataFrame, k: int, visual_focused: bool = False, block: i
         F.when(F.col("text_match"), 0).otherwise(1).alias("o"), (-F.col("joint_score")).alias("s"), "chunk_id", "text_match", "joint_score", "video_id",
         F.col("start_timestamp").cast("double").alias("start_timestamp"), F.col("end_timestamp").cast("double").alias("end_timestamp"), "frame_sha256", frame.alias("frame"), said.alias("said"),
     )
+    out = ["chunk_id", "text_match", "joint_score", "video_id", "start_timestamp", "end_timestamp", "frame_sha256"]
+    part = rows.orderBy(*order).limit(block).collect() if k is not None and block else None
     kept: list = []
-    after = None
-    while len(kept) < k:
-        rest = rows if after is None else rows.where(F.struct(*order) > F.struct(*[F.lit(after[c]).cast(rows.schema[c].dataType).alias(c) for c in order]))
-        part = rest.orderBy(*order).limit(block).collect()
-        for x in part:
-            if len(kept) < k and not any(_clash(y, x, visual_focused) for y in kept):
-                kept.append(x)
-        if len(part) < block:
+    for x in part or ():
+        if len(kept) < k and not any(_clash(y, x, visual_focused) for y in kept):
+            kept.append(x)
+    if part is not None and (len(kept) >= k or len(part) < block):
+        return hits.sparkSession.createDataFrame([tuple(r[c] for c in out) for r in kept], rows.select(*out).schema)  # at most k rows
+    # a frame alone for a visual query; else a frame and what is said, which may not be null
+    shown = F.col("frame") if visual_focused else F.concat("frame", F.lit(" "), "said")
+    groups = F.array_compact(F.array(F.concat(F.lit("v"), "video_id"), F.when(F.col("text_match"), F.lit("t")), F.concat(F.lit("f"), shown)))
+    spans = F.coalesce(F.col("start_timestamp") < F.col("end_timestamp"), F.lit(False))
+    written = materialize(rows.withColumn("groups", F.when(spans, groups).otherwise(F.array().cast("array<string>"))), "hits")
+    chosen = suppressed(written, F.struct(*order), k).select("chunk_id")
+    found = written.join(chosen, "chunk_id", "left_semi")
+    return (found if k is None else found.orderBy(*order).limit(k)).select(*out)
+
+
+def suppressed(rows: DataFrame, rank: Column, k: int | None = None, width: float = WINDOW) -> DataFrame:
+    """(chunk_id, rank) of the rows (chunk_id, start_timestamp, end_timestamp, groups) that stay if, in order of rank, each
+    one goes that overlaps one that stays and shares a group with it; at least the first k of them, all if None.
+
+    Rows are dealt into cells of a group and `width` seconds. A row that is the best open one of all its cells stays, and
+    those go that clash with it; so in each round at least the best open row is decided, in most a share of all. A cell
+    has one best row, so no pairs arise, however many share it. Each round is written and read back.
+    """
+    ranked_rows = rows.select("chunk_id", rank.alias("rank"), F.col("start_timestamp").alias("from"), F.col("end_timestamp").alias("to"), "groups")
+    stay = [ranked_rows.where("size(groups) = 0").select("chunk_id", "rank")]
+    times = F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))
+    cells = materialize(ranked_rows.select("chunk_id", "rank", "from", "to", F.explode("groups").alias("group"), times.alias("times")).select("*", F.explode("times").alias("time")).drop("times"), "cells")
+    while (first := cells.agg(F.min("rank").alias("rank")).first()["rank"]) is not None:
+        better = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(cells.schema["rank"].dataType, first)])
+        if k is not None and len(stay) > 1 and sum(s.where(F.col("rank") < better).count() for s in stay) >= k:
             break
-        after = part[-1]
-    out = ["chunk_id", "text_match", "joint_score", "video_id", "start_timestamp", "end_timestamp", "frame_sha256"]
-    return hits.sparkSession.createDataFrame([tuple(r[c] for c in out) for r in kept], rows.select(*out).schema)  # at most k rows
+        best = cells.groupBy("group", "time").agg(F.min_by(F.struct("chunk_id", "from", "to"), "rank").alias("best"))
+        met = cells.join(best, ["group", "time"])
+        won = met.groupBy("chunk_id").agg(F.bool_and(F.col("chunk_id") == F.col("best.chunk_id")).alias("won"), F.first("rank").alias("rank")).where("won")
+        won = materialize(won.select("chunk_id", "rank"), "stay")
+        stay.append(won)
+        clash = met.where((F.greatest("from", "best.from") < F.least("to", "best.to"))).select("chunk_id", F.col("best.chunk_id").alias("by"))
+        gone = clash.join(won.select(F.col("chunk_id").alias("by")), "by", "left_semi").select("chunk_id").distinct()  # those that stay, too
+        left = materialize(cells.join(gone, "chunk_id", "left_anti"), "cells")
+        discard(cells)
+        cells = left
+    out = stay[0]
+    for s in stay[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def _clash(kept: Row, x: Row, visual_focused: bool) -> bool:

@@ -185,8 +185,27 @@ def temporal_dedup(spark, folder):
     return search.deduplicated(hits.join(rows.drop("visual", "audio"), "chunk_id"), 100)
 
 
+@query(f"""WITH RECURSIVE h AS (SELECT row_number() OVER (ORDER BY t DESC, j DESC, chunk_id) AS i, * FROM (
+  SELECT 'c' || doc_id AS chunk_id, source AS v, doc_id % 2 = 0 AS t, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS j, doc_id / 5.0::DOUBLE AS s, doc_id / 5.0::DOUBLE + 5 AS e FROM documents)),
+walk AS (
+  SELECT 0::BIGINT AS i, list_filter([{{'c': '', 'v': '', 't': true, 's': 0.0::DOUBLE, 'e': 0.0::DOUBLE}}], lambda x: false) AS kept
+  UNION ALL
+  SELECT h.i, CASE WHEN len(list_filter(kept, lambda y: greatest(y.s, h.s) < least(y.e, h.e) AND (y.v = h.v OR (y.t AND h.t)))) > 0 THEN kept
+    ELSE list_append(kept, {{'c': h.chunk_id, 'v': h.v, 't': h.t, 's': h.s, 'e': h.e}}) END
+  FROM walk JOIN h ON h.i = walk.i + 1
+),
+k AS (SELECT unnest(kept) AS x FROM walk QUALIFY row_number() OVER (ORDER BY i DESC) = 1)
+SELECT x.c AS chunk_id, x.v AS video_id, x.t AS text_match FROM k""")
+def suppressed_hits(spark, folder):
+    """All hits of a phrase that half of the chunks say: suppression in rounds, none on the driver."""
+    rows = tables.chunks(spark, folder, False)
+    n = F.col("chunk_index")
+    hits = rows.withColumns({"text_match": n % 2 == 0, "joint_score": n * 7919 % 1000 / F.lit(1000.0), "frame_sha256": F.lit(None).cast("string")})
+    return search.deduplicated(hits, None).select("chunk_id", "video_id", "text_match")
+
+
 @query(r"""SELECT doc_id, k = 1 AS visual_focused, CASE k WHEN 1 THEN 0.6::DOUBLE WHEN 2 THEN 0.4 ELSE 0.5 END AS v_weight, CASE k WHEN 1 THEN 0.4::DOUBLE WHEN 2 THEN 0.6 ELSE 0.5 END AS a_weight, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS stripped
-FROM (SELECT doc_id, doc_id % 4 AS k, text FROM documents WHERE regexp_matches(text, '\S'))""".replace("\\\\", "\\"))
+FROM (SELECT doc_id, doc_id % 4 AS k, text FROM documents WHERE regexp_matches(text, '\S'))""")
 def fused_query(spark, folder):
     """Weights and wording of queries that begin with a cue of the frames, of the speech, of both, or none, marked and
     punctuated as people type them."""
@@ -195,12 +214,17 @@ def fused_query(spark, folder):
     return search.weighed(rows).select("doc_id", "visual_focused", "v_weight", "a_weight", F.md5("stripped").alias("stripped"))
 
 
-@query("SELECT q AS query, i AS intent, x AS explicit FROM (VALUES ('photo, please', 'visual', true), ('show me the photo?', 'visual', true), ('what was said, exactly?', 'audio', true), ('hello there', 'combined', false), ('الصُّورَة، من فضلك', 'visual', true), ('«قالَ»: ماذا', 'audio', true), ('مَعًا', 'combined', true), ('photo quote', 'combined', true), ('', 'combined', false)) t(q, i, x)")
+_TYPED = (("photo, ", "visual", True), ("show me the photo: ", "visual", True), ("what was said, exactly? ", "audio", True), ("hello there ", "combined", False), ("الصُّورَة، ", "visual", True), ("«قالَ»: ", "audio", True), ("مَعًا ", "combined", True), ("photo quote ", "combined", True), ("", "combined", False))
+
+
+@query(f"""SELECT 'c' || conv_id || '_' || turn AS query_id, t.i AS intent, t.x AS explicit FROM conversations JOIN (VALUES {", ".join(f"({k}, '{i}', {x})" for k, (_, i, x) in enumerate(_TYPED))}) t(k, i, x) ON k = (conv_id + turn) % 9
+WHERE NOT list_has_any({token_list("text")}, {[w for w in T.VISUAL_CUES + T.AUDIO_CUES + T.MIXED_CUES if w.isascii()]})""")
 def typed_route(spark, folder):
-    """Routes of single queries, as a call takes them."""
-    asked = ["photo, please", "show me the photo?", "what was said, exactly?", "hello there", "الصُّورَة، من فضلك", "«قالَ»: ماذا", "مَعًا", "photo quote", ""]
-    found = [search.understood(spark, q) for q in asked]
-    return spark.createDataFrame([(q, r.intent, r.explicit) for q, r in zip(asked, found)], "query string, intent string, explicit boolean")
+    """Routes of what people type: a cue, marked and punctuated, before words without one."""
+    cue = F.get(F.array(*[F.lit(c) for c, _, _ in _TYPED]), ((F.col("conv_id") + F.col("turn")) % len(_TYPED)).cast("int"))
+    cues = F.array(*[F.lit(w) for w in T.VISUAL_CUES + T.AUDIO_CUES + T.MIXED_CUES if w.isascii()])
+    rows = table(spark, folder, "conversations").where(~F.arrays_overlap(T.transcript_tokens(F.col("text")), cues))
+    return search.route(rows.select(F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn").alias("query_id"), F.concat(cue, "text").alias("text"))).select("query_id", "intent", "explicit")
 
 
 @query(rf"""WITH t AS (SELECT *, {token_list("text")} AS t FROM (SELECT 'b' || item_id AS query_id, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '_' || turn, text FROM conversations))
@@ -830,6 +854,37 @@ def stream_windows(spark, folder):
     return streaming.sliding_counts(table(spark, folder, "events")).withColumn("total", F.round("total", 4))
 
 
+@query("""SELECT w_start, w_start + INTERVAL 5 MINUTE AS w_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
+  SELECT event_type, value, ts, to_timestamp(k * 240)::TIMESTAMP AS w_start FROM (SELECT *, unnest([floor(epoch(ts) / 240)::BIGINT, floor(epoch(ts) / 240)::BIGINT - 1]) AS k FROM events)) WHERE ts >= w_start AND ts < w_start + INTERVAL 5 MINUTE GROUP BY ALL""")
+def streamed_windows(spark, folder):
+    """Sliding windows of a stream, kept up to date in a keyed table as they grow."""
+    counts, at = streaming.sliding_counts(streaming.arriving(spark, f"{folder}/events.parquet")), store.scratch_path(spark, "streamed")
+    streaming.take(counts, streaming.upsert_into(f"{at}/table", ["w_start", "event_type"], ["n"], buckets=4), f"{at}/checkpoint", "update")
+    return streaming.latest(spark, f"{at}/table", counts.schema).withColumns({"total": F.round("total", 4)} | {c: F.col(c).cast("timestamp_ntz") for c in ("w_start", "w_end")})
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
+def streamed_first_seen(spark, folder):
+    """A stream that brings every event twice, written once each."""
+    events, at = streaming.arriving(spark, f"{folder}/events.parquet").select("event_id", "ts", "user_id", "event_type"), store.scratch_path(spark, "streamed")
+    once = streaming.first_seen(events.unionByName(events), late="60 days")
+    streaming.take(once, streaming.upsert_into(f"{at}/table", ["event_id"], ["ts"], buckets=4), f"{at}/checkpoint")
+    return streaming.latest(spark, f"{at}/table", once.schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""SELECT w.conv_id::VARCHAR AS video_id, w.turn::INT AS chunk_index, s.turn::INT AS seg_idx FROM conversations w JOIN conversations s ON s.conv_id = w.conv_id AND 3 * s.turn + 4 > 4 * w.turn AND 3 * s.turn < 4 * w.turn + 5""")
+def streamed_interval_join(spark, folder):
+    """Windows and segments as two streams: a window of five seconds for each turn, every four seconds."""
+    at, path = store.scratch_path(spark, "streamed"), f"{folder}/conversations.parquet"
+    moment = lambda c: F.timestamp_seconds(c + 86_400)  # noqa: E731  a watermark begins at 0 and takes what is no later for late
+    video = F.col("conv_id").cast("string").alias("video_id")
+    opened = streaming.arriving(spark, path).select(video, F.col("turn").cast("int").alias("chunk_index"), moment(4 * F.col("turn")).alias("w_start"), moment(4 * F.col("turn") + 5).alias("w_end"))
+    said = streaming.arriving(spark, path).select(video, F.col("turn").cast("int").alias("seg_idx"), moment(3 * F.col("turn")).alias("s_start"), moment(3 * F.col("turn") + 4).alias("s_end"))
+    pairs = streaming.segments_in_windows(opened, said)
+    streaming.take(pairs, streaming.upsert_into(f"{at}/table", ["video_id", "chunk_index", "seg_idx"], ["w_start"], buckets=4), f"{at}/checkpoint")
+    return streaming.latest(spark, f"{at}/table", pairs.schema).select("video_id", "chunk_index", "seg_idx")
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT min(ts) AS s_start, max(ts) + INTERVAL 30 MINUTE AS s_end, user_id, count(*) AS n FROM s GROUP BY user_id, s""")

@@ -29,6 +29,42 @@ def first_seen(events: DataFrame, key: str = "event_id", ts: str = "ts", late: s
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+def segments_in_windows(windows: DataFrame, segments: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Pairs of a window (video_id, chunk_index, w_start, w_end) and a segment (video_id, seg_idx, s_start, s_end) of one
+    video that overlap as open intervals, all four timestamps. Of two streams each waits for the other: state is kept
+    until the watermark has passed what a window or segment could still meet."""
+    if windows.isStreaming:
+        windows = windows.withWatermark("w_start", late)
+    if segments.isStreaming:
+        segments = segments.withWatermark("s_start", late)
+    # the bounds on starts follow from the lengths and let old state go; they leave out no pair of at most `late`
+    near = F.expr(f"w_start < s_start + interval {late} and s_start < w_start + interval {late}")
+    pairs = windows.alias("w").join(segments.alias("s"), (F.col("w.video_id") == F.col("s.video_id")) & near & (F.col("s_end") > F.col("w_start")) & (F.col("s_start") < F.col("w_end")))
+    return pairs.select("w.video_id", "chunk_index", "seg_idx", "w_start", "s_start")
+
+
+def pattern(path: str) -> str:
+    """The path as a pattern that matches just it: a stream reads a folder by its name, but one file only by a pattern."""
+    path = path.rstrip("/")
+    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+
+
+def arriving(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet files at path, a folder or one file, as a stream; times without a zone are in the session's, as
+    watermarks need one."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern(path))
+    return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in stream.schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
+def take(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Hand what is new in the stream to apply(batch, number), batch by batch, and return when there is no more."""
+    query = stream.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+
+
 def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps a keyed table under path up to date. Of several rows of a key in a batch, the
     last by `order` stays.
@@ -63,11 +99,13 @@ def latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def _versions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
-    """(version, bucket) of every folder under path."""
+    """(version, bucket) of every folder under path whose version was written to its end, as Spark's marker says: what a
+    batch that died left behind is not read."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm_path(jvm_path(path), "v=*/bucket=*"))
-    return [tuple(int(part.rpartition("=")[2]) for part in str(s.getPath()).split("/")[-2:]) for s in found or []]
+    whole = {str(s.getPath().getParent()) for s in fs.globStatus(jvm_path(jvm_path(path), "v=*/_SUCCESS")) or []}
+    found = [s for s in fs.globStatus(jvm_path(jvm_path(path), "v=*/bucket=*")) or [] if str(s.getPath().getParent()) in whole]
+    return [tuple(int(part.rpartition("=")[2]) for part in str(s.getPath()).split("/")[-2:]) for s in found]
 
 
 def _newest(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:

@@ -80,7 +80,7 @@ def test_greedy_suppression(spark, visual):
         rows.append((f"c{i:03d}", rng.random() < 0.3, rng.randrange(20) / 20, rng.choice("abc"), start, start + rng.choice([0.0, 5.0]), rng.choice(["", "f1", "f2", None]), rng.choice(["x", "y"])))
     schema = "chunk_id string, text_match boolean, joint_score double, video_id string, start_timestamp double, end_timestamp double, frame_sha256 string, transcript string"
     hits = spark.createDataFrame(rows, schema)
-    for k, block in ((1000, 2000), (1000, 7), (12, 5)):
+    for k, block in ((1000, 2000), (1000, 7), (12, 5), (None, 2000), (3, 0)):
         got = [r.chunk_id for r in search.deduplicated(hits, k, visual, block).orderBy(F.desc("text_match"), F.desc("joint_score"), "chunk_id").collect()]
         assert got == plain_dedup(rows, visual)[:k]
     few = [("1", False, 0.9, "v", 0.0, 5.0, "", ""), ("2", False, 0.8, "v", 4.0, 9.0, "", ""), ("3", False, 0.7, "v", 8.0, 13.0, "", ""), ("4", False, 0.85, "w", 4.0, 9.0, "", "")]
@@ -89,6 +89,20 @@ def test_greedy_suppression(spark, visual):
     assert kept([(a, True, *rest) for a, _, *rest in few]) == ["1", "3"]
 
 
+def test_many_hits_of_one_phrase(spark):
+    """100,000 hits that match the text at 4,000 moments, many of each: as the walk keeps them."""
+    rng = random.Random(6)
+    rows = [(f"c{i}", True, rng.random(), f"v{i % 50}", float(rng.randrange(4000)), None, "", "") for i in range(100_000)]
+    rows = [(*r[:5], r[4] + 5.0, *r[6:]) for r in rows]
+    kept, taken = [], set()
+    for r in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if not any(int(r[4]) + d in taken for d in range(-4, 5)):
+            taken.add(int(r[4]))
+            kept.append(r[0])
+    hits = spark.createDataFrame(rows, "chunk_id string, text_match boolean, joint_score double, video_id string, start_timestamp double, end_timestamp double, frame_sha256 string, transcript string")
+    assert sorted(r.chunk_id for r in search.deduplicated(hits, None).collect()) == sorted(kept) and len(kept) > 400
+
+
 def test_routing(spark):
     asked = spark.createDataFrame([(i, t) for i, t in enumerate(["photo", "quote", "photo quote", "hello", "الصورة", "كلمة", "photo, please", "show me the photo?", "what was said, exactly?", "الصُّورَة؟", ""])], "query_id long, text string")
     rows = search.weighed(search.route(asked)).orderBy("query_id").collect()
