@@ -30,6 +30,15 @@ BLOCK_IDS = 1 << 16
 CHUNK = 4096
 
 
+def narrowed(ids: np.ndarray, separator: int) -> np.ndarray:
+    """ids as 16-bit numbers; an error if one does not fit, or is the separator."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 16:
+        raise ValueError("ids of a stream have 16 bits")
+    if (ids == separator).any():
+        raise ValueError("a text's ids hold the separator")
+    return ids.astype("<u2")
+
+
 def write_streams(docs: DataFrame, path: str, settings: tuple, text: str = "text", key: str = "doc_id", separator: int = 50256, block: int = BLOCK_IDS) -> None:
     """One stream per task, as Parquet under path: kind=ids (stream, block, ids: little-endian 16-bit numbers) and
     kind=names (stream, doc_no, key), which says which document was written when and nothing of its place."""
@@ -62,9 +71,7 @@ def write_streams(docs: DataFrame, path: str, settings: tuple, text: str = "text
                 schema = pa.schema([("kind", pa.string()), ("stream", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), (key, kind)])
             for low, high in cuts(text_lengths(batch.column(1)), SLICE_BYTES):
                 for t in batch.column(1).slice(low, high - low).to_pylist():
-                    ids = encode(t).astype("<u2") if t else np.zeros(0, "<u2")
-                    if (ids == separator).any():
-                        raise ValueError("a text's ids hold the separator")
+                    ids = narrowed(encode(t), separator) if t else np.zeros(0, "<u2")
                     held += [ids, np.array([separator], "<u2")]
                     size += len(ids) + 1
                 n = high - low

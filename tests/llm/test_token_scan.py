@@ -1,7 +1,9 @@
 import random
 import uuid
 
+import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from kairoscope.llm import token_scan
@@ -49,6 +51,14 @@ def test_stitching_over_chunks_and_empty_blocks(spark):
         assert sorted(tuple(r) for r in token_scan.stitched(found, chunk).collect()) == want
 
 
+def test_ids_that_do_not_fit_are_refused():
+    assert token_scan.narrowed(np.array([0, 65_535, 7]), 50_256).tolist() == [0, 65_535, 7]
+    assert token_scan.narrowed(np.zeros(0, np.int64), 0).dtype == np.dtype("<u2")
+    for ids in ([70_000], [65_536, 1], [-1], [5, 50_256]):
+        with pytest.raises(ValueError):
+            token_scan.narrowed(np.array(ids), 50_256)
+
+
 def test_empty_table(spark, tmp_path):
     token_scan.write_streams(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/none", SETTINGS)
     assert token_scan.token_counts(spark, f"{tmp_path}/none").count() == 0
