@@ -11,8 +11,11 @@ pairs leaves a signature, and a text that holds none of any template's signature
 rest, templates of whose pairs the whole text has too few are out; and so are beginnings that have too few of them
 within reach. Full license texts are found by the sentence that grants, which is a template.
 
-Defined results: null or empty text has no match. A document reports its best passage (ties: first template, earliest
-beginning, longest) and all licenses that match. Every row is returned, repeated rows too.
+A passage names its license unless a better one of another license (of higher Dice; ties: first template, earliest
+beginning, longest) overlaps it: versions and families of a license differ by few words, and the closest wording counts.
+
+Defined results: null or empty text has no match. A document reports its best passage and all licenses that are named.
+Every row is returned, repeated rows too.
 """
 
 from __future__ import annotations
@@ -49,6 +52,17 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
+    ("MIT", "Licensed under the terms of the MIT License."),
+    ("Apache-2.0", "Licensed under the terms of the Apache License, Version 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3."),
+    ("LGPL", "This work is licensed under the GNU Lesser General Public License."),
+    *[(name, f"SPDX-License-Identifier: {tag}") for name, tag in (
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-2-Clause"), ("BSD", "BSD-3-Clause"), ("ISC", "ISC"), ("MPL-2.0", "MPL-2.0"), ("BSL-1.0", "BSL-1.0"), ("EPL-2.0", "EPL-2.0"),
+        ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"), ("LGPL", "LGPL-2.1-only"), ("LGPL", "LGPL-2.1-or-later"), ("LGPL", "LGPL-3.0-only"),
+        ("LGPL", "LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), ("CC0-1.0", "CC0-1.0"), ("Unlicense", "Unlicense"),
+    )],
 ]
 
 THRESHOLD = 0.8
@@ -91,7 +105,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs with license (null without a match), dice (of the best passage), template (its number), first_word and
-    n_words (of the passage, in words of the normalised text), licenses (all that match, sorted)."""
+    n_words (of the passage, in words of the normalised text), licenses (all that are named, sorted)."""
     added = ("license", "dice", "template", "first_word", "n_words", "licenses")
     plain = [c for c in docs.columns if c not in added]
     pairs = [bigrams(normalized(t)) for _, t in templates]
@@ -109,12 +123,22 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     none = F.array().cast("array<struct<dice:double,k:int,first:int,n:int>>")
     found = F.when(F.col("flat").isNotNull(), let(_pairs(F.split("flat", " ")), lambda b: F.flatten(F.transform(known, lambda t: _matches(b, t, threshold)))))
     docs = docs.select("row", F.coalesce(found, none).alias("found"))
-    docs = docs.select("row", "found", F.array_max("found").alias("best"))
+    # in the order of their beginnings, those that could overlap one lie within so many places of it
     names = F.array(*[F.lit(name) for name, _ in templates])
+    license_of = F.array(*[F.lit(sorted({n for n, _ in templates}).index(name)) for name, _ in templates])
+    placed = F.array_sort(F.transform("found", lambda m: F.struct((-m["first"]).alias("at"), F.get(license_of, -m["k"]).alias("license"), m.alias("m"))))
+    docs = docs.select("row", "found", F.array_max("found").alias("best"), placed.alias("placed"))
+    around = 2 * len(templates) * max((reach(len(p), threshold) + 1 for p in pairs), default=1)
+
+    def named_by(x: Column, i: Column) -> Column:
+        close = F.slice("placed", F.greatest(i + 1 - around, F.lit(1)), F.lit(2 * around + 1))
+        return ~F.exists(close, lambda o: (o["license"] != x["license"]) & (o["at"] < x["at"] + x["m"]["n"]) & (x["at"] < o["at"] + o["m"]["n"]) & (o["m"] > x["m"]))
+
+    docs = docs.select("row", "best", F.filter("placed", named_by).alias("named"))
     # ties: the numbers are negative, so the first template and the earliest beginning are the largest
     return docs.select(
         "row.*", F.get(names, -F.col("best.k")).alias("license"), F.col("best.dice").alias("dice"), (-F.col("best.k")).alias("template"), (-F.col("best.first")).alias("first_word"), F.col("best.n").alias("n_words"),
-        F.array_sort(F.array_distinct(F.transform("found", lambda m: F.get(names, -m["k"])))).alias("licenses"),
+        F.array_sort(F.array_distinct(F.transform("named", lambda x: F.get(names, -x["m"]["k"])))).alias("licenses"),
     )
 
 

@@ -105,7 +105,10 @@ def _license_sql() -> str:
       FROM (SELECT doc_id, k, license, p, last, pairs, list_distinct(b[p + 1:last + 1]) AS s FROM runs JOIN t USING (k) JOIN b USING (doc_id))
     ),
     good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, k, p, n DESC) AS r FROM m WHERE dice >= {t}),
-    every AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM good GROUP BY doc_id)
+    every AS (
+      SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM good g
+      WHERE NOT EXISTS (SELECT 1 FROM good o WHERE o.doc_id = g.doc_id AND o.license <> g.license AND o.p < g.p + g.n AND g.p < o.p + o.n AND (o.dice > g.dice OR (o.dice = g.dice AND (o.k < g.k OR (o.k = g.k AND (o.p < g.p OR (o.p = g.p AND o.n > g.n)))))))
+      GROUP BY doc_id)
     SELECT d.doc_id, license, round(dice, 6) AS dice, k::INT AS template, p::INT AS first_word, n::INT AS n_words, coalesce(licenses, '') AS licenses
     FROM documents d LEFT JOIN (SELECT * FROM good WHERE r = 1) USING (doc_id) LEFT JOIN every USING (doc_id)
     """

@@ -7,6 +7,10 @@ NOTICES = [t for _, t in licenses.TEMPLATES]
 TEXTS = [None, "", "plain words only", "license", "\n\n", NOTICES[0], f"some prose\n{NOTICES[5]}\nmore", "LICENSED under: the apache license version 2.0", "Licensed under the Apache Licence", "Released under the new MIT License.", "all rights reserved", "We hold that all rights reserved by law are theirs", f"{NOTICES[4]} extra words here", "x\n" + "\n".join(NOTICES), "This work is licensed under the GNU General Public License, version 3. " * 3, "Ünder the MIT Lïcense"]
 
 
+def name(m):
+    return licenses.TEMPLATES[m[1]][0]
+
+
 def plain(text):
     """Every passage of every template, nothing pruned."""
     found = []
@@ -23,7 +27,7 @@ def plain(text):
                 if (dice := 2.0 * len(a & own) / (len(a) + len(own))) >= 0.8:
                     found.append((-dice, k, p, -(last - p + 2)))
     best = min(found, default=None)
-    return (*((licenses.TEMPLATES[best[1]][0], -best[0], best[1], best[2], -best[3]) if best else [None] * 5), sorted({licenses.TEMPLATES[k][0] for _, k, *_ in found}))
+    return (*((licenses.TEMPLATES[best[1]][0], -best[0], best[1], best[2], -best[3]) if best else [None] * 5), sorted({name(m) for m in found if not any(name(o) != name(m) and o < m and o[2] < m[2] - m[3] and m[2] < o[2] - o[3] for o in found)}))
 
 
 def best_of_all_runs(text, k):
@@ -81,6 +85,15 @@ def test_notices_as_they_stand_in_files(spark):
     assert clean.where("license is not null").count() == 0
 
 
+def test_each_notice_names_its_own_license_alone(spark):
+    more = [("SPDX-License-Identifier: MIT", "MIT"), ("This file is licensed under the terms of the MIT license.", "MIT"), ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0")]
+    cases = [*[(t, n) for n, t in licenses.TEMPLATES], *more]
+    got = {r.k: r.licenses for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "k int, text string")).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(cases)} == {t: [n] for t, n in cases}
+    two = NOTICES[7] + " " + NOTICES[9]
+    assert licenses.scan(spark.createDataFrame([(two,)], "text string")).first().licenses == ["GPL-3.0", "LGPL"]
+
+
 def test_long_texts_full_of_a_templates_pairs(spark):
     text = "in the software without of the gnu general public to deal in " * 20_000 + NOTICES[4]
     (got,) = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
