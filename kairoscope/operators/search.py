@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ def ranked_batch(df: DataFrame, queries: DataFrame, k: int, column: str = "embed
     for b in range(blocks):
         few = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         asked = [(r["query_id"], r[query_column]) for r in few.select("query_id", query_column).collect() if r[query_column] is not None]  # a block at most
-        near = rows.mapInArrow(_nearest([np.asarray(v, np.float64) for _, v in asked], k), schema)
+        sent = df.sparkSession.sparkContext.broadcast([np.asarray(v, np.float64) for _, v in asked])
+        near = rows.mapInArrow(_nearest(sent, k), schema)
         names = df.sparkSession.createDataFrame([(i, q) for i, (q, _) in enumerate(asked)], StructType([StructField("number", IntegerType()), kinds[1]]))
         best = near.withColumn("rank", F.row_number().over(W.partitionBy("number").orderBy(F.desc("sim"), key))).where(F.col("rank") <= k)
         best = best.join(F.broadcast(names), "number").select("query_id", key, "sim", "rank")
@@ -66,10 +68,11 @@ def ranked_batch(df: DataFrame, queries: DataFrame, k: int, column: str = "embed
     return out
 
 
-def _nearest(vectors: list[np.ndarray], k: int) -> Callable:
-    """mapInArrow's function of (key, vector) batches: the k best of each of `vectors` over all batches of a task."""
+def _nearest(sent: Broadcast, k: int) -> Callable:
+    """mapInArrow's function of (key, vector) batches: the k best of each of the vectors sent over all batches of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors: list[np.ndarray] = sent.value
         width = {len(v) for v in vectors}
         units = {w: [(i, v / n) for i, v in enumerate(vectors) if len(v) == w and (n := np.sqrt(v @ v)) > 0] for w in width}
         best_sim, best_key, kind = np.full((len(vectors), k), -np.inf), np.full((len(vectors), k), None, object), None
@@ -129,12 +132,12 @@ def lexical(chunks: DataFrame, phrase: str, index: TokenIndex | None = None) ->
 
 
 def containing(docs: DataFrame, phrases: DataFrame, text: str, phrase: str) -> DataFrame:
-    """Pairs of a document and a phrase that it contains; both normalised, an empty phrase is in none. Phrases are a
+    """Pairs of a document (its columns but the text) and a phrase that it contains; both normalised, an empty phrase is in none. Phrases are a
     stated set of queries: at most MOST_QUERIES are sent out at a time, as one automaton that finds them all in a
     single pass over each document."""
     asked = phrases.where(F.col(phrase) != "")
     blocks = max(1, -(-asked.count() // MOST_QUERIES))
-    schema, out = StructType([*docs.schema, StructField("_phrase", StringType())]), None
+    schema, out = StructType([*[f for f in docs.schema if f.name != text], StructField("_phrase", StringType())]), None
     for b in range(blocks):
         few = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(phrase), F.lit(blocks)) == b)
         found = docs.mapInArrow(_all_found([r[0] for r in few.select(phrase).distinct().collect()], docs.columns.index(text)), schema)
@@ -153,7 +156,8 @@ def _all_found(phrases: list[str], column: int) -> Callable:
         machine.make_automaton()
         for batch in batches if phrases else ():
             found = [sorted({p for _, p in machine.iter(t)}) if t else [] for t in batch.column(column).to_pylist()]
-            rows = batch.take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+            keys = batch.select([n for i, n in enumerate(batch.schema.names) if i != column])  # texts stay here
+            rows = keys.take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([p for f in found for p in f], pa.string())], names=[*rows.schema.names, "_phrase"])
 
     return run

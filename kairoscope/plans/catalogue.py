@@ -36,11 +36,13 @@ def query(sql: str | None = None):
 
 
 def vector(spark: SparkSession, folder: str, number: int = 0) -> list[float]:
-    return table(spark, folder, "embeddings").where(F.col("vec_id") == number).first()["embedding"]
+    row = table(spark, folder, "embeddings").where(F.col("vec_id") == number).first()
+    return row["embedding"] if row else [0.0] * 64  # no vector: nothing is like it
 
 
 def phrase(spark: SparkSession, folder: str) -> str:
-    return table(spark, folder, "benchmark").where(F.col("item_id") == PHRASE_ITEM).first()["text"]
+    row = table(spark, folder, "benchmark").where(F.col("item_id") == PHRASE_ITEM).first()
+    return row["text"] or "" if row else ""
 
 
 # --- SQL of the logical tables ---------------------------------------------------------------------------------------

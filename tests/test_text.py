@@ -59,6 +59,20 @@ def plain_coverage(query, text, near):
     return hit / len(q)
 
 
+def test_ratios_are_those_of_sequence_matcher():
+    rng = random.Random(12)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    pairs = [(word("ab", 9), word("ab", 9)) for _ in range(20_000)] + [(word("abcdé漢😀", 16), word("abcdé漢😀", 16)) for _ in range(60_000)]
+    for _ in range(20_000):  # near ones, as tokens are
+        w = word("aeinrst", 14)
+        i = rng.randrange(len(w) + 1)
+        pairs.append((w, w[:i] + word("aeinrst", 3) + w[i + rng.randrange(2) :]))
+    pairs += [("", ""), ("", "a"), ("x" * 300, "x" * 299 + "y"), ("ab" * 40, "ba" * 40)]
+    got = fuzzy.ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert [x for x, r in zip(pairs, got.tolist()) if r != SequenceMatcher(None, *x).ratio()] == []
+    assert len(fuzzy.ratios([], [])) == 0
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_coverage_against_a_plain_version(spark, near):
     rng = random.Random(2)
