@@ -49,13 +49,12 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
 
     def take(batch: DataFrame, number: int) -> None:
         rows = segments(batch, config["buckets"]).withColumn("batch", F.lit(number))
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{out}/segments")
+        put(rows.repartition("bucket"), "bucket", "batch", path=f"{out}/segments")
         here = spark.read.schema(SEGMENTS).parquet(f"{out}/segments").where(F.col("batch") <= number)
         read = {r["bucket"]: r["count"] for r in here.where(F.col("batch") == number).groupBy("bucket").count().collect()}  # at most `buckets`
         touched = F.col("bucket").isin(list(read))
         if read:
-            chunks = chunked(here.where(touched), config)
-            chunks.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{out}/chunks")
+            put(chunked(here.where(touched), config).repartition("bucket"), "bucket", path=f"{out}/chunks")
             done["chunks"] += spark.read.schema(CHUNKS).parquet(f"{out}/chunks").where(touched).count()
         done["batches"] += 1
         done["segments"] += sum(read.values())
@@ -63,10 +62,17 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dic
 
     stream = spark.readStream.schema(CONVERSATIONS).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(streaming.pattern(source))
     streaming.take(stream, take, checkpoint)
+    if not done["chunks"]:
+        put(spark.createDataFrame([], CHUNKS), "bucket", path=f"{out}/chunks")  # no partition changes, but there is a table to read
     log.info("read %d segments in %d batches, wrote %d chunks", done["segments"], done["batches"], done["chunks"])
     return done
 
 
+def put(rows: DataFrame, *by: str, path: str) -> None:
+    """Replace the partitions that rows have; the others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def chunked(found: DataFrame, config: dict) -> DataFrame:
     """The chunks of all segments (SEGMENTS), of each number the one of the last batch."""
     last = F.max_by(F.struct("start", "end", "text"), F.struct("batch", F.coalesce("text", F.lit("")))).alias("last")

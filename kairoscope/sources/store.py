@@ -143,15 +143,16 @@ class ChunkStore:
     """Chunks in a folder, partitioned by video: replacing a video replaces its partition and nothing else."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.schema = spark, path, None
 
     def read(self) -> DataFrame:
-        found = self.spark.read.parquet(self.path)
+        found = self.spark.read.schema(self.schema).parquet(self.path) if self.schema else self.spark.read.parquet(self.path)
         schema = StructType([StructField(f.name, StringType() if f.name == "video_id" else f.dataType) for f in found.schema])  # "007" is no number
         return self.spark.read.schema(schema).parquet(self.path)
 
     def replace(self, chunks: DataFrame) -> None:
         """Write chunks; partitions of their videos are replaced, each as a whole."""
+        self.schema = chunks.schema  # a store without a chunk has no file to tell it
         chunks.repartition("video_id", F.floor(F.col("chunk_index") / 10_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(self.path)
 
     def delete(self, video_id: str) -> int:

@@ -73,6 +73,13 @@ def test_a_batch_that_is_repeated_leaves_the_same(spark, tmp_path):
     assert rows(ingest_segments.output(spark, out)) == before
 
 
+def test_nothing_has_come_yet(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/landing")
+    for _ in range(2):
+        assert ingest_segments.run(spark, f"{tmp_path}/landing", f"{tmp_path}/out", f"{tmp_path}/mark") == {"batches": 0, "segments": 0, "chunks": 0}
+        assert ingest_segments.output(spark, f"{tmp_path}/out").count() == 0
+
+
 def test_settings(tmp_path):
     (tmp_path / "own.json").write_text(json.dumps({"buckets": 3}))
     assert settings("ingest_segments", str(tmp_path / "own.json"))["buckets"] == 3
