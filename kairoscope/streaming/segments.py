@@ -83,7 +83,8 @@ def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64)
             return
         before = _read(spark, path, {b: v for b, v in _newest(spark, path, number).items() if b in touched}, batch.schema)
         after = upserted(before, rows.select(*before.columns), keys, [F.desc(c) for c in order])
-        after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        # a static overwrite leaves the marker in the version's folder, whatever the session's mode is
+        after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/v={number}")
         discard(rows)
         previous = _newest(spark, path, number)
         for v, b in _versions(spark, path):

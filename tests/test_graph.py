@@ -202,8 +202,18 @@ def test_streams(spark, tmp_path):
     assert streaming.latest(spark, f"{tmp_path}/out", rows.schema).count() == 50
 
 
-def test_upserts_by_batch(spark, tmp_path):
+@pytest.mark.parametrize("mode", ["static", "dynamic"])
+def test_upserts_by_batch(spark, tmp_path, mode):
     """The last row of a key wins, a repeated batch changes nothing, buckets that a batch does not touch stay, versions are few."""
+    was = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    try:
+        _upserts(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", was)
+
+
+def _upserts(spark, tmp_path):
     path, schema = f"{tmp_path}/t", "k long, n long, v string"
     apply = streaming.upsert_into(path, ["k"], ["n"], buckets=3)
     rng, want = random.Random(1), {}
