@@ -20,7 +20,7 @@ Every row is returned, repeated rows too.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,17 +115,20 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
             everywhere[b] = everywhere.get(b, 0) + 1
     # one of these pairs is in any text with a match; few pairs serve many templates
     marks = sorted({b for p in pairs for b in signature(p, everywhere, threshold)})
-    known = F.array(*[F.struct(F.lit(-k).alias("k"), F.lit(len(normalized(t))).alias("words"), F.lit(len(p)).alias("n"), F.lit(needed(len(p), threshold)).alias("need"), F.lit(reach(len(p), threshold)).alias("most"), F.array(*map(F.lit, p)).alias("pairs")) for k, ((_, t), p) in enumerate(zip(templates, pairs))])
+    # as text: a call for each literal would take longer than the scan of a small table
+    rows = [f"named_struct('k', {-k}, 'words', {len(normalized(t))}, 'n', {len(p)}, 'need', {needed(len(p), threshold)}, 'most', {reach(len(p), threshold)}, 'pairs', {_list(p)})" for k, ((_, t), p) in enumerate(zip(templates, pairs))]
+    known = F.expr(f"array({', '.join(rows)})")
     # each step in a projection of its own, the row in a struct so that no name clashes
     docs = docs.select(F.struct(*named(plain)).alias("row"), F.lower(F.col(text)).alias("low"))
     docs = docs.select("row", F.trim(F.regexp_replace("low", _APART, " ")).alias("flat"))
-    docs = docs.select("row", F.when(_any([F.contains("flat", F.lit(m)) for m in marks]), F.col("flat")).alias("flat"))  # null: no match
+    docs = docs.select("row", F.when(F.expr(" OR ".join(f"contains(flat, {_quoted(m)})" for m in marks)), F.col("flat")).alias("flat"))  # null: no match
     none = F.array().cast("array<struct<dice:double,k:int,first:int,n:int>>")
     found = F.when(F.col("flat").isNotNull(), let(_pairs(F.split("flat", " ")), lambda b: F.flatten(F.transform(known, lambda t: _matches(b, t, threshold)))))
     docs = docs.select("row", F.coalesce(found, none).alias("found"))
     # in the order of their beginnings, those that could overlap one lie within so many places of it
-    names = F.array(*[F.lit(name) for name, _ in templates])
-    license_of = F.array(*[F.lit(sorted({n for n, _ in templates}).index(name)) for name, _ in templates])
+    names = F.expr(_list(name for name, _ in templates))
+    order = sorted({name for name, _ in templates})
+    license_of = F.expr(f"array({', '.join(str(order.index(name)) for name, _ in templates)})")
     placed = F.array_sort(F.transform("found", lambda m: F.struct((-m["first"]).alias("at"), F.get(license_of, -m["k"]).alias("license"), m.alias("m"))))
     docs = docs.select("row", "found", F.array_max("found").alias("best"), placed.alias("placed"))
     around = 2 * len(templates) * max((reach(len(p), threshold) + 1 for p in pairs), default=1)
@@ -169,8 +172,9 @@ def _matches(b: Column, t: Column, threshold: float) -> Column:
     return F.filter(in_text, lambda m: m["dice"] >= threshold)
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _list(texts: Iterable[str]) -> str:
+    return f"array({', '.join(map(_quoted, texts))})"
