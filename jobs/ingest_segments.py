@@ -78,7 +78,7 @@ def chunked(found: DataFrame, config: dict) -> DataFrame:
     last = F.max_by(F.struct("start", "end", "text"), F.struct("batch", F.coalesce("text", F.lit("")))).alias("last")
     own = found.groupBy("bucket", "video_id", "seg_idx").agg(last).select("bucket", "video_id", "seg_idx", "last.*")
     videos = own.groupBy("video_id", "bucket").agg(F.max("end").alias("duration"))
-    made = windows.ingest(windows.chunk_windows(videos, config["window"], config["stride"]), own.drop("bucket"))
+    made = windows.ingest(windows.chunk_windows(videos, config["window"], config["stride"]), own.drop("bucket"), config["window"])
     return made.join(videos.select("video_id", "bucket"), "video_id")
 
 

@@ -205,7 +205,7 @@ class Engine:
     @staticmethod
     def chunked(videos: DataFrame, segments: DataFrame) -> DataFrame:
         """videos (video_id, duration) and their speech to chunk rows before vectors."""
-        return windows.ingest(windows.chunk_windows(videos), segments)
+        return windows.ingest(windows.chunk_windows(videos), segments, windows.WINDOW)
 
     def begin(self, video_id: str) -> None:
         """Mark a video as being ingested; a second upload of it meanwhile is refused."""

@@ -378,10 +378,21 @@ _JOINED = f"""WITH {SEGMENTS}, {WINDOWS}, said AS (SELECT w.video_id, w.chunk_in
 
 @query(f"""{_JOINED} SELECT video_id, printf('%s_chunk_%04d', video_id, chunk_index) AS chunk_id, chunk_index, s AS start_timestamp, e AS end_timestamp, md5(trim(coalesce(t, ''))) AS transcript, length(trim(coalesce(t, ''))) > 3 AS has_audio FROM windows LEFT JOIN said USING (video_id, chunk_index)""")
 def segment_chunk_join(spark, folder):
-    rows = windows.ingest(windows.chunk_windows(tables.videos(spark, folder)), tables.segments(spark, folder))
+    rows = windows.ingest(windows.chunk_windows(tables.videos(spark, folder)), tables.segments(spark, folder), windows.WINDOW)
     return rows.withColumn("transcript", F.md5("transcript"))
 
 
+@query("""WITH open AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate::DATE - DATE '1970-01-01' AS a, max(l_shipdate)::DATE - DATE '1970-01-01' AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT x.c AS custkey, x.k AS orderkey, y.k AS other, (least(x.b, y.b) - greatest(x.a, y.a))::BIGINT AS days FROM open x JOIN open y ON x.c = y.c AND x.k < y.k AND x.b > y.a AND y.b > x.a""")
+def long_interval_join(spark, folder):
+    """Orders of a customer that are open (from order to last shipping, weeks to months) at one time, in buckets of a day."""
+    day = lambda c: F.unix_date(F.to_date(c))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(day(F.max("l_shipdate")).cast("double").alias("end"))
+    rows = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("video_id"), "o_orderkey", day(F.col("o_orderdate")).cast("double").alias("start"), "end")
+    pairs = windows.interval_join(rows.withColumnRenamed("o_orderkey", "orderkey"), rows.withColumnRenamed("o_orderkey", "other"), 1.0).where("orderkey < other")
+    return pairs.select(F.col("video_id").alias("custkey"), "orderkey", "other", (F.least("w_end", "s_end") - F.greatest("w_start", "s_start")).cast("bigint").alias("days"))
+
+
 # --- store -----------------------------------------------------------------------------------------------------------
 
 

@@ -31,6 +31,22 @@ def test_interval_join_against_all_pairs(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_long_intervals_are_copied_by_levels(spark):
+    rng = random.Random(2)
+    w = [("a", i, x, x + rng.choice([0.5, 5.0, 70.0, 3600.0, 40000.0])) for i in range(60) for x in [rng.uniform(-5000, 90000)]] + [(None, 98, 0.0, 9.0), ("a", 99, None, 9.0), ("a", 100, 0.0, None)]
+    s = [("a", i, x, x + rng.choice([0.5, 4.0, 3600.0, 86400.0])) for i in range(60) for x in [rng.uniform(-5000, 90000)]] * 2 + [(None, 97, 0.0, 9.0)]
+    ws, ss = spark.createDataFrame(w, "video_id string, chunk_index int, start double, end double"), spark.createDataFrame(s, "video_id string, seg_idx int, start double, end double")
+    got = sorted((r.chunk_index, r.seg_idx) for r in windows.interval_join(ws, ss).collect())
+    assert got == sorted((a[1], b[1]) for a in w for b in s if a[0] and a[0] == b[0] and None not in a + b and b[3] > a[2] and b[2] < a[3])
+    spans = spark.range(1, 3000).select(F.col("id").alias("n"), (F.col("id") * 7919 % 5000 - 2500).alias("low")).withColumn("high", F.col("low") + F.col("n") - 1)
+    cells = spans.select("n", F.inline(windows.cells(F.col("low"), F.col("high"))))
+    per = cells.groupBy("n").agg(F.count("*").alias("copies"), F.sum(F.expr("shiftleft(1L, level)")).alias("buckets"))
+    assert per.count() == 2999 and per.where("copies > 2 * floor(log2(n)) + 1 or buckets <> n").count() == 0
+    points = spans.where("n < 200").select("n", F.explode(F.sequence("low", "high")).alias("p"))
+    held = points.select("n", "p", F.inline(windows.holders(F.col("p"), 7))).join(cells, ["n", "level", "cell"]).groupBy("n", "p").count()
+    assert held.count() == sum(range(200)) and held.where("count <> 1").count() == 0  # each bucket in one cell
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()]
