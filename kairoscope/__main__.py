@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kairoscope import api, schemas
-from kairoscope.operators import evaluate, graph
+from kairoscope.operators import evaluate, graph, indexing
 from kairoscope.session import session
 from kairoscope.sources import media, store
 
@@ -54,6 +54,14 @@ def index(spark: SparkSession, args: argparse.Namespace) -> dict:
     return graph.build_counts(facts, built["edges"], built["members"]).first().asDict()
 
 
+def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """A store's chunks to facts by a model, asked only about what is new; how many chunks came from where."""
+    chunks = store.ChunkStore(spark, args.store).read()
+    chunks = chunks.where(F.col("video_id") == args.video) if args.video else chunks
+    how = indexing.index_videos(chunks, args.out, (lambda name: lambda: loaded(name))(args.model), args.model_id, args.prompt_hash, int(args.size or 5))
+    return {r["how"]: r["count"] for r in how.groupBy("how").count().collect()}
+
+
 def migrate(spark: SparkSession, args: argparse.Namespace) -> dict:
     """Every chunk with its facts nested, as another graph store takes them."""
     rows = graph.migrated(store.ChunkStore(spark, args.store).read().drop("visual", "audio"), read(spark, args.facts, schemas.FACTS))
@@ -80,13 +88,13 @@ def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="kairoscope")
     commands = parser.add_subparsers(dest="command", required=True)
     for call, needed, more in (
-        (ingest, ["videos", "segments", "store"], ["frames", "visual", "audio"]), (index, ["facts", "graph"], []), (migrate, ["store", "facts", "out"], []),
+        (ingest, ["videos", "segments", "store"], ["frames", "visual", "audio"]), (extract, ["store", "out", "model", "model_id", "prompt_hash"], ["video", "size"]), (index, ["facts", "graph"], []), (migrate, ["store", "facts", "out"], []),
         (ask, ["store", "visual", "audio", "query"], ["video"]), (benchmark, ["store", "visual", "audio"], []),
     ):
         command = commands.add_parser(call.__name__, help=(call.__doc__ or "One query, answered as a service would.").split(".")[0])
         command.set_defaults(call=call)
         for name in needed + more:
-            command.add_argument(f"--{name}", required=name in needed, default="")
+            command.add_argument(f"--{name.replace('_', '-')}", required=name in needed, default="")
         if call in (ask, benchmark):
             command.add_argument("--top-k", type=int, default=3)
             command.add_argument("--mode", default="combined", choices=["combined", "visual", "audio", "auto"])

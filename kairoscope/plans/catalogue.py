@@ -13,7 +13,7 @@ from kairoscope.functions import fuzzy, projections
 from kairoscope.functions import text as T
 from kairoscope.functions.projections import frame_url, snippet
 from kairoscope.functions.vectors import dot, normalized, store_score
-from kairoscope.operators import answer, communities, evaluate, graph, mentions, search, windows
+from kairoscope.operators import answer, communities, evaluate, graph, indexing, mentions, search, windows
 from kairoscope.sources import media, store, tables
 from kairoscope.sources.tables import table
 from kairoscope.streaming import segments as streaming
@@ -416,6 +416,11 @@ def transcript_scan(spark, folder):
     return store.transcripts(tables.chunks(spark, folder), "src3").select("chunk_id", F.md5("transcript").alias("digest"))
 
 
+@query("SELECT source AS video_id, doc_id AS chunk_index, (row_number() OVER o - 1) // 256 AS page, (row_number() OVER o - 1) % 256 AS place FROM documents WHERE source IS NOT NULL WINDOW o AS (ORDER BY source, doc_id)")
+def scroll_pages(spark, folder):
+    return store.pages(tables.chunks(spark, folder, False)).select("video_id", "chunk_index", "page", "place")
+
+
 @query("SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '' ELSE '/frames/' || regexp_extract(url, '([^/\\\\]+)$', 1) END AS frame_url, substr(html, 1, 200) AS snippet FROM pages")
 def page_projection(spark, folder):
     return table(spark, folder, "pages").select("page_id", frame_url(F.col("url")).alias("frame_url"), snippet(F.col("html")).alias("snippet"))
@@ -606,6 +611,37 @@ def candidate_validation(spark, folder):
     return graph.validated(made.select("chunk_id", "subject", "predicate", "object", "evidence"), sources)
 
 
+def _said_facts() -> Callable[[list[tuple[str, str]]], list[dict]]:
+    """Stands in for a model: every sentence of its chunks as a candidate, and as many that nobody said."""
+    import re
+
+    def ask(chunks: list[tuple[str, str]]) -> list[dict]:
+        found = [(i, *m) for i, text in chunks for m in re.findall(r"(\S+) (\S) ((?:part|item)#\d+)", text)]
+        stated = [dict(zip(graph.FACT, (i, s, p, o, f"{s} {p} {o}"))) for i, s, p, o in found]
+        return stated + [dict(zip(graph.FACT, (i, o, p, s, f"{s} {p} {o}"))) for i, s, p, o in found]
+
+    return ask
+
+
+@query(f"""WITH {SUPPLY}, v AS (SELECT DISTINCT video_id, chunk_id, start_timestamp::BIGINT AS n, subject, predicate, CASE WHEN video_id <> '1-URGENT' AND start_timestamp::BIGINT % 5 = 0 THEN replace(object, 'part', 'item') ELSE object END AS object FROM facts)
+SELECT video_id, chunk_id, subject, predicate, object, subject || ' ' || predicate || ' ' || object AS evidence, CASE WHEN video_id = '1-URGENT' THEN 'kept' WHEN n % 5 = 0 THEN 'inferred' WHEN n % 5 = 1 THEN 'stored' ELSE 'cached' END AS how FROM v""")
+def incremental_index(spark, folder):
+    """All orders are indexed; then a fifth of their texts change, the cache loses another fifth, and all videos but one
+    are indexed again."""
+    facts = store.materialize(tables.supply_facts(spark, folder), "said")
+    said = F.array_join(F.array_sort(F.collect_set("evidence")), "; ")
+    chunks = store.materialize(facts.groupBy("video_id", "chunk_id", "start_timestamp", "end_timestamp").agg(said.alias("transcript")), "chunks")
+    path, kind = store.scratch_path(spark, "index"), F.col("start_timestamp").cast("bigint") % 5
+    indexing.index_videos(chunks, path, _said_facts, "m1", "p")
+    lost = chunks.where(kind == 1).select("chunk_id")
+    kept = store.materialize(indexing.table(spark, path, "cache").join(lost, "chunk_id", "left_anti"), "kept")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/cache")
+    now = chunks.where("video_id <> '1-URGENT'").withColumn("transcript", F.when(kind == 0, F.replace("transcript", F.lit("part#"), F.lit("item#"))).otherwise(F.col("transcript")))
+    how = indexing.index_videos(now, path, _said_facts, "m1", "p").select("chunk_id", "how")
+    rows = indexing.table(spark, path, "facts").join(how, "chunk_id", "left")
+    return rows.select("video_id", "chunk_id", "subject", "predicate", "object", "evidence", F.coalesce("how", F.lit("kept")).alias("how"))
+
+
 @query(f"""WITH {SUPPLY}, n AS (SELECT chunk_id, string_agg(concat_ws('|', subject, predicate, object, evidence), ';' ORDER BY subject, predicate, object, evidence) AS c FROM (SELECT DISTINCT chunk_id, subject, predicate, object, evidence FROM facts) GROUP BY 1)
 SELECT 'o' || o_orderkey AS chunk_id, coalesce(c, '') AS candidates FROM orders LEFT JOIN n ON chunk_id = 'o' || o_orderkey""")
 def candidate_routing(spark, folder):

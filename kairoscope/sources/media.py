@@ -70,7 +70,7 @@ def transcribed(videos: DataFrame, model: Callable[[], Callable[[str], list[tupl
 
 def extracted(chunks: DataFrame, model: Callable[[], Callable[[list[tuple[str, str]]], list[dict]]], size: int = 5) -> DataFrame:
     """chunks (video_id, chunk_id, start_timestamp, transcript) to raw candidates; a call gets `size` chunks of one
-    video that follow each other in time."""
+    video that follow each other in time. What it says of chunks that it was not given is dropped."""
     fields = ["chunk_id", "subject", "predicate", "object", "evidence"]
     item = F.struct("start_timestamp", "chunk_id", "transcript")
     asked = batches(chunks.select("video_id", "chunk_id", "start_timestamp", "transcript"), size).groupBy("video_id", "batch").agg(F.array_sort(F.collect_list(item)).alias("items"))  # at most `size`
@@ -79,7 +79,7 @@ def extracted(chunks: DataFrame, model: Callable[[], Callable[[list[tuple[str, s
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = model()
         for pdf in parts:
-            found = [c for ids, texts in zip(pdf.ids, pdf.texts) for c in ask(list(zip(ids, texts)))]
+            found = [c for ids, texts in zip(pdf.ids, pdf.texts) for c in ask(list(zip(ids, texts))) if c.get("chunk_id") in ids]
             yield pd.DataFrame([[c.get(f) for f in fields] for c in found], columns=fields)
 
     return asked.mapInPandas(run, ", ".join(f"{f} string" for f in fields))

@@ -105,6 +105,44 @@ def transcripts(chunks: DataFrame, video_id: str | None = None) -> DataFrame:
     return rows if not video_id else rows.where(F.col("video_id") == video_id)
 
 
+#: Rows of a page of a scroll.
+PAGE = 256
+
+
+def scroll(chunks: DataFrame, after: tuple[str, int] | None = None, video_id: str | None = None, size: int = PAGE) -> DataFrame:
+    """The next page in order of (video_id, chunk_index), without vectors: the first `size` rows beyond the key of the
+    last row seen. The key is two plain comparisons on columns, so a table that lies sorted is read from there on only;
+    no row is skipped over, however deep the page."""
+    rows = transcripts(chunks, video_id)
+    if after:
+        video, index = after
+        beyond = (F.col("video_id") > video) | ((F.col("video_id") == video) & (F.col("chunk_index") > index))
+        rows = rows.where(F.col("video_id") >= video).where(beyond)
+    return rows.orderBy("video_id", "chunk_index").limit(size)
+
+
+def write_sorted(chunks: DataFrame, path: str) -> None:
+    """chunks under path in ranges of (video_id, chunk_index), sorted within files, so that a scroll prunes by statistics;
+    a video with very many chunks is many files, one with few shares a file with others."""
+    chunks.repartitionByRange("video_id", "chunk_index").sortWithinPartitions("video_id", "chunk_index").write.mode("overwrite").parquet(path)
+
+
+def pages(chunks: DataFrame, size: int = PAGE) -> DataFrame:
+    """chunks with page (from 0) and place (from 0) of each row in the scroll of all, in order of (video_id, chunk_index);
+    repeated keys in any order, rows without one left out. Ranges are sorted and numbered each on its own and the counts of those before added: no
+    window over all rows, and none over a video."""
+    keyed = chunks.where("video_id is not null and chunk_index is not null")
+    ranged = keyed.repartitionByRange("video_id", "chunk_index").sortWithinPartitions("video_id", "chunk_index")
+    # the number holds the partition in its upper bits and the place in it in the lower 33
+    written = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "pages")
+    part = F.shiftright("_id", 33)
+    counts = written.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))  # a row a partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    numbered = written.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return numbered.withColumns({"page": F.floor(place / size), "place": place % size}).drop("_part", "_before", "_id")
+
+
 def video_ids(chunks: DataFrame) -> DataFrame:
     return chunks.select("video_id").distinct().orderBy("video_id")
 

@@ -54,6 +54,10 @@ def encoder(text):
     return [float(len(text)), 1.0]
 
 
+def said(chunks):
+    return [{"chunk_id": i, "subject": "river", "predicate": "of", "object": "stone", "evidence": "river of stone"} for i, _ in chunks]
+
+
 def test_commands(spark, tmp_path, capsys):
     spark.createDataFrame([("v1", "a.mp4", 25.0, 300), ("v2", "b.mp4", 0.0, 10)], "video_id string, source_filename string, fps double, total_frames long").write.parquet(f"{tmp_path}/videos")
     spark.createDataFrame([("v1", 0, 0.0, 3.0, "hello there"), ("v1", 1, 5.0, 9.0, "the river of stone")], "video_id string, seg_idx int, start double, end double, text string").write.parquet(f"{tmp_path}/segments")
@@ -68,6 +72,9 @@ def test_commands(spark, tmp_path, capsys):
     assert run("index", f"--facts={tmp_path}/facts", f"--graph={tmp_path}/graph") == {"entities": 2, "facts": 1, "chunks": 1, "edges": 1, "levels": 1, "communities": 1}
     assert spark.read.parquet(f"{tmp_path}/graph/reports").first().member_count == 2
     assert run("migrate", f"--store={tmp_path}/store", f"--facts={tmp_path}/facts", f"--out={tmp_path}/out") == {"chunks": 3, "facts": 1}
+    wanted = ["extract", f"--store={tmp_path}/store", f"--out={tmp_path}/found", f"--model={__name__}:said", "--model-id=m", "--prompt-hash=p"]
+    assert run(*wanted) == {"inferred": 3} and run(*wanted) == {"cached": 3}
+    assert spark.read.parquet(f"{tmp_path}/found/facts").count() == 2  # two windows say so
     got = run("ask", f"--store={tmp_path}/store", "--query=river of", *models)
     assert got["total_chunks_searched"] == 3 and all(r["text_match"] for r in got["results"])
     assert run("benchmark", f"--store={tmp_path}/store", "--query=river", "--query=hello", *models)["runs"] == 2

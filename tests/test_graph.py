@@ -269,3 +269,24 @@ def test_facts_are_keyed_and_validated_without_extra_work(spark):
     sources = spark.createDataFrame([(f"c{i}", "A p B") for i in range(9)], "chunk_id string, transcript string")
     plan = graph.validated(df, sources)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("_folded(")  # printed from the top: folding is below the join
+
+
+def test_pages_of_a_scroll(spark, tmp_path):
+    rows = [(v, i, f"{v}{i}", [0.0]) for v, n in (("a", 700), ("b", 1), ("c'd", 255), ("e", 30)) for i in range(n)]
+    chunks = spark.createDataFrame(rows, "video_id string, chunk_index int, transcript string, visual array<float>").orderBy(F.rand(1))
+    store.write_sorted(chunks, f"{tmp_path}/chunks")
+    lies = spark.read.parquet(f"{tmp_path}/chunks")
+    want = sorted((r[0], r[1]) for r in rows)
+    got, after = [], None
+    while page := [(r.video_id, r.chunk_index) for r in store.scroll(lies, after).collect()]:
+        got.append(page)
+        after = page[-1]
+    assert [x for p in got for x in p] == want and {len(p) for p in got[:-1]} == {store.PAGE}
+    numbered = sorted((r.page, r.place, r.video_id, r.chunk_index) for r in store.pages(chunks).collect())
+    assert [r[2:] for r in numbered] == want and [r[:2] for r in numbered] == [divmod(i, store.PAGE) for i in range(len(want))]
+    assert [r.chunk_index for r in store.scroll(lies, ("a", 690), "a").collect()] == list(range(691, 700))
+    plan = store.scroll(lies, ("c'd", 3))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(video_id,c'd)" in plan and "visual" not in plan and "TakeOrderedAndProject" in plan
+    files = lies.select(F.input_file_name().alias("f"), "video_id").groupBy("f").agg(F.min("video_id").alias("low"), F.max("video_id").alias("high")).orderBy("low").collect()
+    assert all(x.high <= y.low for x, y in zip(files, files[1:]))  # ranges: a page's files are those at its key
+    assert store.pages(chunks.limit(0)).count() == 0 and store.scroll(chunks.limit(0)).count() == 0
