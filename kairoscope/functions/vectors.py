@@ -27,9 +27,24 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _cosine(product: Column, squares: Column) -> Column:
+    """One root of the product of both squared lengths, not a product of two roots: equal vectors give exactly 1, so
+    rows that all equal their query tie, and go by the order that follows."""
+    ratio = product / F.nullif(F.sqrt(squares), F.lit(0.0))
+    return F.when(ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))  # these two pass over nulls
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Null if either vector is null or zero."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return _cosine(dot(a, b), dot(a, a) * dot(b, b))
+
+
+def cosine_with(a: Column, vector: list[float]) -> Column:
+    """Cosine with a vector known to the driver; null if either is null or zero."""
+    square = 0.0
+    for x in vector:  # one after another, as dot() adds; sum() would round otherwise
+        square += float(x) * float(x)
+    return _cosine(dot_with(a, vector), dot(a, a) * F.lit(square))
 
 
 def normalized(a: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kairoscope.functions import text as T
-from kairoscope.functions.vectors import dot_with, norm
+from kairoscope.functions.vectors import cosine_with
 from kairoscope.operators.graph import internal_facts, one_hop
 from kairoscope.operators.search import ranked
 
@@ -23,8 +23,7 @@ ANCHORS, LEAST_ANCHOR = 5, 0.20
 
 
 def similarity(column: Column, vector: list[float]) -> Column:
-    size = sum(float(x) ** 2 for x in vector) ** 0.5
-    return dot_with(column, vector) / F.nullif(norm(column) * F.lit(size), F.lit(0.0))
+    return cosine_with(column, vector)
 
 
 def anchors(entities: DataFrame, vector: list[float], terms: Column) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from kairoscope.functions import fuzzy
 from kairoscope.functions import text as T
 from kairoscope.functions.projections import frame_url, snippet
-from kairoscope.functions.vectors import clip, confidence, dot_with, norm
+from kairoscope.functions.vectors import clip, confidence, cosine_with
 from kairoscope.operators.token_index import TokenIndex
 from kairoscope.operators.windows import WINDOW
 from kairoscope.sources.store import discard, materialize
@@ -38,9 +38,7 @@ EXACT_BONUS, NEAR_BONUS, COVERAGE_BONUS, NEAR_COVERAGE = 2.0, 1.5, 0.5, 0.75
 
 def ranked(df: DataFrame, vector: list[float], k: int, column: str = "embedding", key: str = "chunk_id") -> DataFrame:
     """The k rows most similar to a vector, with sim; rows without the vector, or with a zero one, are no candidates."""
-    size = sum(float(x) ** 2 for x in vector) ** 0.5
-    sim = dot_with(F.col(column), vector) / F.nullif(norm(F.col(column)) * F.lit(size), F.lit(0.0))
-    return df.withColumn("sim", sim).where("sim is not null").orderBy(F.desc("sim"), key).limit(k)
+    return df.withColumn("sim", cosine_with(F.col(column), vector)).where("sim is not null").orderBy(F.desc("sim"), key).limit(k)
 
 
 def ranked_batch(df: DataFrame, queries: DataFrame, k: int, column: str = "embedding", key: str = "chunk_id", query_column: str = "vector") -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoscope.functions.projections import frame_url
-from kairoscope.functions.vectors import confidence, cosine, normalized
+from kairoscope.functions.vectors import confidence, cosine, cosine_with, normalized
 from kairoscope.operators import answer, evaluate, search, windows
 
 CHUNK = "chunk_id string, video_id string, start_timestamp double, end_timestamp double, transcript string, frame_path string, frame_sha256 string, visual array<float>, audio array<float>"
@@ -179,3 +179,12 @@ def test_sources_and_metrics(spark):
     hits = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 5, True), (3, 1, False)], "query_id int, rank int, relevant boolean")
     m = evaluate.retrieval_metrics(hits, 3).first()
     assert (m.queries, round(m.recall_at_k, 4), round(m.mrr, 4)) == (3, 0.3333, round((0.5 + 0.2) / 3, 4))
+
+
+def test_vectors_equal_to_their_query_tie_at_exactly_one(spark):
+    rng = random.Random(0)
+    vectors = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(40)]
+    own = [cosine_with(F.array(*map(F.lit, v)), v) for v in vectors]
+    assert list(spark.range(1).select(*own).first()) == [1.0] * 40
+    none = spark.createDataFrame([(None,), ([0.0, 0.0],)], "e array<float>").select(cosine_with(F.col("e"), [1.0, 2.0]), cosine_with(F.array(F.lit(1.0), F.lit(2.0)), [0.0, 0.0]))
+    assert [tuple(r) for r in none.collect()] == [(None, None)] * 2
