@@ -111,6 +111,11 @@ def query_terms(entity_key: Column) -> Column:
     return F.array_sort(F.array_union(words, bare))
 
 
+def words_among(entity_key: Column, terms: Column) -> Column:
+    """Those of query_terms(entity_key) that are among terms; text without an article anywhere is split only."""
+    return F.array_intersect(F.when(F.contains(entity_key, F.lit("ال")), query_terms(entity_key)).otherwise(tokens(entity_key)), terms)
+
+
 def query_words(text: Column) -> Column:
     """Distinct words after case folding alone; diacritics split words."""
     return F.array_distinct(tokens(casefold(text)))

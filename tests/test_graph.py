@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,3 +291,29 @@ def test_pages_of_a_scroll(spark, tmp_path):
     files = lies.select(F.input_file_name().alias("f"), "video_id").groupBy("f").agg(F.min("video_id").alias("low"), F.max("video_id").alias("high")).orderBy("low").collect()
     assert all(x.high <= y.low for x, y in zip(files, files[1:]))  # ranges: a page's files are those at its key
     assert store.pages(chunks.limit(0)).count() == 0 and store.scroll(chunks.limit(0)).count() == 0
+
+
+def test_facts_of_the_tables_become_edges_where_they_lie_and_entities_by_their_names(spark):
+    from kairoscope.plans import catalogue
+    from kairoscope.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "6k")  # suppliers and nations go out, orders do not
+    try:
+        for facts, own in ((tables.supply_facts, catalogue.supply), (tables.trade_facts, catalogue.trade)):
+            plan = own(spark, folder, True)[1]._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(chunk_id" in plan and not re.search(r"hashpartitioning\(chunk_id#\d+, subject_key", plan)
+            want = graph.keyed_facts(facts(spark, folder))
+            got = own(spark, folder, True)[0].select(want.columns)
+            assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_the_first_name_counts_where_an_entity_has_several(spark):
+    rows = [("c1", "v", 2.0, "Bob", "likes", "tea"), ("c0", "v", 1.0, "BOB", "likes", "Tea"), ("c2", "u", 9.0, "ann", "likes", "bob")]
+    df = spark.createDataFrame([(c, v, t, t + 1, s, p, o, f"{s} {p} {o}") for c, v, t, s, p, o in rows], "chunk_id string, video_id string, start_timestamp double, end_timestamp double, subject string, predicate string, object string, evidence string")
+    keyed = graph.keyed_facts(df.withColumn("fact_key", graph.fact_key(*[F.col(c) for c in graph.FACT])))
+    found = {r.entity_key: (r.canonical_name, list(r.aliases), r.n_facts) for r in graph.resolved_entities(keyed).collect()}
+    assert found == {"bob": ("bob", ["BOB", "Bob", "bob"], 3), "tea": ("Tea", ["Tea", "tea"], 2), "ann": ("ann", ["ann"], 1)}
