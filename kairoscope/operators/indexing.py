@@ -36,10 +36,12 @@ def candidates(chunks: DataFrame, cache: DataFrame, runs: DataFrame, facts: Data
     how = F.when(F.col("hit"), "cached").when(F.col("ran"), "stored").otherwise("inferred")
     none = F.array().cast(known.schema["known"].dataType)
     have = F.when(F.col("hit"), F.col("candidates")).when(F.col("ran"), F.coalesce("known", none))
-    found = materialize(found.select(*chunks.columns, "transcript_hash", have.alias("candidates"), how.alias("how")), "found")
+    found = materialize(found.select(*chunks.columns, "transcript_hash", have.alias("candidates"), how.alias("how")), "found", "zstd")
     asked = found.where("how = 'inferred'").drop("candidates")
     answered = routed_candidates(asked, extracted(asked, model, size))
-    return materialize(found.where("how <> 'inferred'").unionByName(answered.select(*found.columns)), "candidates")
+    every = materialize(found.where("how <> 'inferred'").unionByName(answered.select(*found.columns)), "candidates", "zstd")
+    discard(found)
+    return every
 
 
 def facts_of(chunks: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def index_videos(chunks: DataFrame, path: str, model: Callable[[], Callable[[lis
     run leaves the same tables.
     """
     spark = chunks.sparkSession
-    rows = materialize(spoken(chunks), "spoken")
+    rows = materialize(spoken(chunks), "spoken", "zstd")
     videos = rows.select("video_id").distinct()
     touched = [r[0] for r in videos.select(_bucket()).distinct().collect()]  # at most BUCKETS
     old = {n: table(spark, path, n).where(F.col("bucket").isin(touched)).drop("bucket") for n in ("cache", "runs", "facts")}
@@ -76,8 +78,10 @@ def index_videos(chunks: DataFrame, path: str, model: Callable[[], Callable[[lis
     _put(f"{path}/cache", upserted(old["cache"], every.select("video_id", "chunk_id", "transcript_hash", *mine, "candidates"), ["video_id", "chunk_id"]), touched)
     _put(f"{path}/facts", replaced(old["facts"], facts_of(every), videos), touched)
     _put(f"{path}/runs", replaced(old["runs"], every.select("video_id", "chunk_id", "transcript_hash", *mine), videos), touched)
+    how = materialize(every.select("video_id", "chunk_id", "how"), "how", "zstd")
+    discard(every)
     discard(rows)
-    return every.select("video_id", "chunk_id", "how")
+    return how
 
 
 def _bucket():
@@ -88,7 +92,7 @@ def _put(path: str, rows: DataFrame, touched: list[int]) -> None:
     """Overwrite the touched buckets with rows, which may come from them; ranges of chunks, so that a video of very many
     is many files."""
     spark = rows.sparkSession
-    after = materialize(rows.withColumn("bucket", _bucket()), "after")
+    after = materialize(rows.withColumn("bucket", _bucket()), "after", "zstd")
     after.repartitionByRange("bucket", "chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for b in set(touched) - {r[0] for r in after.select("bucket").distinct().collect()}:  # nothing is left to overwrite them
         remove(spark, f"{path}/bucket={b}")

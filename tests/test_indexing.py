@@ -1,9 +1,12 @@
 """The incremental indexer: what is asked again, what is replaced, what stays."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from kairoscope.operators import indexing
+from kairoscope.operators import graph, indexing
+from kairoscope.sources import store
 
 CHUNK = "video_id string, chunk_id string, start_timestamp double, end_timestamp double, transcript string, extra int"
 
@@ -77,3 +80,12 @@ def test_repeated_chunks_count_once(spark, world):
     run, _ = world
     how, facts, asked = run([chunk("v", 0, "ann met bob")] * 3 + [chunk("v", 0, "zoe met bob")])
     assert asked == ["v0"] and facts == {("v", "v0", "ann", "met", "bob")}
+
+
+def test_a_run_leaves_no_scratch_table_but_its_answer(spark, tmp_path):
+    chunks = spark.createDataFrame([("v", f"c{i}", float(i), i + 1.0, "Ann likes tea") for i in range(3)], "video_id string, chunk_id string, start_timestamp double, end_timestamp double, transcript string")
+    before = set(os.listdir(store.shared_folder(spark)))
+    how = indexing.index_videos(chunks, str(tmp_path), lambda: lambda asked: [dict(zip(graph.FACT, (c, "Ann", "likes", "tea", "Ann likes tea"))) for c, _ in asked], "m", "p")
+    assert {r.how for r in how.collect()} == {"inferred"} and indexing.table(spark, str(tmp_path), "facts").count() == 3
+    left = set(os.listdir(store.shared_folder(spark))) - before
+    assert not [x for x in left if x.split("-")[0] in ("spoken", "found", "candidates", "after")]
