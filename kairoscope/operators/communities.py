@@ -4,8 +4,8 @@ Levels come from repeated rounds of local moving on the modularity of weighted u
 graph of the communities before. All nodes decide at once: in each move, a half of them, drawn by a hash of name and
 move, go to the neighbouring community of largest gain. A round ends when no node would gain, or PATIENCE moves in a
 row have not raised modularity; the best labelling it saw stands, so modularity never falls. Rounds end when nothing
-merges. The rule is one for every size: graphs of up to SMALL_EDGES edges are solved in one task, larger ones by
-shuffles written out between moves, with the same arithmetic and the same result.
+merges. The rule is one for every size: graphs of up to SMALL_EDGES edges are solved in one task, larger ones over edges
+that stay where they lie during a round, with the same arithmetic and the same result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ from kairoscope.sources.store import discard, materialize
 
 #: Edges up to which a graph is solved in one task; the result does not depend on it.
 SMALL_EDGES = 200_000
+#: Nodes up to which a move sends their labels, three numbers each, to all tasks; beyond, edges are shuffled to them.
+SENT_NODES = 2_000_000
+#: Edges of a round, in both directions, that lie in one task.
+TASK_EDGES = 1_000_000
 #: Moves without a gain of LEAST_GAIN in modularity after which a round ends.
 PATIENCE, LEAST_GAIN = 4, 1e-9
 
@@ -34,12 +39,17 @@ def detect(weights: DataFrame, nodes: DataFrame, small: int = SMALL_EDGES) -> Da
     weights (a, b, weight), a < b; nodes (entity_key). Level 0 is the finest. Weights are whole numbers.
     """
     if weights.limit(small + 1).count() > small:
-        return _distributed(weights, nodes)
+        return _distributed(weights, nodes, small)
     rows = weights.select("a", "b", F.col("weight").cast("double").alias("w")).unionByName(nodes.select(F.col("entity_key").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("w")))
+    return _in_one_task(rows, True)
+
+
+def _in_one_task(rows: DataFrame, first: bool) -> DataFrame:
+    """(level, entity_key, community) of rows (a, b, w), where b is null for a node alone. first: as in solved()."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         linked = pdf[pdf.b.notna()]
-        found = solved(list(linked[["a", "b", "w"]].itertuples(index=False, name=None)), sorted({*pdf.a, *linked.b}))
+        found = solved(list(linked[["a", "b", "w"]].itertuples(index=False, name=None)), sorted({*pdf.a, *linked.b}), first)
         return pd.DataFrame([(k, n, c) for k, level in enumerate(found) for n, c in level.items()], columns=["level", "entity_key", "community"])
 
     # at most `small` edges meet in one task
@@ -61,8 +71,9 @@ class _Round:
         return not wanted or self.idle >= PATIENCE
 
 
-def solved(edges: list[tuple[str, str, float]], nodes: list[str]) -> list[dict[str, str]]:
-    """Per level, the community (named by its smallest member) of every node."""
+def solved(edges: list[tuple[str, str, float]], nodes: list[str], first: bool = True) -> list[dict[str, str]]:
+    """Per level, the community (named by its smallest member) of every node. first: there is at least one level, even if
+    nothing merges."""
     of, levels = {n: n for n in nodes}, []
     names = sorted({x for a, b, _ in edges for x in (a, b)})
     number = {n: i for i, n in enumerate(names)}
@@ -80,15 +91,15 @@ def solved(edges: list[tuple[str, str, float]], nodes: list[str]) -> list[dict[s
                 break
             label = np.array([t if t != h and _turn(names[i], move) else h for i, (t, h) in enumerate(zip(to.tolist(), label.tolist()))])
         kept, group = np.unique(ended.best, return_inverse=True)
-        first = np.full(len(kept), len(names))
-        np.minimum.at(first, group, np.arange(len(names)))  # names are sorted
-        if levels and len(kept) == len(names):
+        least = np.full(len(kept), len(names))
+        np.minimum.at(least, group, np.arange(len(names)))  # names are sorted
+        if (levels or not first) and len(kept) == len(names):
             break
-        of = {x: names[first[group[number[c]]]] if c in number else c for x, c in of.items()}
+        of = {x: names[least[group[number[c]]]] if c in number else c for x, c in of.items()}
         levels.append(dict(of))
         if len(kept) == len(names):
             break
-        order = np.argsort(first)  # communities in the order of their names
+        order = np.argsort(least)  # communities in the order of their names
         place = np.empty(len(kept), np.int64)
         place[order] = np.arange(len(kept))
         group = place[group]
@@ -96,9 +107,9 @@ def solved(edges: list[tuple[str, str, float]], nodes: list[str]) -> list[dict[s
         loops = np.bincount(group, loops, len(kept)) + np.bincount(group[n[inner]], w[inner], len(kept))
         pairs, at = np.unique(group[n[~inner]] * len(kept) + group[m[~inner]], return_inverse=True)
         n, m, w = pairs // len(kept), pairs % len(kept), np.bincount(at, w[~inner], len(pairs))
-        names = [names[i] for i in first[order]]
+        names = [names[i] for i in least[order]]
         number = {x: i for i, x in enumerate(names)}
-    return levels or [dict(of)]
+    return levels or ([dict(of)] if first else [])
 
 
 def _moves(n: np.ndarray, m: np.ndarray, w: np.ndarray, degree: np.ndarray, total: float, current) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,51 +132,94 @@ def _turn(name: str, move: int) -> bool:
     return hashlib.md5(f"{name}:{move}".encode()).hexdigest() < "8"
 
 
-def _distributed(weights: DataFrame, nodes: DataFrame) -> DataFrame:
-    """solved() by shuffles over edges, each move written to the shared folder."""
-    both = weights.select(F.col("a").alias("n"), F.col("b").alias("m"), F.col("weight").cast("double").alias("w"))
-    loops = materialize(both.where("n = m").groupBy("n").agg(F.sum("w").alias("w")), "loops")
-    both = materialize(both.where("n <> m").unionByName(both.where("n <> m").select(F.col("m").alias("n"), F.col("n").alias("m"), "w")), "edges")
-    of = materialize(nodes.select("entity_key", F.col("entity_key").alias("community")).distinct(), "communities")
+def _distributed(weights: DataFrame, nodes: DataFrame, small: int) -> DataFrame:
+    """solved() over edges between numbers in the order of names. A round's edges lie by node, kept in that order; what a
+    move tells them is a row of numbers a node, which it writes to the shared folder. Once few edges are left between
+    communities, one task solves the rest."""
+    names = nodes.select(F.col("entity_key").alias("name")).union(weights.select(F.explode(F.array("a", "b")))).distinct()
+    names = materialize(names.orderBy("name").withColumn("n", F.monotonically_increasing_id()), "names")  # numbers rise with the names
+    at = lambda end: names.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}"))
+    pairs = materialize(weights.join(at("a"), "a").join(at("b"), "b").select("n_a", "n_b", F.col("weight").cast("bigint").alias("w")), "edges")
+    both = pairs.where("n_a <> n_b").select(F.inline(F.array(F.struct(F.col("n_a").alias("n"), F.col("n_b").alias("m"), "w"), F.struct(F.col("n_b").alias("n"), F.col("n_a").alias("m"), "w"))))
+    loops = pairs.where("n_a = n_b").groupBy(F.col("n_a").alias("n")).agg(F.sum("w").alias("w"))
+    of = names.join(nodes.select(F.col("entity_key").alias("name")).distinct(), "name", "left_semi").select("name", F.col("n").alias("c"))
     out, level = None, 0
     while True:
-        degree = both.select("n", "w").unionByName(loops.select("n", "w")).groupBy("n").agg(F.sum("w").alias("d"))
-        label = materialize(degree.select("n", F.col("n").alias("c"), "d"), "label")
-        total, inner = label.agg(F.sum("d")).first()[0] or 1.0, loops.agg(F.sum("w")).first()[0] or 0.0
-        ended, move = _Round(), 0
+        if out is not None and (rest := _rest(both, loops, names, small)) is not None:
+            above = of.join(names.select(F.col("n").alias("c"), F.col("name").alias("below")), "c").join(rest, "below")
+            return out.unionByName(above.select((F.col("level") + level).alias("level"), F.col("name").alias("entity_key"), "community"))
+        ended, inner = _Round(), loops.agg(F.sum("w")).first()[0] or 0
+        edges, round_nodes, total, several = _laid_out(both, loops, names)
+        label, move, written = round_nodes.select("n", F.col("n").alias("c"), "d"), 0, []
         while True:
-            mass = label.groupBy("c").agg(F.sum("d").alias("mass"))
-            near = both.join(label.select(F.col("n").alias("m"), "c"), "m").groupBy("n", "c").agg(F.sum("w").alias("near"))
-            offers = near.unionByName(label.select("n", "c", F.lit(0.0).alias("near"))).groupBy("n", "c").agg(F.sum("near").alias("near"))
-            offers = offers.join(label.select("n", F.col("c").alias("home"), "d"), "n").join(mass, "c")
-            stay = F.col("c") == F.col("home")
-            gain = F.col("near") - F.col("d") * (F.col("mass") - F.when(stay, F.col("d")).otherwise(0.0)) / total
-            best = offers.groupBy("n", "home", "d").agg(F.max(F.struct(gain.alias("g"), stay.alias("stay"), F.col("c"))).alias("b"), F.max(F.when(stay, F.col("near"))).alias("near"))
-            turn = F.md5(F.concat("n", F.lit(f":{move}")).cast("binary")) < "8"
-            moved = materialize(best.select("n", "home", F.col("b.c").alias("to"), F.when(turn, F.col("b.c")).otherwise(F.col("home")).alias("c"), "d", "near"), "label")
-            near_home, wanted = moved.agg(F.sum("near"), F.coalesce(F.max(F.col("to") != F.col("home")), F.lit(False))).first()
-            square = mass.agg(F.sum(F.col("mass") * F.col("mass"))).first()[0] or 0.0
-            if ended.over(label, ((near_home or 0.0) + inner) / total - square / (total * total), wanted):
+            mass = materialize(label.groupBy("c").agg(F.sum("d").alias("mass")), "mass")
+            moved = materialize(_move(edges, round_nodes, label.join(mass, "c"), total, move, several), "label")
+            sums = moved.agg(F.sum("near"), F.coalesce(F.max(F.col("to") != F.col("home")), F.lit(False))).crossJoin(mass.agg(F.sum(F.col("mass").cast("double") * F.col("mass"))))  # one row each
+            near, wanted, square = sums.first()
+            discard(mass)
+            over = ended.over(label, ((near or 0) + inner) / total - (square or 0.0) / (total * total), wanted)
+            for old in [x for x in written if x is not ended.best]:
+                discard(old)
+            if over:
                 break
-            label, move = moved, move + 1
-        names = ended.best.groupBy("c").agg(F.min("n").alias("name"))
-        new = materialize(ended.best.select("n", "c").join(names, "c").select(F.col("n").alias("community"), "name"), "names")
-        alone = new.where("community <> name").limit(1).count() == 0
+            label, move, written = moved, move + 1, [*[x for x in written if x is ended.best], moved]
+        edges.unpersist()
+        new = ended.best.groupBy("c").agg(F.min("n").alias("to"))
+        new = materialize(ended.best.select("n", "c").join(new, "c").select(F.col("n").alias("c"), "to"), "communities")
+        round_nodes.unpersist()
+        alone = new.where("c <> to").isEmpty()
         if out is not None and alone:
             return out
-        of = materialize(of.join(new, "community", "left").select("entity_key", F.coalesce("name", "community").alias("community")), "communities")
-        found = of.select(F.lit(level).alias("level"), "entity_key", "community")
+        of = materialize(of.join(new, "c", "left").select("name", F.coalesce("to", "c").alias("c")), "communities")
+        found = of.join(names.select(F.col("n").alias("c"), F.col("name").alias("community")), "c").select(F.lit(level).alias("level"), F.col("name").alias("entity_key"), "community")
         out = found if out is None else out.unionByName(found)
         if alone:
             return out
-        to = lambda c: new.select(F.col("community").alias(c), F.col("name").alias(f"{c}2"))
+        to = lambda c: new.select(F.col("c").alias(c), F.col("to").alias(f"{c}2"))
         merged = materialize(both.join(to("n"), "n").join(to("m"), "m").groupBy(F.col("n2").alias("n"), F.col("m2").alias("m")).agg(F.sum("w").alias("w")), "edges")
         inside = merged.where("n = m").select("n", "w").unionByName(loops.join(to("n"), "n").select(F.col("n2").alias("n"), "w"))
         loops = materialize(inside.groupBy("n").agg(F.sum("w").alias("w")), "loops")
-        discard(both)
         both, level = merged.where("n <> m"), level + 1
 
 
+def _laid_out(both: DataFrame, loops: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, float, bool]:
+    """A round's edges (n, m, w, d: the degree of n), with one of weight 0 from each node to itself, and nodes (n, name,
+    d), both kept by n; twice the weight of all; whether the labels are too many to be sent to all tasks."""
+    degree = materialize(both.select("n", "w").unionByName(loops.select("n", "w")).groupBy("n").agg(F.sum("w").alias("d")), "degree")
+    total, n_nodes = degree.agg(F.sum("d"), F.count("*")).first()
+    rows = both.count() + n_nodes
+    parts = max(both.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_EDGES))
+    loose = both.join(degree, "n").unionByName(degree.select("n", F.col("n").alias("m"), F.lit(0).cast("bigint").alias("w"), "d"))
+    lying = lambda df: df.repartition(parts, "n").sortWithinPartitions("n").persist(StorageLevel.MEMORY_AND_DISK)
+    edges, nodes = lying(loose), lying(degree.join(names, "n"))
+    for kept in (edges, nodes):
+        kept.count()  # only what is kept already is known to lie by n
+    return edges, nodes, float(total or 1), n_nodes > SENT_NODES
+
+
+def _move(edges: DataFrame, nodes: DataFrame, label: DataFrame, total: float, move: int, several: bool) -> DataFrame:
+    """(n, home, to, c, d, near): the best community of each node and, if it is its turn, its new one. Nothing but labels
+    (n, c, mass) is moved, unless they are too many."""
+    there = label.select(F.col("n").alias("m"), "c", "mass")
+    met = edges.join(there if several else F.broadcast(there), "m")
+    offers = met.groupBy("n", "d", "c", "mass").agg(F.sum("w").alias("near"), F.max(F.col("m") == F.col("n")).alias("stay"))
+    d, mass = F.col("d").cast("double"), F.col("mass").cast("double")
+    gain = F.col("near").cast("double") - d * (mass - F.when(F.col("stay"), d).otherwise(0.0)) / F.lit(total)
+    best = offers.groupBy("n", "d").agg(F.max(F.struct(gain.alias("g"), "stay", "c")).alias("b"), F.max(F.when(F.col("stay"), F.col("c"))).alias("home"), F.max(F.when(F.col("stay"), F.col("near"))).alias("near"))
+    turn = F.md5(F.concat("name", F.lit(f":{move}")).cast("binary")) < "8"
+    return best.join(nodes.select("n", "name"), "n").select("n", "home", F.col("b.c").alias("to"), F.when(turn, F.col("b.c")).otherwise(F.col("home")).alias("c"), "d", "near")
+
+
+def _rest(both: DataFrame, loops: DataFrame, names: DataFrame, small: int) -> DataFrame | None:
+    """(level from 0, below, community): the levels above a graph of at most `small` edges, else None."""
+    if both.where("n < m").limit(small + 1).count() > small:
+        return None
+    at = lambda end: names.select(F.col("n").alias(end), F.col("name").alias("a" if end == "n" else "b"))
+    ends = both.where("n < m").unionByName(loops.select("n", F.col("n").alias("m"), "w"))
+    rows = ends.join(at("n"), "n").join(at("m"), "m").select("a", "b", F.col("w").cast("double").alias("w"))
+    return _in_one_task(rows, False).withColumnRenamed("entity_key", "below")
+
+
 def identified(levels: DataFrame) -> DataFrame:
     """(community_id, level, entity_key): id from the level and a hash of the sorted members."""
     groups = levels.groupBy("level", "community").agg(F.array_sort(F.collect_set("entity_key")).alias("members"))

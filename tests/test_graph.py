@@ -107,6 +107,30 @@ def test_communities_do_not_depend_on_where_they_are_solved(spark, seed):
     invariants(spark, one, weights, [*nodes, "alone"])
 
 
+def test_levels_begun_by_moves_end_in_one_task(spark):
+    """Whether one task takes over after any round makes no difference."""
+    rng = random.Random(7)
+    edges = [(f"n{i:03}", f"n{j:03}", 1 + (i % 3)) for i in range(48) for j in range(i + 1, 48) if rng.random() < (0.9 if i // 6 == j // 6 else 0.2 if i // 24 == j // 24 else 0.02)]
+    weights = spark.createDataFrame(edges, "a string, b string, weight long")
+    names = weights.select(F.explode(F.array("a", "b")).alias("entity_key")).distinct()
+    want = sorted(map(tuple, communities.detect(weights, names).collect()))
+    assert max(k for k, *_ in want) > 0
+    assert sorted(map(tuple, communities.detect(weights, names, small=len(edges) - 1).collect())) == want
+
+
+def test_edges_stay_where_they_lie_in_a_move(spark):
+    both = spark.createDataFrame([(0, 1, 2), (1, 0, 2), (1, 2, 1), (2, 1, 1)], "n long, m long, w long")
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "n long, name string")
+    edges, nodes, total, several = communities._laid_out(both, both.where("false").select("n", "w"), names)
+    label = spark.createDataFrame([(0, 0, 2), (1, 1, 3), (2, 2, 1)], "n long, c long, mass long")
+    moved = communities._move(edges, nodes, label, total, 0, several)
+    assert total == 6 and not several
+    assert {r.n: (r.home, r.to, r.near) for r in moved.collect()} == {0: (0, 1, 0), 1: (1, 0, 0), 2: (2, 1, 0)}
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(map(tuple, communities._move(edges, nodes, label, total, 0, True).collect())) == sorted(map(tuple, moved.collect()))
+
+
 def test_no_edges_gives_one_level_of_singletons(spark):
     weights = spark.createDataFrame([], "a string, b string, weight long")
     got = communities.detect(weights, spark.createDataFrame([("a",), ("b",), ("c",)], "entity_key string")).collect()
