@@ -15,18 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kairoscope.operators.graph import internal_facts
 from kairoscope.sources.store import discard, materialize
 
 #: Edges up to which a graph is solved in one task; the result does not depend on it.
 SMALL_EDGES = 200_000
-#: Nodes up to which a move sends their labels, three numbers each, to all tasks; beyond, edges are shuffled to them.
-SENT_NODES = 2_000_000
+#: Nodes up to which a move sends their labels, two numbers each, to all tasks; beyond, edges are shuffled to them.
+SENT_NODES = 8_000_000
+#: Names up to which a table with a row for each is sent to all tasks.
+SENT_NAMES = 2_000_000
 #: Edges of a round, in both directions, that lie in one task.
 TASK_EDGES = 1_000_000
 #: Moves without a gain of LEAST_GAIN in modularity after which a round ends.
@@ -133,16 +138,177 @@ def _turn(name: str, move: int) -> bool:
 
 
 def _distributed(weights: DataFrame, nodes: DataFrame, small: int) -> DataFrame:
-    """solved() over edges between numbers in the order of names. A round's edges lie by node, kept in that order; what a
-    move tells them is a row of numbers a node, which it writes to the shared folder. Once few edges are left between
-    communities, one task solves the rest."""
-    names = nodes.select(F.col("entity_key").alias("name")).union(weights.select(F.explode(F.array("a", "b")))).distinct()
-    names = materialize(names.orderBy("name").withColumn("n", F.monotonically_increasing_id()), "names")  # numbers rise with the names
-    at = lambda end: names.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}"))
+    """solved() over edges between numbers in the order of names. Once few edges are left between communities, one task
+    solves the rest."""
+    names, many = _numbered(nodes.select(F.col("entity_key").alias("name")).union(weights.select(F.explode(F.array("a", "b")))).distinct())
+    own = materialize(names.join(nodes.select(F.col("entity_key").alias("name")).distinct(), "name", "left_semi").select("name", "n"), "own")
+    at = lambda end: sent(names.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}")), many)
     pairs = materialize(weights.join(at("a"), "a").join(at("b"), "b").select("n_a", "n_b", F.col("weight").cast("bigint").alias("w")), "edges")
     both = pairs.where("n_a <> n_b").select(F.inline(F.array(F.struct(F.col("n_a").alias("n"), F.col("n_b").alias("m"), "w"), F.struct(F.col("n_b").alias("n"), F.col("n_a").alias("m"), "w"))))
     loops = pairs.where("n_a = n_b").groupBy(F.col("n_a").alias("n")).agg(F.sum("w").alias("w"))
-    of = names.join(nodes.select(F.col("entity_key").alias("name")).distinct(), "name", "left_semi").select("name", F.col("n").alias("c"))
+    return (_packed_rounds if many <= SENT_NODES else _shuffled_rounds)(both, loops, names, many, own, small)
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """df, for tasks to have as a whole if its rows are few enough."""
+    return F.broadcast(df) if rows <= SENT_NAMES else df
+
+
+def _numbered(names: DataFrame) -> tuple[DataFrame, int]:
+    """names with n, without gaps from 0 in their order, and how many there are."""
+    # the number holds the partition in its upper bits and the place in it in the lower 33
+    ranged = materialize(names.orderBy("name").withColumn("_id", F.monotonically_increasing_id()), "names")
+    part = F.shiftright("_id", 33).alias("_part")
+    counts = sorted(map(tuple, ranged.groupBy(part).count().collect()))  # a row a partition
+    starts = np.cumsum([0, *[n for _, n in counts]]).tolist()
+    before = ranged.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(counts, starts)], "_part bigint, _before bigint")
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return materialize(numbered.select("name", (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("n")), "names"), starts[-1]
+
+
+def _packed_rounds(both: DataFrame, loops: DataFrame, names: DataFrame, many: int, own: DataFrame, small: int) -> DataFrame:
+    """The levels of own (name, n). A round's edges lie packed by node; a move sends all tasks two numbers a node, its label
+    and the mass of the community so named, and hears of the labels that change: no row is shuffled or written."""
+    context, out, level, of, live = names.sparkSession.sparkContext, None, 0, np.arange(many), names
+    both = both.unionByName(loops.select("n", F.col("n").alias("m"), "w"))  # a loop is an edge to itself
+    while True:
+        if out is not None and (rest := _rest(both.where("n <> m"), both.where("n = m").select("n", "w"), names, small)) is not None:
+            above = _labelled(own, of).join(names.select(F.col("n").alias("c"), F.col("name").alias("below")), "c").join(rest, "below")
+            return out.unionByName(above.select((F.col("level") + level).alias("level"), F.col("name").alias("entity_key"), "community"))
+        packed, degree, inner = _packed(both, live), np.zeros(many), 0
+        for r in packed.select("nodes", "d", "loops").toLocalIterator():  # two numbers a node
+            degree[np.frombuffer(r.nodes, np.int32)] = np.frombuffer(r.d, np.int64)
+            inner += int(np.frombuffer(r.loops, np.int64).sum())
+        total = degree.sum() or 1.0
+        ended, label, move, degrees = _Round(), np.arange(many, dtype=np.int32), 0, context.broadcast(degree)
+        while True:
+            mass = np.bincount(label, degree, many)
+            now = context.broadcast((label, mass))
+            told = packed.mapInArrow(_mover(now, degrees, total, move), "near double, wanted boolean, n binary, c binary").collect()  # of each node at most its number and label
+            now.destroy()
+            if ended.over(label, (sum(r.near for r in told) + inner) / total - (mass * mass).sum() / (total * total), any(r.wanted for r in told)):
+                break
+            label, move = label.copy(), move + 1
+            for r in told:
+                label[np.frombuffer(r.n, np.int32)] = np.frombuffer(r.c, np.int32)
+        kept, least = np.unique(ended.best, return_index=True)
+        group = np.zeros(many, np.int64)
+        group[kept] = least  # a community's smallest number
+        group = group[ended.best]
+        alone = bool((group == np.arange(many)).all())
+        if out is not None and alone:
+            packed.unpersist()
+            return out
+        of = group[of]
+        found = _labelled(own, of).join(names.select(F.col("n").alias("c"), F.col("name").alias("community")), "c")
+        found = materialize(found.select(F.lit(level).alias("level"), F.col("name").alias("entity_key"), "community"), "communities")
+        out = found if out is None else out.unionByName(found)
+        if not alone:
+            merged = packed.mapInArrow(_merger(context.broadcast(group)), "n bigint, m bigint, w bigint")
+            both = materialize(merged.groupBy("n", "m").agg(F.sum("w").alias("w")), "edges")
+        packed.unpersist()
+        degrees.destroy()
+        if alone:
+            return out
+        live, level = _labelled(names, of).where("n = c").drop("c"), level + 1
+
+
+def _labelled(df: DataFrame, of: np.ndarray) -> DataFrame:
+    """df with c, what `of` holds at its n."""
+    held = df.sparkSession.sparkContext.broadcast(of)
+
+    def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(held.value[rows.column("n").to_numpy()])], [*rows.schema.names, "c"])
+
+    return df.mapInArrow(look, StructType([*df.schema.fields, StructField("c", LongType())]))
+
+
+def _packed(both: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row a task, kept: nodes (n, name) in order with their degrees, and the edges (n, m, w) of both as the place of n
+    among them, m and w; each node has an edge of weight 0 to itself, and its loops lie apart."""
+    rows = both.count() + nodes.count()
+    parts = max(both.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_EDGES))
+    none = F.lit(None)
+    rows = both.select("n", "m", "w", none.cast("string").alias("name")).unionByName(nodes.select("n", none.cast("bigint").alias("m"), none.cast("bigint").alias("w"), "name"))
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (parts := list(parts)):
+            return
+        table = pa.Table.from_batches(parts)
+        is_node = table["m"].is_null()
+        own = table.filter(is_node).sort_by("n")
+        nodes, edges = own["n"].to_numpy().astype(np.int32), table.filter(pa.compute.invert(is_node))
+        n, m, w = (edges[x].to_numpy() for x in ("n", "m", "w"))
+        at, loop = np.searchsorted(nodes, n), n == m
+        loops = np.bincount(at[loop], w[loop], len(nodes)).astype(np.int64)
+        at, m, w = np.append(at[~loop], np.arange(len(nodes))), np.append(m[~loop], nodes), np.append(w[~loop], np.zeros(len(nodes), np.int64))
+        d = loops + np.bincount(at, w, len(nodes)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        lists = [nodes, d, loops, at[order].astype(np.int32), m[order].astype(np.int32), w[order]]
+        yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in lists], pa.array([own["name"].to_pylist()], pa.list_(pa.string()))], ["nodes", "d", "loops", "at", "m", "w", "names"])
+
+    packed = rows.repartition(parts, "n").mapInArrow(pack, "nodes binary, d binary, loops binary, at binary, m binary, w binary, names array<string>").persist(StorageLevel.MEMORY_AND_DISK)
+    packed.count()
+    return packed
+
+
+def _unpacked(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for rows in parts:
+        for r in range(rows.num_rows):
+            at = lambda c: np.frombuffer(rows.column(c)[r].as_buffer(), np.int64 if c in ("loops", "w") else np.int32)  # noqa: E731, B023
+            yield *map(at, ("nodes", "loops", "at", "m", "w")), rows.column("names")[r]
+
+
+def _mover(now: Broadcast, degrees: Broadcast, total: float, move: int):
+    """What a task tells of its nodes in a move: the weight between them and their communities, whether one would gain,
+    and those whose turn it is with their new communities. The arithmetic is that of _moves()."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, mass = now.value
+        size = len(label)
+        for nodes, _, at, m, w, names in _unpacked(parts):
+            keys = at.astype(np.int64) * size + label[m]
+            order = np.argsort(keys)
+            keys = keys[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            near = np.add.reduceat(w[order], starts).astype(np.float64)
+            node, c = np.divmod(keys[starts], size)
+            stay, d = c == label[nodes][node], degrees.value[nodes][node]
+            gain = near - d * (mass[c] - np.where(stay, d, 0.0)) / total
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            best = np.maximum.reduceat(gain, first)[node]
+            # of equal gains the own community, then the largest number
+            to = np.maximum.reduceat(np.where(gain == best, c + size * stay, -1), first) % size
+            gains = np.flatnonzero(to != label[nodes])
+            moved = [i for i in gains.tolist() if _turn(names[i].as_py(), move)]
+            told = [near[stay].sum(), len(gains) > 0, nodes[moved].tobytes(), to[moved].astype(np.int32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in told], ["near", "wanted", "n", "c"])
+
+    return run
+
+
+def _merger(group: Broadcast):
+    """Edges between communities, those of a task added up; both directions of an inner edge are loops."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, loops, at, m, w, _ in _unpacked(parts):
+            own = group.value[nodes]
+            n, m, w = np.append(own[at], own), np.append(group.value[m], own), np.append(w, loops)
+            keys, place = np.unique(n * len(group.value) + m, return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, place, w)
+            kept = sums > 0
+            n, m = np.divmod(keys[kept], len(group.value))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n, m, sums[kept])], ["n", "m", "w"])
+
+    return run
+
+
+def _shuffled_rounds(both: DataFrame, loops: DataFrame, names: DataFrame, many: int, own: DataFrame, small: int) -> DataFrame:
+    """As _packed_rounds, for nodes too many to be sent: a round's edges lie by node, kept in that order; what a move tells
+    them is a row of numbers a node, which it writes to the shared folder."""
+    of = own.select("name", F.col("n").alias("c"))
     out, level = None, 0
     while True:
         if out is not None and (rest := _rest(both, loops, names, small)) is not None:
@@ -271,6 +437,29 @@ def in_scope(reported: DataFrame, members: DataFrame, edges: DataFrame, video_id
     return reported.orderBy(F.desc("level"), F.desc("member_count"), "community_id")
 
 
+def modularities(weights: DataFrame, levels: DataFrame) -> list[float]:
+    """The modularity of every entity on its own, then of each level in order; none without edges. Edges meet their ends'
+    communities, as numbers, at all levels at once."""
+    last = levels.agg(F.max("level")).first()[0]
+    if last is None:
+        return []
+    ids, many = _numbered(levels.where("level = 0").select(F.col("entity_key").alias("name")))
+    of = levels.join(sent(ids.select(F.col("name").alias("community"), F.col("n").alias("c")), many), "community")
+    of = of.groupBy("entity_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "c"))), lambda x: x["c"]).alias("cs"))
+    of = of.join(ids.withColumnRenamed("name", "entity_key"), "entity_key")
+    of = materialize(of.select("entity_key", F.concat(F.array("n"), "cs").alias("cs")), "levels")
+    at = lambda end: sent(of.select(F.col("entity_key").alias(end), F.col("cs").alias(f"cs_{end}")), many)
+    rows = weights.join(at("a"), "a").join(at("b"), "b")
+    same = lambda k: F.sum(F.when(F.get("cs_a", F.lit(k)) == F.get("cs_b", F.lit(k)), F.col("weight")).otherwise(0))
+    total, *inside = rows.agg(F.sum("weight"), *[same(k) for k in range(last + 2)]).first()
+    if not total:
+        return []
+    degree = weights.select(F.inline(F.array(F.struct(F.col("a").alias("entity_key"), "weight"), F.struct(F.col("b").alias("entity_key"), "weight")))).groupBy("entity_key").agg(F.sum("weight").alias("d"))
+    mass = degree.join(of, "entity_key").select(F.posexplode("cs").alias("k", "c"), "d").groupBy("k", "c").agg(F.sum("d").cast("double").alias("d"))
+    square = {r.k: r.s for r in mass.groupBy("k").agg(F.sum(F.col("d") * F.col("d")).alias("s")).collect()}
+    return [i / total - square[k] / (4.0 * total * total) for k, i in enumerate(inside)]
+
+
 def modularity(weights: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: modularity of labels (entity_key, community) over weights (a, b, weight)."""
     at = lambda c: labels.select(F.col("entity_key").alias(c), F.col("community").alias(f"c_{c}"))

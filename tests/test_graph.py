@@ -131,6 +131,30 @@ def test_edges_stay_where_they_lie_in_a_move(spark):
     assert sorted(map(tuple, communities._move(edges, nodes, label, total, 0, True).collect())) == sorted(map(tuple, moved.collect()))
 
 
+def test_a_move_writes_and_shuffles_nothing(spark, monkeypatch):
+    """Edges are packed once a round; where labels are too many to be sent, edges meet them by shuffles, with the same levels."""
+    edges = [(f"n{i:02}", f"n{j:02}", 1 + i % 2) for i in range(30) for j in range(i, 30) if i // 6 == j // 6 or (i * j) % 11 == 1]
+    weights = spark.createDataFrame(edges, "a string, b string, weight long")  # with loops
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(31)], "entity_key string")
+    written, plain = [], communities.materialize
+    monkeypatch.setattr(communities, "materialize", lambda df, name, *more: written.append(name) or plain(df, name, *more))
+    got = sorted(map(tuple, communities.detect(weights, nodes, small=3).collect()))
+    assert not {"label", "mass", "degree"} & set(written) and written.count("communities") >= 1
+    assert got == sorted(map(tuple, communities.detect(weights, nodes).collect()))
+    monkeypatch.setattr(communities, "SENT_NODES", 5)
+    assert got == sorted(map(tuple, communities.detect(weights, nodes, small=3).collect())) and "label" in written
+
+
+def test_modularities_of_all_levels_at_once(spark):
+    edges, nodes = cliques()
+    weights = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a string, b string, weight long")
+    levels = communities.detect(weights, weights.select(F.explode(F.array("a", "b")).alias("entity_key")).distinct()).persist()
+    alone = levels.where("level = 0").withColumn("community", F.col("entity_key"))
+    each = [alone, *[levels.where(F.col("level") == k) for k in range(levels.agg(F.max("level")).first()[0] + 1)]]
+    assert communities.modularities(weights, levels) == pytest.approx([communities.modularity(weights, x).first()[0] for x in each])
+    assert communities.modularities(weights.where("false"), levels) == communities.modularities(weights, levels.where("false")) == []
+
+
 def test_no_edges_gives_one_level_of_singletons(spark):
     weights = spark.createDataFrame([], "a string, b string, weight long")
     got = communities.detect(weights, spark.createDataFrame([("a",), ("b",), ("c",)], "entity_key string")).collect()
