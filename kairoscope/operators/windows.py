@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 5.0, 4.0
+#: Intervals of a video, of both sides, up to which they all meet each other; only those of longer videos are cut.
+FEW = 64
 
 
 def chunk_windows(videos: DataFrame, length: float = WINDOW, stride: float = STRIDE) -> DataFrame:
@@ -30,7 +32,8 @@ def readable_windows(windows: DataFrame, readable: DataFrame) -> DataFrame:
 def interval_join(windows: DataFrame, segments: DataFrame, bucket: float = STRIDE, longest: float | None = None) -> DataFrame:
     """Pairs of a window and a segment (video_id, start, end each) of one video that overlap as open intervals.
 
-    The later of two starts lies in the other interval. So each interval is cut into aligned cells of 1, 2, 4, ...
+    In a video of up to FEW intervals all meet by the video alone, once each. In longer ones they are cut: the later of two
+    starts lies in the other interval. So each interval is cut into aligned cells of 1, 2, 4, ...
     buckets of time (at most two a level), and a start goes into the one cell of each level that holds it: one equality
     join on (video, whose cell it is, level, cell) finds every pair once, without a distinct. An interval of n buckets is
     copied at most 2 log2(n) + 1 times, a start once for each level that some interval of the other side may have: for an
@@ -40,14 +43,21 @@ def interval_join(windows: DataFrame, segments: DataFrame, bucket: float = STRID
     """
     w = _placed(windows.withColumnsRenamed({"start": "w_start", "end": "w_end"}), "w", bucket)
     s = _placed(segments.withColumnsRenamed({"start": "s_start", "end": "s_end"}), "s", bucket)
-    deepest = lambda df, x: df.agg(F.max(_levels(F.col(f"_{x}_low"), F.col(f"_{x}_high")))).first()[0] or 0  # noqa: E731  one number
+    many = w.select("video_id").unionByName(s.select("video_id")).groupBy("video_id").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("video_id", F.lit(True).alias("_many"))
+    if longest is None and many.isEmpty():  # then no level is looked up
+        return w.join(s, "video_id").where("s_end > w_start and s_start < w_end").drop("_w_low", "_w_high", "_s_low", "_s_high")
+    w, s = (x.join(many, "video_id", "left") for x in (w, s))
+    deepest = lambda df, x: df.where("_many").agg(F.max(_levels(F.col(f"_{x}_low"), F.col(f"_{x}_high")))).first()[0] or 0  # noqa: E731  one number
     # `longest` seconds and the hundredth that rounding may add touch so many buckets and two more
     widest = deepest(w, "w") if longest is None else int(math.log2(math.floor((longest + 0.01) / bucket) + 2))
     of = lambda whose, found: F.transform(found, lambda c: F.struct(F.lit(whose).alias("_whose"), c["level"].alias("_level"), c["cell"].alias("_cell")))
-    w = w.select("*", F.inline(F.concat(of("w", cells(F.col("_w_low"), F.col("_w_high"))), of("s", holders(F.col("_w_low"), deepest(s, "s"))))))
-    s = s.select("*", F.inline(F.concat(of("w", holders(F.col("_s_low"), widest)), of("s", cells(F.col("_s_low"), F.col("_s_high"))))))
+    all_meet = F.array(F.struct(F.lit("all").alias("_whose"), F.lit(0).alias("_level"), F.lit(0).cast("bigint").alias("_cell")))
+    cut = lambda x, found: x.select("*", F.inline(F.when(F.col("_many"), found).otherwise(all_meet))).drop("_many")
+    below = deepest(s, "s")
+    w = cut(w, F.concat(of("w", cells(F.col("_w_low"), F.col("_w_high"))), of("s", holders(F.col("_w_low"), below))))
+    s = cut(s, F.concat(of("w", holders(F.col("_s_low"), widest)), of("s", cells(F.col("_s_low"), F.col("_s_high")))))
     met = w.join(s, ["video_id", "_whose", "_level", "_cell"]).where("s_end > w_start and s_start < w_end")
-    once = met.where(F.when(F.col("_whose") == "w", F.col("_w_low") <= F.col("_s_low")).otherwise(F.col("_s_low") < F.col("_w_low")))
+    once = met.where(F.when(F.col("_whose") == "w", F.col("_w_low") <= F.col("_s_low")).when(F.col("_whose") == "s", F.col("_s_low") < F.col("_w_low")).otherwise(True))
     return once.drop("_whose", "_level", "_cell", "_w_low", "_w_high", "_s_low", "_s_high")
 
 

@@ -47,6 +47,20 @@ def test_long_intervals_are_copied_by_levels(spark):
     assert held.count() == sum(range(200)) and held.where("count <> 1").count() == 0  # each bucket in one cell
 
 
+def test_intervals_of_short_videos_are_not_cut(spark):
+    """A few long intervals a video meet by the video, each row once; those of a longer video beside them are cut."""
+    rng = random.Random(3)
+    row = lambda v, i: (v, i, x := float(rng.randrange(2500)), x + rng.choice([-200.0, 3.0, 900.0, 2400.0]))
+    few, many = [row(f"v{k}", i) for k in range(30) for i in range(9)], [row("long", i) for i in range(50)]
+    side = lambda rows, key: spark.createDataFrame(rows, f"video_id string, {key} int, start double, end double")
+    for rows in (few, few + many):
+        got = windows.interval_join(side(rows, "one"), side(rows, "other"), 1.0)
+        want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and b[3] > a[2] and b[2] < a[3])
+        assert sorted((r.video_id, r.one, r.other) for r in got.collect()) == want
+    plan = windows.interval_join(side(few, "one"), side(few, "other"), 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(cosine(F.col("a"), F.col("b"))).collect()]
