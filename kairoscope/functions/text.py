@@ -73,18 +73,19 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
-def _letters(folded: Column) -> Column:
-    return F.translate(F.regexp_replace(folded, DIACRITICS, ""), "أإآى", "اااي")
+def _letters(text: Column) -> Column:
+    """Folded, without diacritics, alef and yeh forms unified; ASCII text has none of them."""
+    return _unless_ascii(text, lambda t: F.translate(F.regexp_replace(_folded(t), DIACRITICS, ""), "أإآى", "اااي"))
 
 
 def normalize_entity(text: Column) -> Column:
     """Entity key: folded, without diacritics, alef and yeh forms unified, white space collapsed."""
-    return collapse(_letters(fold(text)))
+    return collapse(_letters(text))
 
 
 def normalize_evidence(text: Column) -> Column:
     """As normalize_entity, but only the words, joined by single spaces."""
-    return F.trim(F.regexp_replace(_letters(fold(text)), r"[^\p{L}\p{N}_]+", " "))
+    return F.trim(F.regexp_replace(_letters(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def normalize_transcript(text: Column) -> Column:
@@ -127,6 +128,11 @@ def light_stem(word: Column) -> Column:
     return F.when((F.length(bare) > 3) & bare.endswith("ا"), F.regexp_replace(bare, "ا$", "")).otherwise(bare)
 
 
+def stemmed(words: Column) -> Column:
+    """Words joined by single spaces, each as light_stem makes it; where no alef stands, none changes."""
+    return F.when(F.contains(words, F.lit("ا")), F.array_join(F.transform(F.split(words, " "), light_stem), " ")).otherwise(words)
+
+
 def contains_phrase(transcript: Column, phrase: Column) -> Column:
     """Both normalised; a substring, not bound to tokens. An empty phrase matches nothing."""
     return (phrase != "") & F.contains(transcript, phrase)
@@ -148,7 +154,18 @@ def in_order(text: Column, *parts: Column) -> Column:
     for p in parts:
         place = F.call_function("locate", p, text, at)
         ok = ok & (place > 0)
-        at = F.when(place > 0, place + F.length(p)).otherwise(F.length(text) + 2)
+        at = place + F.length(p)  # if it is not there, the answer is no wherever the others are
+    return ok
+
+
+def words_in_order(text: Column, *parts: Column) -> Column:
+    """Whether the words of parts, joined by single spaces each, occur among those of text as runs, one after another."""
+    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    at, ok = F.lit(1), F.lit(True)
+    for p in parts:
+        place = F.call_function("locate", padded(p), padded(text), at)
+        ok = ok & (place > 0)
+        at = place + F.length(p) + 1  # the space after a run may begin the next
     return ok
 
 

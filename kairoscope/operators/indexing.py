@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kairoscope import schemas
-from kairoscope.operators.graph import FACT, fact_key, first_of, routed_candidates, validated
+from kairoscope.operators.graph import FACT, fact_key, first_of, routed_candidates, stated
 from kairoscope.sources.media import extracted
 from kairoscope.sources.store import cache_hits, discard, materialize, remove, replaced, upserted
 
@@ -45,10 +45,9 @@ def candidates(chunks: DataFrame, cache: DataFrame, runs: DataFrame, facts: Data
 
 
 def facts_of(chunks: DataFrame) -> DataFrame:
-    """chunks with candidates to the facts that stand, each once."""
-    each = chunks.select("chunk_id", F.explode("candidates").alias("c")).select("chunk_id", *[F.col(f"c.{c}") for c in FACT[1:]])
-    stand = validated(each, chunks).withColumn("fact_key", fact_key(*[F.col(c) for c in FACT])).dropDuplicates(["fact_key"])  # of one key all columns agree
-    return stand.join(chunks.select("video_id", "chunk_id", "start_timestamp", "end_timestamp"), "chunk_id").select(*[f.split()[0] for f in schemas.FACTS.split(", ")])
+    """chunks with candidates to the facts that stand, each once. A chunk is one row, so none is moved."""
+    stand = stated(chunks.select("video_id", "chunk_id", "start_timestamp", "end_timestamp", "transcript", "candidates"))
+    return stand.withColumn("fact_key", fact_key(*[F.col(c) for c in FACT])).select(*[f.split()[0] for f in schemas.FACTS.split(", ")])
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -89,11 +88,12 @@ def _bucket():
 
 
 def _put(path: str, rows: DataFrame, touched: list[int]) -> None:
-    """Overwrite the touched buckets with rows, which may come from them; ranges of chunks, so that a video of very many
-    is many files."""
-    spark = rows.sparkSession
-    after = materialize(rows.withColumn("bucket", _bucket()), "after", "zstd")
-    after.repartitionByRange("bucket", "chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for b in set(touched) - {r[0] for r in after.select("bucket").distinct().collect()}:  # nothing is left to overwrite them
+    """Overwrite the touched buckets with rows, which may come from them: Spark puts what it wrote in their place once all
+    of it is there. A video of very many chunks is many files."""
+    spark, seen = rows.sparkSession, Observation()
+    share = F.pmod(F.xxhash64("chunk_id"), F.lit(4 * spark.sparkContext.defaultParallelism))
+    after = rows.withColumn("bucket", _bucket()).repartition("bucket", share)
+    held = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bucket"))).alias("held")  # a bit a bucket
+    after.observe(seen, held).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in [b for b in touched if not (seen.get["held"] or 0) >> b & 1]:  # nothing is left to overwrite them
         remove(spark, f"{path}/bucket={b}")
-    discard(after)

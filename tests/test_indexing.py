@@ -89,3 +89,18 @@ def test_a_run_leaves_no_scratch_table_but_its_answer(spark, tmp_path):
     assert {r.how for r in how.collect()} == {"inferred"} and indexing.table(spark, str(tmp_path), "facts").count() == 3
     left = set(os.listdir(store.shared_folder(spark))) - before
     assert not [x for x in left if x.split("-")[0] in ("spoken", "found", "candidates", "after")]
+
+
+def test_facts_are_made_where_their_chunk_lies_and_no_task_has_a_video_to_itself(spark, monkeypatch):
+    rows = [("v", f"c{i}", float(i % 7), 1.0, "الحب ذا ann; ann met bob", "h", [dict(zip(graph.FACT, ("x", s, "met", o, "ann met bob "))) for s, o in (("ann", "bob"), (" ann", "bob"), ("bob", "ann"), ("", "bob"))], "cached") for i in range(30)]
+    chunks = spark.createDataFrame(rows, "video_id string, chunk_id string, start_timestamp double, end_timestamp double, transcript string, transcript_hash string, candidates array<struct<chunk_id:string,subject:string,predicate:string,object:string,evidence:string>>, how string")
+    found = indexing.facts_of(chunks)
+    assert sorted((r.chunk_id, r.subject, r.object) for r in found.collect()) == sorted((r[1], "ann", "bob") for r in rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    plans, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *more))
+    got = {r.chunk_id: r.batch for r in graph.batches(chunks.select("video_id", "chunk_id", "start_timestamp"), 4).collect()}
+    order = sorted((r[2], r[1]) for r in rows)
+    assert got == {c: i // 4 for i, (_, c) in enumerate(order)}
+    assert "rangepartitioning" in plans[0] and "Window" not in plans[0]
